@@ -24,17 +24,25 @@ def bucket_total(df: DataFrame) -> int:
     return min(MAX_BUCKETS, max(64, 1 << (wanted - 1).bit_length()))
 
 
-def with_bucket(df: DataFrame, value: Column, tie: Column | None = None) -> DataFrame:
+def with_bucket(
+    df: DataFrame, value: Column, tie: Column | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Add `bucket`, non-decreasing in `value`.
 
+    `keep` names columns the limits' own scan must not prune, so that it reads the
+    very exchange the main plan reads.
+
     A value that owns several quantile limits holds a large share of the rows.
     When `tie` (a number in [0, 1), increasing in the tie order) is given, such
     a value is spread over as many buckets as it owns limits.
     """
     total = bucket_total(df)
     points = [i / total for i in range(1, total)]
+    source = df
+    for name in keep:
+        source = source.where(F.col(name) >= 0)
     limits = (
-        df.select(value.cast("double").alias("v"))
+        source.select(value.cast("double").alias("v"))
         .agg(F.percentile_approx("v", points, 8 * total).alias("limits"))
         .scalar()
     )
@@ -68,7 +76,7 @@ def running_sums(
     """For rows that are distinct in `(keys, value)` add, per column in `sums`,
     `<c>_below` (sum over smaller values of the same keys) and `<c>_all`."""
     keys = list(keys)
-    rows = with_bucket(df, F.col(value))
+    rows = with_bucket(df, F.col(value), keep=sums)
     per_bucket = rows.groupBy(*keys, "bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

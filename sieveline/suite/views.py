@@ -66,6 +66,19 @@ VIEWS: dict[str, str] = {
         SELECT doc_id, n_chars AS size FROM documents""",
 }
 
+# The long forms as one scan with a generator; same rows as the unions above.
+SPARK_FORMS: dict[str, str] = {
+    "predictions": """
+        SELECT id, path, y_true, source_label, type, seed,
+               stack(3, 'alpha', s1, 'beta', s2, 'gamma', s3) AS (method, score)
+        FROM predictions_wide""",
+    "variants": """
+        SELECT id, y_true, seed,
+               stack(4, 'clean', s1, 'dimmed', s1 * CAST(0.9 AS DOUBLE), 'squared', s1 * s1,
+                     'lifted', CAST(1 AS DOUBLE) - (CAST(1 AS DOUBLE) - s1) * CAST(0.8 AS DOUBLE)) AS (variant, score)
+        FROM predictions_wide""",
+}
+
 
 def _uses(sql: str, names) -> list[str]:
     return [n for n in names if re.search(rf"\b{n}\b", sql)]
@@ -83,7 +96,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._frames:
             if name in VIEWS:
-                sql = VIEWS[name]
+                sql = SPARK_FORMS.get(name, VIEWS[name])
                 used = _uses(sql, [*TABLES, *(v for v in VIEWS if v != name)])
                 frames = {u: getattr(self, u) for u in used if re.search(rf"(FROM|JOIN) {u}\b", sql)}
                 for u in frames:
