@@ -101,6 +101,8 @@ def running_sums(
 
 def _join_offsets(rows: DataFrame, offsets: DataFrame, on: Sequence[str]) -> DataFrame:
     """Null-safe equi-join on the bucket keys, keeping the left names."""
+    if not on:
+        return rows.withColumn("_one", offsets.select(F.struct("*")).scalar()).select("*", "_one.*").drop("_one")
     right = offsets
     condition = F.lit(True)
     for name in on:
@@ -147,49 +149,91 @@ def hash_unit(hex_hash: Column) -> Column:
     return F.conv(F.substring(hex_hash, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: str, tie: str, name: str = "position") -> DataFrame:
-    """1-based position per `keys` in the order (`order` hex hash, hash of `tie`, `tie`)."""
+def positions(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    tie: str,
+    name: str = "position",
+    value: Column | None = None,
+) -> DataFrame:
+    """1-based position per `keys` in the order (`order`, hash of `tie`, `tie`).
+
+    `order` is a hex hash, or any column when `value` gives a number that never
+    decreases along it.
+    """
     keys = list(keys)
-    rows = _hash_buckets(df, order, tie)
+    rows = _order_buckets(df, order, tie, value)
     offsets = _bucket_counts(rows, keys)
     inside = Window.partitionBy(*keys, "bucket").orderBy(order, "_tie_hash", tie)
     return (
         _join_offsets(rows, offsets, [*keys, "bucket"])
         .withColumn(name, F.col("_before") + F.row_number().over(inside))
-        .drop("bucket", "_before", "_upto", "_tie_hash")
+        .drop("bucket", "_before", "_upto", "_tie_hash", "group_size")
     )
 
 
-def take_first(df: DataFrame, keys: Sequence[str], order: str, tie: str, quota: str) -> DataFrame:
-    """First `quota` rows per `keys` in the order (`order` hex hash, hash of `tie`, `tie`).
+def mark_first(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    tie: str,
+    quota: Column | DataFrame,
+    name: str = "chosen",
+    value: Column | None = None,
+) -> DataFrame:
+    """Flag the first `quota` rows per `keys` in the order (`order`, hash of `tie`, `tie`).
 
-    Buckets that lie wholly inside the quota are taken without ranking; rows are
-    ranked only in the one bucket per group where the quota ends.
+    `quota` is an expression over `group_size`, or a table `(keys, quota)`. Buckets
+    wholly inside or outside the quota are settled without ranking; rows are ranked
+    only in the one bucket per group where the quota ends.
     """
     keys = list(keys)
-    rows = _hash_buckets(df, order, tie)
+    rows = _order_buckets(df, order, tie, value)
     offsets = _bucket_counts(rows, keys)
-    joined = _join_offsets(rows, offsets, [*keys, "bucket"]).where(F.col("_before") < F.col(quota))
-    border = F.col("_upto") > F.col(quota)
+    if isinstance(quota, DataFrame):
+        offsets = _join_offsets(offsets, quota.select(*keys, F.col("quota").alias("_quota")), keys)
+    else:
+        offsets = offsets.withColumn("_quota", quota)
+    joined = _join_offsets(rows, offsets, [*keys, "bucket"])
+    border = (F.col("_before") < F.col("_quota")) & (F.col("_upto") > F.col("_quota"))
     inside = Window.partitionBy(*keys, "bucket").orderBy(order, "_tie_hash", tie)
-    ranked = (
-        joined.where(border)
-        .withColumn("_rank", F.row_number().over(inside))
-        .where(F.col("_before") + F.col("_rank") <= F.col(quota))
-        .drop("_rank")
+    ranked = joined.where(border).withColumn(
+        name, F.col("_before") + F.row_number().over(inside) <= F.col("_quota")
     )
-    return joined.where(~border).unionByName(ranked).drop("bucket", "_before", "_upto", "_tie_hash")
+    settled = joined.where(~border).withColumn(name, F.col("_upto") <= F.col("_quota"))
+    return settled.unionByName(ranked).drop(
+        "bucket", "_before", "_upto", "_tie_hash", "group_size", "_quota"
+    )
+
 
+def take_first(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    tie: str,
+    quota: Column | DataFrame,
+    value: Column | None = None,
+) -> DataFrame:
+    """The rows `mark_first` flags."""
+    return mark_first(df, keys, order, tie, quota, "_chosen", value).where("_chosen").drop("_chosen")
 
-def _hash_buckets(df: DataFrame, order: str, tie: str) -> DataFrame:
-    """Copies share one order hash; the hash of the tie spreads them over buckets."""
+
+def _order_buckets(df: DataFrame, order: str, tie: str, value: Column | None) -> DataFrame:
+    """Copies share one order value; the hash of the tie spreads them over buckets."""
     rows = df.withColumn("_tie_hash", F.sha2(F.col(tie).cast("string"), 256))
-    return with_bucket(rows, hash_unit(F.col(order)), hash_unit(F.col("_tie_hash")))
+    return with_bucket(
+        rows, hash_unit(F.col(order)) if value is None else value, hash_unit(F.col("_tie_hash"))
+    )
 
 
 def _bucket_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     counts = rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("_upto", F.sum("_n").over(upto)).select(
-        *keys, "bucket", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto"
+    return counts.select(
+        *keys,
+        "bucket",
+        (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(upto).alias("_upto"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("group_size"),
     )
