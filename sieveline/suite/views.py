@@ -62,6 +62,19 @@ VIEWS: dict[str, str] = {
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "grid8": """
         SELECT vec_id, label, embedding AS pixels FROM embeddings""",
+    "pictures": """
+        SELECT vec_id AS id, 'train/' || CAST(vec_id AS VARCHAR) AS path, 'train' AS split,
+               CASE WHEN label % 2 = 1 THEN 'fake' ELSE 'real' END AS class_name, embedding AS pixels
+        FROM embeddings
+        UNION ALL
+        SELECT vec_id + 10000000, 'test/' || CAST(vec_id AS VARCHAR), 'test',
+               CASE WHEN label % 3 = 1 THEN 'fake' ELSE 'real' END,
+               CASE WHEN vec_id % 3 = 0 THEN embedding
+                    ELSE list_concat(list_reverse(embedding[1:3]), embedding[4:64]) END
+        FROM embeddings""",
+    "metadata": """
+        SELECT lower(path) AS path_key, 'val' AS split, y_true AS label, source_label AS source_id,
+               'event ' || type AS caption FROM predictions_wide""",
     "sizes": """
         SELECT doc_id, n_chars AS size FROM documents""",
 }
@@ -78,6 +91,16 @@ SPARK_FORMS: dict[str, str] = {
                      'lifted', CAST(1 AS DOUBLE) - (CAST(1 AS DOUBLE) - s1) * CAST(0.8 AS DOUBLE)) AS (variant, score)
         FROM predictions_wide""",
 }
+SPARK_FORMS["pictures"] = """
+    SELECT id, path, split, class_name, pixels FROM (
+        SELECT vec_id, label, embedding,
+               CASE WHEN vec_id % 3 = 0 THEN embedding
+                    ELSE concat(reverse(slice(embedding, 1, 3)), slice(embedding, 4, 61)) END AS altered
+        FROM embeddings) e
+    LATERAL VIEW stack(2,
+        vec_id, 'train/' || CAST(vec_id AS STRING), 'train', CASE WHEN label % 2 = 1 THEN 'fake' ELSE 'real' END, embedding,
+        vec_id + 10000000, 'test/' || CAST(vec_id AS STRING), 'test', CASE WHEN label % 3 = 1 THEN 'fake' ELSE 'real' END, altered
+    ) s AS id, path, split, class_name, pixels"""
 
 
 def _uses(sql: str, names) -> list[str]:
