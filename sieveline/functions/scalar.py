@@ -199,8 +199,10 @@ def stable_hash(value: Column | str, seed: int | Column) -> Column:
 
 def with_size_features(df: DataFrame, ident: str, size: str, seed: int, train: DataFrame | None = None) -> DataFrame:
     """File-size features; missing sizes take the training median, the log is centred on this frame's mean."""
-    base = df if train is None else train
-    median = base.agg(F.percentile(F.col(size).cast("double"), F.lit(0.5)).alias("m")).scalar()
+    from sieveline.operators.runstats import exact_quantiles
+
+    base = (df if train is None else train).where(F.col(size).isNotNull())
+    median = exact_quantiles(base, [], [0.5], size).select(F.col("value").cast("double").alias("m")).scalar()
     raw = F.col(size).cast("double")
     filled = df.withColumn("_fill", median).withColumn(
         "_size",

@@ -35,9 +35,12 @@ def class_balanced_weights(df: DataFrame, keys: Sequence[str], label: str = "y_t
 
 
 def _weighted_histogram(df: DataFrame, keys: Sequence[str], balanced: bool) -> DataFrame:
-    """Distinct scores with the summed weight of either label; one row per score however many rows share it."""
+    """Distinct scores with the summed weight of either label; one row per score however many rows share it.
+
+    `df` is rows with `y_true`, or a histogram with `pos` and `neg`.
+    """
     keys = list(keys)
-    rows = histogram(df, keys)
+    rows = df.select(*keys, "score", "pos", "neg") if "pos" in df.columns else histogram(df, keys)
     totals = rows.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     both = F.when(
         (F.col("_p") > 0) & (F.col("_n") > 0), F.lit(True)
@@ -77,7 +80,9 @@ def _grid(low: Column, high: Column) -> Column:
 def temperature_fit(df: DataFrame, keys: Sequence[str], balanced: bool = False) -> DataFrame:
     """Temperature with the lowest (weighted) log-loss: a log grid, then a finer one around its best point."""
     keys = list(keys)
-    rows = _weighted_histogram(df, keys, balanced)
+    # every row meets 240 grid points: keep all tasks busy although the histogram itself is small
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _weighted_histogram(df, keys, balanced).repartition(tasks, "score")
     coarse = _losses(rows.select("*", _grid(F.lit(GRID_LOW), F.lit(GRID_HIGH))), keys)
     best = coarse.select(*keys, F.col("b.temperature").alias("_best"))
     centred = rows.join(best, keys) if keys else rows.withColumn("_best", best.scalar())

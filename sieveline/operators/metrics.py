@@ -46,6 +46,11 @@ def running(df: DataFrame, keys: Sequence[str], score="score", label="y_true") -
     return running_sums(histogram(df, keys, score, label), keys, "score", ["pos", "neg"])
 
 
+def running_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from a ready-made histogram `(keys, score, pos, neg)`."""
+    return running_sums(counts, keys, "score", ["pos", "neg"])
+
+
 def confusion_aggregates(threshold: Column | float = 0.5, score="score") -> list[Column]:
     """tn, fp, fn, tp over a histogram."""
     called = F.col(score) >= threshold

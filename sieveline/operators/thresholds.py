@@ -17,8 +17,12 @@ def candidate_counts(df: DataFrame, keys: Sequence[str], score="score") -> DataF
 
     A midpoint has the counts of the score above it, so no row is looked at twice.
     """
+    return candidate_counts_of(running(df.withColumn(score, clipped(F.col(score))), keys, score), keys)
+
+
+def candidate_counts_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from `running` rows."""
     keys = list(keys)
-    rows = running(df.withColumn(score, clipped(F.col(score))), keys, score)
     near = neighbours(rows, keys, "score", after={"_next": "score"})
     here = lambda t, neg_out, pos_out: F.struct(
         t.alias("threshold"), neg_out.alias("tn"), pos_out.alias("fn")

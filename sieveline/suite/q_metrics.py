@@ -145,21 +145,21 @@ def _(t):
     )
 
 
-def triage_sql(low="0.2", high="0.8", prefix="", score="score"):
+def triage_sql(low="0.2", high="0.8", prefix="", score="score", shown="r9"):
     r, f = f"({score} <= {low})", f"({score} >= {high})"
     n = lambda c: f"count(*) FILTER ({c})"
     return f"""
-    r9({n(f'{r} OR {f}')} / count(*)) AS {prefix}coverage,
-    r9({n(f'NOT ({r} OR {f})')} / count(*)) AS {prefix}uncertain_rate,
-    r9(({n(f'{r} AND y_true = 0')} + {n(f'{f} AND y_true = 1')}) / nullif({n(f'{r} OR {f}')}, 0)) AS {prefix}triage_accuracy,
-    r9({n(f)} / count(*)) AS {prefix}fake_call_rate,
-    r9({n(r)} / count(*)) AS {prefix}real_call_rate,
-    r9({n(f'{f} AND y_true = 1')} / nullif({n(f)}, 0)) AS {prefix}fake_precision,
-    r9({n(f'{r} AND y_true = 0')} / nullif({n(r)}, 0)) AS {prefix}real_precision,
-    r9({n(f'{f} AND y_true = 0')} / greatest({n('y_true = 0')}, 1)) AS {prefix}real_fpr,
-    r9({n(f'{r} AND y_true = 1')} / greatest({n('y_true = 1')}, 1)) AS {prefix}fake_false_clearance,
-    r9({n(f'{f} AND y_true = 1')} / greatest({n('y_true = 1')}, 1)) AS {prefix}fake_detection,
-    r9({n(f'{r} AND y_true = 0')} / greatest({n('y_true = 0')}, 1)) AS {prefix}real_clearance"""
+    {shown}({n(f'{r} OR {f}')} / count(*)) AS {prefix}coverage,
+    {shown}({n(f'NOT ({r} OR {f})')} / count(*)) AS {prefix}uncertain_rate,
+    {shown}(({n(f'{r} AND y_true = 0')} + {n(f'{f} AND y_true = 1')}) / nullif({n(f'{r} OR {f}')}, 0)) AS {prefix}triage_accuracy,
+    {shown}({n(f)} / count(*)) AS {prefix}fake_call_rate,
+    {shown}({n(r)} / count(*)) AS {prefix}real_call_rate,
+    {shown}({n(f'{f} AND y_true = 1')} / nullif({n(f)}, 0)) AS {prefix}fake_precision,
+    {shown}({n(f'{r} AND y_true = 0')} / nullif({n(r)}, 0)) AS {prefix}real_precision,
+    {shown}({n(f'{f} AND y_true = 0')} / greatest({n('y_true = 0')}, 1)) AS {prefix}real_fpr,
+    {shown}({n(f'{r} AND y_true = 1')} / greatest({n('y_true = 1')}, 1)) AS {prefix}fake_false_clearance,
+    {shown}({n(f'{f} AND y_true = 1')} / greatest({n('y_true = 1')}, 1)) AS {prefix}fake_detection,
+    {shown}({n(f'{r} AND y_true = 0')} / greatest({n('y_true = 0')}, 1)) AS {prefix}real_clearance"""
 
 
 @case("q_M15_triage_metrics", f"SELECT method, seed, {triage_sql()} FROM predictions GROUP BY method, seed")
