@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
@@ -60,35 +59,35 @@ def _weighted_histogram(df: DataFrame, keys: Sequence[str], balanced: bool) -> D
     )
 
 
-def _losses(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Best temperature of the `temperature` column per group; the lowest wins a tie."""
-    p = clip(sigmoid(logit(F.col("score")) / F.col("temperature")), SCORE_EPS, 1.0 - SCORE_EPS)
-    loss = -(F.col("w_pos") * F.ln(p) + F.col("w_neg") * F.ln(1.0 - p))
-    per_point = rows.groupBy(*keys, "point", "temperature").agg(
-        (F.sum(loss) / F.sum(F.col("w_pos") + F.col("w_neg"))).alias("loss")
+def _best_point(rows: DataFrame, keys: Sequence[str], low: Column, high: Column) -> DataFrame:
+    """Best temperature per group on a log grid from `low` to `high`; the lowest wins a tie."""
+    points = F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1)))
+    spaced = rows.select(*keys, "score", "w_pos", "w_neg", F.ln(low).alias("_a"), F.ln(high).alias("_b"))
+    spaced = spaced.withColumn("_logit", logit(F.col("score")))
+    at = spaced.select("*", points.alias("point"))
+    temperature = F.exp(F.col("_a") + F.col("point") * (F.col("_b") - F.col("_a")) / float(GRID_POINTS - 1))
+    p = clip(sigmoid(F.col("_logit") / temperature), SCORE_EPS, 1.0 - SCORE_EPS)
+    at = at.withColumn("_p", p)
+    loss = -(F.col("w_pos") * F.ln("_p") + F.col("w_neg") * F.ln(1.0 - F.col("_p")))
+    per_point = at.groupBy(*keys, "point").agg(
+        (F.sum(loss) / F.sum(F.col("w_pos") + F.col("w_neg"))).alias("loss"),
+        F.first(temperature).alias("temperature"),
     )
     return per_point.groupBy(*keys).agg(F.min(F.struct("loss", "point", "temperature")).alias("b"))
 
 
-def _grid(low: Column, high: Column) -> Column:
-    step = (F.ln(high) - F.ln(low)) / float(GRID_POINTS - 1)
-    return F.posexplode(
-        F.transform(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1)), lambda i: F.exp(F.ln(low) + step * i))
-    ).alias("point", "temperature")
-
-
 def temperature_fit(df: DataFrame, keys: Sequence[str], balanced: bool = False) -> DataFrame:
     """Temperature with the lowest (weighted) log-loss: a log grid, then a finer one around its best point."""
     keys = list(keys)
     # every row meets 240 grid points: keep all tasks busy although the histogram itself is small
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _weighted_histogram(df, keys, balanced).repartition(tasks, "score")
-    coarse = _losses(rows.select("*", _grid(F.lit(GRID_LOW), F.lit(GRID_HIGH))), keys)
+    coarse = _best_point(rows, keys, F.lit(GRID_LOW), F.lit(GRID_HIGH))
     best = coarse.select(*keys, F.col("b.temperature").alias("_best"))
     centred = rows.join(best, keys) if keys else rows.withColumn("_best", best.scalar())
     low = F.greatest(F.col("_best") / 2.0, F.lit(FINE_LOW))
     high = F.least(F.col("_best") * 2.0, F.lit(FINE_HIGH))
-    fine = _losses(centred.select("*", _grid(low, high)), keys)
+    fine = _best_point(centred, keys, low, high)
     return fine.select(*keys, F.col("b.temperature").alias("temperature"), F.col("b.loss").alias("loss"))
 
 
@@ -187,7 +186,3 @@ def calibration_report(calibration: DataFrame, test: DataFrame, keys: Sequence[s
             for c in ("accuracy", "brier_score", "expected_calibration_error")
         }
     )
-
-
-def temperature_grid() -> np.ndarray:
-    return np.geomspace(GRID_LOW, GRID_HIGH, GRID_POINTS)
