@@ -56,8 +56,14 @@ def personal_rule(names: Sequence[str]) -> Rule:
     return Rule("personal_identifier", r"(?i)\b(?:" + "|".join(names) + r")\b")
 
 
+def unicode(pattern: str) -> str:
+    """Word limits, word characters and blanks in the Unicode sense on every Java version."""
+    return pattern if pattern.startswith("(?U)") else "(?U)" + pattern
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Every match as (place, match, start): the pieces between matches give the offsets."""
+    pattern = unicode(pattern)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     start = lambda i: F.aggregate(
@@ -73,7 +79,7 @@ def scan(df: DataFrame, ident: str, text: str, rules: Sequence[Rule], kind: str
     machine = F.col(kind).isin(*MACHINE_READABLE_TYPES) if kind else F.lit(False)
     out = None
     for rule in rules:
-        hit = df.where(F.col(text).rlike(rule.pattern)).withColumn("_m", F.explode(matches(F.col(text), rule.pattern)))
+        hit = df.where(F.col(text).rlike(unicode(rule.pattern))).withColumn("_m", F.explode(matches(F.col(text), rule.pattern)))
         if rule.unless:
             hit = hit.where(~F.col("_m.match").rlike(rule.unless))
         begin = F.col("_m.start")
@@ -95,7 +101,7 @@ def scan(df: DataFrame, ident: str, text: str, rules: Sequence[Rule], kind: str
 
 def placeholder_counts(df: DataFrame, ident: str, text: str, pattern: str = PLACEHOLDER_USER_PATH) -> DataFrame:
     """Documents with placeholder paths and how many they hold."""
-    n = F.regexp_count(F.col(text), F.lit(pattern))
+    n = F.regexp_count(F.col(text), F.lit(unicode(pattern)))
     return df.select(ident, n.alias("n_placeholders")).where(F.col("n_placeholders") > 0)
 
 
@@ -103,7 +109,7 @@ def unsafe_claims(df: DataFrame, ident: str, text: str, benchmark: str, claim: s
     """Lines that name a benchmark and make a claim without a negating word."""
     lines = df.select(ident, F.posexplode(F.split(text, r"\r\n|\r|\n", -1)).alias("_at", "line_text"))
     line = F.col("line_text")
-    return lines.where(line.rlike(benchmark) & line.rlike(claim) & ~line.rlike(negation)).select(
+    return lines.where(line.rlike(unicode(benchmark)) & line.rlike(unicode(claim)) & ~line.rlike(unicode(negation))).select(
         ident, (F.col("_at") + 1).alias("line"), F.trim("line_text").alias("line_text")
     )
 
