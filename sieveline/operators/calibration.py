@@ -84,7 +84,8 @@ def temperature_fit(df: DataFrame, keys: Sequence[str], balanced: bool = False)
     rows = _weighted_histogram(df, keys, balanced).repartition(tasks, "score")
     coarse = _best_point(rows, keys, F.lit(GRID_LOW), F.lit(GRID_HIGH))
     best = coarse.select(*keys, F.col("b.temperature").alias("_best"))
-    centred = rows.join(best, keys) if keys else rows.withColumn("_best", best.scalar())
+    # without keys the coarse result is one number
+    centred = rows.join(best, keys) if keys else rows.withColumn("_best", F.lit(best.first()["_best"]))
     low = F.greatest(F.col("_best") / 2.0, F.lit(FINE_LOW))
     high = F.least(F.col("_best") * 2.0, F.lit(FINE_HIGH))
     fine = _best_point(centred, keys, low, high)
@@ -94,7 +95,7 @@ def temperature_fit(df: DataFrame, keys: Sequence[str], balanced: bool = False)
 def temperature_apply(df: DataFrame, fitted: DataFrame, keys: Sequence[str], score="score", out="calibrated") -> DataFrame:
     keys = list(keys)
     limit = fitted.select(*keys, "temperature")
-    joined = df.join(limit, keys) if keys else df.withColumn("temperature", limit.scalar())
+    joined = df.join(limit, keys) if keys else df.withColumn("temperature", F.lit(limit.first()["temperature"]))
     return joined.withColumn(out, sigmoid(logit(F.col(score)) / F.col("temperature")))
 
 
