@@ -265,7 +265,7 @@ def fusion_run(
     `train` and the variants are long predictions. Returns (metrics per variant, scored rows).
     """
     wide = cut_lineage(align_scores(train, key, methods))
-    parts = calibration_split(wide, key, "y_true", fraction, seed, key)
+    parts = cut_lineage(calibration_split(wide, key, "y_true", fraction, seed, key))
     fit_rows = parts.where(F.col("split") == "fit").select(wide.columns)
     held = parts.where(F.col("split") == "calibration").select(wide.columns)
     fit_rows = branch_dropout_rows(fit_rows, key, methods, dropout[0], dropout[1], seed)
@@ -275,7 +275,8 @@ def fusion_run(
     final = lambda rows: (
         rows.withColumn("fake_score", F.col("score")) if apply is None else apply(rows, "score", "fake_score")
     )
-    counts = candidate_counts(final(scored_held).drop("score").withColumnRenamed("fake_score", "score"), [])
+    calibrated = final(scored_held).select("y_true", F.col("fake_score").alias("score"))
+    counts = candidate_counts(cut_lineage(calibrated), [])
     best = choose(counts, [], objective_column(strategy), tie_break).withColumn("rate", positive_rate())
     limit = best.first()["threshold"]
     out = None
