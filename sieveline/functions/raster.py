@@ -10,6 +10,11 @@ def _index(size: int) -> Column:
     return F.sequence(F.lit(0), F.lit(size - 1))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often and wherever the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _reflect(v: Column, size: int) -> Column:
     return F.when(v < 0, -v).when(v > size - 1, 2 * (size - 1) - v).otherwise(v)
 
@@ -36,33 +41,28 @@ def total(a: Column) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return total(a) / F.size(a)
+    return let(a, lambda v: total(v) / F.size(v))
 
 
 def absolute(a: Column) -> Column:
     return F.transform(a, lambda x: F.abs(x))
 
 
-def _moments(a: Column) -> Column:
-    """mean, and sums of squared and cubed deviations."""
-    m = mean(a)
-    return F.aggregate(
-        F.transform(a, lambda x: x - m),
-        F.struct(F.lit(0.0).alias("s2"), F.lit(0.0).alias("s3")),
-        lambda s, d: F.struct((s["s2"] + d * d).alias("s2"), (s["s3"] + d * d * d).alias("s3")),
-    )
-
-
 def std(a: Column) -> Column:
     """Population deviation from sums and squares around the first value."""
-    first = F.get(a, 0)
-    sums = F.aggregate(
-        a,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
-        lambda acc, x: F.struct((acc["s"] + (x - first)).alias("s"), (acc["q"] + (x - first) * (x - first)).alias("q")),
-        lambda acc: F.sqrt(F.greatest(acc["q"] / F.size(a) - (acc["s"] / F.size(a)) * (acc["s"] / F.size(a)), F.lit(0.0))),
-    )
-    return sums
+
+    def body(v):
+        first, n = F.get(v, 0), F.size(v)
+        return F.aggregate(
+            v,
+            F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+            lambda acc, x: F.struct(
+                (acc["s"] + (x - first)).alias("s"), (acc["q"] + (x - first) * (x - first)).alias("q")
+            ),
+            lambda acc: F.sqrt(F.greatest(acc["q"] / n - (acc["s"] / n) * (acc["s"] / n), F.lit(0.0))),
+        )
+
+    return let(a, body)
 
 
 def skew(a: Column, centre: Column, spread: Column) -> Column:
@@ -73,6 +73,10 @@ def skew(a: Column, centre: Column, spread: Column) -> Column:
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation; 0 when a side is flat."""
+    return let(a, lambda x: let(b, lambda y: _correlation(x, y)))
+
+
+def _correlation(a: Column, b: Column) -> Column:
     pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     zero = F.struct(*[F.lit(0.0).alias(n) for n in ("x", "y", "xx", "yy", "xy")])
     fx, fy = F.get(a, 0), F.get(b, 0)
@@ -100,10 +104,14 @@ def correlation(a: Column, b: Column) -> Column:
 
 def quantile(ordered: Column, p: float) -> Column:
     """Linear-interpolated quantile of a sorted array."""
-    at = F.lit(float(p)) * (F.size(ordered) - 1)
-    low = F.floor(at).cast("int")
-    a, b = F.get(ordered, low), F.get(ordered, F.ceil(at).cast("int"))
-    return a + (b - a) * (at - low)
+
+    def body(v):
+        at = F.lit(float(p)) * (F.size(v) - 1)
+        low = F.floor(at).cast("int")
+        a, b = F.get(v, low), F.get(v, F.ceil(at).cast("int"))
+        return a + (b - a) * (at - low)
+
+    return let(ordered, body)
 
 
 def _entropy_of(counts: Column, n: Column) -> Column:
@@ -134,23 +142,31 @@ def histogram(ordered: Column, bins: int, low: Column, high: Column) -> Column:
 
 def entropy(ordered: Column, bins: int) -> Column:
     """Entropy in bits of the histogram between the smallest and largest value; 0 for a flat plane."""
-    low, high = F.get(ordered, 0), F.element_at(ordered, -1)
-    counts = histogram(ordered, bins, low, high)
-    return F.when(high - low < 1e-8, 0.0).otherwise(_entropy_of(counts, F.size(ordered)))
+
+    def body(v):
+        low, high = F.get(v, 0), F.element_at(v, -1)
+        counts = histogram(v, bins, low, high)
+        return F.when(high - low < 1e-8, 0.0).otherwise(_entropy_of(counts, F.size(v)))
+
+    return let(ordered, body)
 
 
 def entropy_between(ordered: Column, bins: int, low: float, high: float) -> Column:
-    return _entropy_of(histogram(ordered, bins, F.lit(low), F.lit(high)), F.size(ordered))
+    return let(ordered, lambda v: _entropy_of(histogram(v, bins, F.lit(low), F.lit(high)), F.size(v)))
 
 
 def weighted_entropy(values: Column, weights: Column, bins: int, low: float, high: float) -> Column:
     """Entropy of a weighted histogram over [low, high]."""
     place = lambda v: F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1))
     pairs = F.zip_with(values, weights, lambda v, w: F.struct(place(v).alias("b"), w.alias("w")))
-    mass = F.transform(
-        _index(bins), lambda b: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when(p["b"] == b, p["w"]).otherwise(0.0))
+    mass = let(
+        pairs,
+        lambda ps: F.transform(
+            _index(bins), lambda b: F.aggregate(ps, F.lit(0.0), lambda s, p: s + F.when(p["b"] == b, p["w"]).otherwise(0.0))
+        ),
     )
-    return _entropy_of(mass, F.greatest(total(weights), F.lit(1e-8)))
+    whole = F.greatest(total(weights), F.lit(1e-8))
+    return let(mass, lambda ms: let(whole, lambda n: _entropy_of(ms, n)))
 
 
 # ---- stencils -----------------------------------------------------------------
@@ -158,6 +174,10 @@ def weighted_entropy(values: Column, weights: Column, bins: int, low: float, hig
 
 def gradient_x(a: Column, w: int, h: int) -> Column:
     """Central differences, one-sided at the edges."""
+    return let(a, lambda v: _gradient_x(v, w, h))
+
+
+def _gradient_x(a: Column, w: int, h: int) -> Column:
 
     def at(i):
         x = _column(i, w)
@@ -168,6 +188,10 @@ def gradient_x(a: Column, w: int, h: int) -> Column:
 
 
 def gradient_y(a: Column, w: int, h: int) -> Column:
+    return let(a, lambda v: _gradient_y(v, w, h))
+
+
+def _gradient_y(a: Column, w: int, h: int) -> Column:
     def at(i):
         y, x = _row(i, w), _column(i, w)
         down, up = F.least(y + 1, F.lit(h - 1)), F.greatest(y - 1, F.lit(0))
@@ -178,6 +202,10 @@ def gradient_y(a: Column, w: int, h: int) -> Column:
 
 def laplacian(a: Column, w: int, h: int, wrap: bool = False) -> Column:
     """Four neighbours minus four times the centre; edges reflect, or wrap around."""
+    return let(a, lambda v: _laplacian(v, w, h, wrap))
+
+
+def _laplacian(a: Column, w: int, h: int, wrap: bool) -> Column:
     fix = (lambda v, n: F.pmod(v + n, F.lit(n)).cast("int")) if wrap else _reflect
 
     def at(i):
@@ -191,6 +219,10 @@ def laplacian(a: Column, w: int, h: int, wrap: bool = False) -> Column:
 
 def blur_rows(a: Column, w: int, h: int, radius: int) -> Column:
     """Mean over 2r+1 pixels of a row, edges reflected."""
+    return let(a, lambda v: _blur_rows(v, w, h, radius))
+
+
+def _blur_rows(a: Column, w: int, h: int, radius: int) -> Column:
 
     def at(i):
         x = _column(i, w)
@@ -201,6 +233,10 @@ def blur_rows(a: Column, w: int, h: int, radius: int) -> Column:
 
 
 def blur_columns(a: Column, w: int, h: int, radius: int) -> Column:
+    return let(a, lambda v: _blur_columns(v, w, h, radius))
+
+
+def _blur_columns(a: Column, w: int, h: int, radius: int) -> Column:
     def at(i):
         y, x = _row(i, w), _column(i, w)
         terms = [F.get(a, _reflect(y + d, h) * w + x) for d in range(-radius, radius + 1)]
@@ -212,11 +248,16 @@ def blur_columns(a: Column, w: int, h: int, radius: int) -> Column:
 def shifted_pairs(a: Column, w: int, h: int, dx: int, dy: int) -> tuple[Column, Column]:
     """The plane without its last columns/rows and the same plane without its first ones."""
     keep = F.filter(_index(w * h), lambda i: (_column(i, w) < w - dx) & (_row(i, w) < h - dy))
-    return F.transform(keep, lambda i: F.get(a, i)), F.transform(keep, lambda i: F.get(a, i + dy * w + dx))
+    pick = lambda step: let(a, lambda v: F.transform(keep, lambda i: F.get(v, i + step)))
+    return pick(0), pick(dy * w + dx)
 
 
 def boundary_ratio(a: Column, w: int, h: int, axis: int) -> Column:
     """Mean step across 8-pixel block borders over the mean step elsewhere; 0 for small pictures."""
+    return let(a, lambda v: _boundary_ratio(v, w, h, axis))
+
+
+def _boundary_ratio(a: Column, w: int, h: int, axis: int) -> Column:
     length = (w if axis == 1 else h) - 1
     if length < 9:
         return F.lit(0.0)
@@ -244,6 +285,10 @@ def boundary_ratio(a: Column, w: int, h: int, axis: int) -> Column:
 
 def tiles(a: Column, w: int, h: int, size: int) -> Column:
     """Array of tiles (arrays) of `size`; cut tiles of at least 4 pixels a side stay."""
+    return let(a, lambda v: _tiles(v, w, h, size))
+
+
+def _tiles(a: Column, w: int, h: int, size: int) -> Column:
     boxes = [
         (y, x, min(size, h - y), min(size, w - x))
         for y in range(0, h, size)
@@ -264,6 +309,10 @@ def tiles(a: Column, w: int, h: int, size: int) -> Column:
 
 def phase_means(a: Column, w: int, h: int) -> Column:
     """Mean per position inside the 8x8 block grid, for the positions the picture has."""
+    return let(a, lambda v: _phase_means(v, w, h))
+
+
+def _phase_means(a: Column, w: int, h: int) -> Column:
     starts = F.array(*[F.lit(y * w + x) for y in range(min(8, h)) for x in range(min(8, w))])
 
     def one(start):
