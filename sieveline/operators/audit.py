@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import TEST_NAMES, TRAIN_NAMES, class_kind, file_name, path_key, split_name_score
 from sieveline.plans.banded import hamming_pairs
+from sieveline.session import cut_lineage
 
 
 def layout_candidates(files: DataFrame, path: str, max_depth: int = 4) -> DataFrame:
@@ -162,25 +163,25 @@ def near_duplicate_pairs(
     cells = df.groupBy("a", "d", "split", "class_name", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path")
     )
-    square = lambda name: F.sum(F.col(name) * F.col(name))
+    cells = cut_lineage(cells)
 
     def squares(*by: str) -> DataFrame:
-        """Sum of squared group sizes per fingerprint."""
-        tag = "_sq_" + "_".join(by)
+        """Sum of squared group sizes per fingerprint, tagged with what was grouped by."""
         groups = cells.groupBy("a", "d", *by).agg(F.sum("n").alias("n"))
-        return groups.groupBy("a", "d").agg(square("n").alias(tag))
+        return groups.groupBy("a", "d").agg(F.sum(F.col("n") * F.col("n")).alias("sq")).withColumn("by", F.lit("_".join(by)))
 
     prints = cells.groupBy("a", "d").agg(
         F.sum("n").alias("n"), F.min("first_path").alias("first_path"), F.max("first_path").alias("other_path")
     )
-    prints = prints.join(_counts(cells, "split"), ["a", "d"]).join(_counts(cells, "class_name"), ["a", "d"])
-    inner = (
-        prints.join(squares("digest"), ["a", "d"])
-        .join(squares("split"), ["a", "d"])
-        .join(squares("class_name"), ["a", "d"])
-        .join(squares("digest", "split"), ["a", "d"])
-        .join(squares("digest", "class_name"), ["a", "d"])
+    prints = cut_lineage(
+        prints.join(_counts(cells, "split"), ["a", "d"]).join(_counts(cells, "class_name"), ["a", "d"])
     )
+    kinds = [("digest",), ("split",), ("class_name",), ("digest", "split"), ("digest", "class_name")]
+    long = squares(*kinds[0])
+    for kind in kinds[1:]:
+        long = long.unionByName(squares(*kind))
+    pick = lambda kind: F.max(F.when(F.col("by") == "_".join(kind), F.col("sq"))).alias("_sq_" + "_".join(kind))
+    inner = prints.where(F.col("n") > 1).join(long.groupBy("a", "d").agg(*[pick(k) for k in kinds]), ["a", "d"])
     n2 = F.col("n") * F.col("n")
     half = lambda c: F.floor(c / 2).cast("long")
     same = inner.select(

@@ -95,19 +95,19 @@ def fusion_search(
         raise ValueError(f"unknown normalisations: {sorted(unknown)}")
     rows = cut_lineage(normalised(collapsed(df, methods), methods, modes))
     grid = weights_column(weight_grid(len(methods), step))
-    fused = rows.withColumn("g", F.explode(grid))
+    fused = rows.withColumn("_grid", F.explode(grid))
     scores = F.array(
         *[
             F.struct(
                 F.lit(mode).alias("normalization"),
-                weighted_sum([f"{c}_{mode}" for c in methods], F.col("g.w")).alias("score"),
+                weighted_sum([f"{c}_{mode}" for c in methods], F.col("_grid.w")).alias("score"),
             )
             for mode in modes
         ]
     )
     keys = ["normalization", "weights"]
     counts = (
-        fused.select("pos", "neg", F.col("g.weights").alias("weights"), F.explode(scores).alias("s"))
+        fused.select("pos", "neg", F.col("_grid.weights").alias("weights"), F.explode(scores).alias("s"))
         .groupBy("s.normalization", "weights", "s.score")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )

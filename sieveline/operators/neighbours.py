@@ -151,9 +151,9 @@ def vote(found: DataFrame, ks: Sequence[int], temperatures: Sequence[float]) ->
     grid = F.array(
         *[F.struct(F.lit(int(k)).alias("k"), F.lit(float(t)).alias("temperature")) for k in ks for t in temperatures]
     )
-    rows = found.withColumn("g", F.explode(grid)).where(F.col("place") <= F.col("g.k"))
+    rows = found.withColumn("_grid", F.explode(grid)).where(F.col("place") <= F.col("_grid.k"))
     # similarities lie in [-1, 1]: shifting by 1 keeps the exponent from overflowing
-    weight = F.exp((F.col("similarity") - 1.0) * F.col("g.temperature"))
-    return rows.groupBy("query_id", F.col("g.k").alias("k"), F.col("g.temperature").alias("temperature")).agg(
+    weight = F.exp((F.col("similarity") - 1.0) * F.col("_grid.temperature"))
+    return rows.groupBy("query_id", F.col("_grid.k").alias("k"), F.col("_grid.temperature").alias("temperature")).agg(
         (F.sum(weight * F.col("label")) / F.sum(weight)).alias("score")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sieveline.functions.scalar import competition_path, stable_hash
 from sieveline.plans.guards import both_classes, guarded, unique_on
 from sieveline.plans.ordered import hash_unit, mark_first, positions, take_first
+from sieveline.session import cut_lineage
 
 
 def share(fraction: float) -> Column:
@@ -83,6 +84,8 @@ def _even_part(df: DataFrame, groups: Sequence[str], limit: int) -> DataFrame:
 
 def _topped_up(flagged: DataFrame, limit: int, order: str, tie: str) -> DataFrame:
     """Chosen rows plus the first of the others, up to `limit` in total."""
+    # read by the count, the chosen part and every pass of the second cut
+    flagged = cut_lineage(flagged)
     taken = flagged.where("chosen").drop("chosen")
     missing = taken.agg((F.lit(limit) - F.count(F.lit(1))).alias("m")).scalar()
     rest = flagged.where(~F.col("chosen")).drop("chosen").withColumn("_missing", missing)

@@ -270,7 +270,7 @@ def policy_sweep(
     plain min aggregate, so each task keeps one running best per policy.
     """
     keys = list(keys)
-    counts = candidate_counts(source, keys).withColumn("g", F.explode(grid)).select("*", "g.*").drop("g")
+    counts = candidate_counts(source, keys).withColumn("_grid", F.explode(grid)).select("*", "_grid.*").drop("_grid")
     allowed = counts.where(F.col("cap").isNull() | (positive_rate() <= F.col("cap") + CAP_SLACK))
     policy = ["policy", "cap", "w_fd", "w_rc", "p_fpr", "p_miss"]
     weights = dict(

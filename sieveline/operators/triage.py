@@ -34,7 +34,7 @@ def limit_grid(max_real_fpr: Sequence[float], max_fake_clearance: Sequence[float
 def triage_thresholds(rows: DataFrame, keys: Sequence[str], grid: Column) -> DataFrame:
     """Both limits per group and grid point from `running` rows (both classes present)."""
     keys = list(keys)
-    at = rows.withColumn("g", F.explode(grid)).select("*", "g.*").drop("g")
+    at = rows.withColumn("_grid", F.explode(grid)).select("*", "_grid.*").drop("_grid")
     calls = F.floor(F.col("max_real_fpr") * F.col("neg_all"))
     clears = F.floor(F.col("max_fake_clearance") * F.col("pos_all"))
     # the place in sorted order the limit sits at; with nothing allowed, the outermost score

@@ -56,15 +56,19 @@ def with_bucket(
         )
 
     out = df.withColumn("_limits", limits).withColumn("_value", value.cast("double"))
-    upper = position(lambda limit: limit <= F.col("_value"))
     if tie is None:
-        return out.withColumn("bucket", upper).drop("_limits", "_value")
-    lower = position(lambda limit: limit < F.col("_value"))
-    out = out.withColumn("_upper", upper).withColumn("_lower", lower)
-    spread = F.col("_lower") + F.floor(tie * (F.col("_upper") - F.col("_lower"))).cast("int")
-    return out.withColumn(
-        "bucket", F.when(F.col("_upper") - F.col("_lower") > 1, spread).otherwise(F.col("_upper"))
-    ).drop("_limits", "_value", "_upper", "_lower")
+        return out.withColumn("bucket", position(lambda limit: limit <= F.col("_value"))).drop("_limits", "_value")
+    out = out.withColumn("_lower", position(lambda limit: limit < F.col("_value")))
+    # only a value that is itself a limit can own several
+    upper = F.when(
+        F.get("_limits", F.col("_lower")) == F.col("_value"), position(lambda limit: limit <= F.col("_value"))
+    ).otherwise(F.col("_lower"))
+    out = out.withColumn("_upper", upper)
+    owned = F.col("_upper") - F.col("_lower")
+    spread = F.col("_lower") + F.floor(tie * owned).cast("int")
+    return out.withColumn("bucket", F.when(owned > 1, spread).otherwise(F.col("_upper"))).drop(
+        "_limits", "_value", "_upper", "_lower"
+    )
 
 
 def running_sums(
