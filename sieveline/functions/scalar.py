@@ -244,7 +244,7 @@ def stress_tier(delta_accuracy: Column, delta_auc: Column) -> Column:
 
 # Family name -> substrings, in order of precedence.
 METHOD_FAMILIES = (
-    ("score/source fusion", ("scp-fusion", "fusion", "source-", "source ")),
+    ("score/source fusion", ("fusion", "source-", "source ")),
     ("frozen foundation", ("clip", "dinov2", "convnext")),
     ("physics-guided neural", ("physics-guided",)),
     ("task-trained neural", ("resnet",)),

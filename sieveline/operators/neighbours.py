@@ -20,7 +20,8 @@ from sieveline.functions.scalar import stable_hash
 from sieveline.session import cut_lineage
 
 PIVOTS = 32
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 8_192
+QUERY_SLICE = 512
 SLACK = 1e-6
 
 
@@ -120,20 +121,28 @@ def nearest(
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in empty.items()})
         right = right.sort_values("base_id")
         base_ids, labels = right["base_id"].to_numpy(), right["label"].to_numpy()
-        sims = np.stack(left["vector"].to_numpy()) @ np.stack(right["vector"].to_numpy()).T
-        if skip_self:
-            sims[left["query_id"].to_numpy()[:, None] == base_ids[None, :]] = -np.inf
-        # base ids ascend, so a stable sort by falling similarity breaks ties by id
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(sims, top, 1)
-        out = pd.DataFrame(
-            {
-                "query_id": np.repeat(left["query_id"].to_numpy(), top.shape[1]),
-                "base_id": base_ids[top].ravel(),
-                "similarity": value.ravel(),
-                "label": labels[top].ravel().astype("int32"),
-            }
-        )
+        members = np.stack(right["vector"].to_numpy()).T
+        parts = []
+        # a slice of queries at a time keeps the similarity matrix small
+        for at in range(0, len(left), QUERY_SLICE):
+            part = left.iloc[at : at + QUERY_SLICE]
+            ids = part["query_id"].to_numpy()
+            sims = np.stack(part["vector"].to_numpy()) @ members
+            if skip_self:
+                sims[ids[:, None] == base_ids[None, :]] = -np.inf
+            # base ids ascend, so a stable sort by falling similarity breaks ties by id
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "query_id": np.repeat(ids, top.shape[1]),
+                        "base_id": base_ids[top].ravel(),
+                        "similarity": np.take_along_axis(sims, top, 1).ravel(),
+                        "label": labels[top].ravel().astype("int32"),
+                    }
+                )
+            )
+        out = pd.concat(parts)
         return out[np.isfinite(out["similarity"])]
 
     key = ["cell", "block", "query_block"]

@@ -64,14 +64,15 @@ def quota_batch(batch: DataFrame, so_far: DataFrame, quotas: Quotas, kind: str,
 
 def all_full(so_far: DataFrame, quotas: Quotas, kind: str, source: str) -> bool:
     """Whether no further row can be taken."""
-    counts = {(r[kind] == "real", r[source]): r["n"] for r in so_far.groupBy(kind, source).agg(F.count(F.lit(1)).alias("n")).collect()}
-    real = sum(n for (is_real, _), n in counts.items() if is_real)
-    fake = sum(n for (is_real, _), n in counts.items() if not is_real)
-    real_done = quotas.real is not None and real >= quotas.real
-    if quotas.fake is not None and fake >= quotas.fake:
+    is_real = F.col(kind) == "real"
+    wanted = list(quotas.wanted_sources)
+    per_source = [F.count_if(~is_real & (F.col(source) == w)).alias(f"s{i}") for i, w in enumerate(wanted)]
+    row = so_far.agg(F.count_if(is_real).alias("real"), F.count_if(~is_real).alias("fake"), *per_source).first()
+    real_done = quotas.real is not None and row["real"] >= quotas.real
+    if quotas.fake is not None and row["fake"] >= quotas.fake:
         return real_done
-    if quotas.per_source is not None and quotas.wanted_sources:
-        return real_done and all(counts.get((False, s), 0) >= quotas.per_source for s in quotas.wanted_sources)
+    if quotas.per_source is not None and wanted:
+        return real_done and all(row[f"s{i}"] >= quotas.per_source for i in range(len(wanted)))
     return False
 
 

@@ -192,7 +192,7 @@ def _(t):
     return t.predictions_wide.select("id", s.stress_tier(a, b).alias("tier"))
 
 
-METHOD_NAMES = """CASE id % 9 WHEN 0 THEN 'SCP-Fusion ' || type WHEN 1 THEN 'Frozen CLIP ' || type WHEN 2 THEN 'DINOv2 + fusion' WHEN 3 THEN 'Physics-Guided ResNet'
+METHOD_NAMES = """CASE id % 9 WHEN 0 THEN 'Score-Fusion ' || type WHEN 1 THEN 'Frozen CLIP ' || type WHEN 2 THEN 'DINOv2 + fusion' WHEN 3 THEN 'Physics-Guided ResNet'
     WHEN 4 THEN 'ResNet-18' WHEN 5 THEN 'combined_v3' WHEN 6 THEN 'Source-threshold' WHEN 7 THEN 'ConvNeXt ' || type ELSE type END"""
 
 
