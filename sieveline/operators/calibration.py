@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import SCORE_EPS, clip, logit, sigmoid
 from sieveline.operators.metrics import binary_metrics, clipped, histogram
+from sieveline.session import shuffle_partitions
 
 # The temperature search grid.
 GRID_LOW, GRID_HIGH, GRID_POINTS = 0.05, 20.0, 240
@@ -80,7 +81,7 @@ def temperature_fit(df: DataFrame, keys: Sequence[str], balanced: bool = False)
     """Temperature with the lowest (weighted) log-loss: a log grid, then a finer one around its best point."""
     keys = list(keys)
     # every row meets 240 grid points: keep all tasks busy although the histogram itself is small
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = shuffle_partitions(df.sparkSession)
     rows = _weighted_histogram(df, keys, balanced).repartition(tasks, "score")
     coarse = _best_point(rows, keys, F.lit(GRID_LOW), F.lit(GRID_HIGH))
     best = coarse.select(*keys, F.col("b.temperature").alias("_best"))

@@ -15,12 +15,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.session import shuffle_partitions
+
 MAX_BUCKETS = 4096
 
 
 def bucket_total(df: DataFrame) -> int:
     """Buckets per order: eight per shuffle partition, a power of two, bounded."""
-    wanted = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    wanted = 8 * shuffle_partitions(df.sparkSession)
     return min(MAX_BUCKETS, max(64, 1 << (wanted - 1).bit_length()))
 
 
@@ -103,7 +105,7 @@ def running_sums(
     ).drop(*[f"_o_{c}" for c in sums])
 
 
-def _join_offsets(rows: DataFrame, offsets: DataFrame, on: Sequence[str]) -> DataFrame:
+def _join_offsets(rows: DataFrame, offsets: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join on the bucket keys, keeping the left names."""
     if not on:
         return rows.withColumn("_one", offsets.select(F.struct("*")).scalar()).select("*", "_one.*").drop("_one")
@@ -112,7 +114,7 @@ def _join_offsets(rows: DataFrame, offsets: DataFrame, on: Sequence[str]) -> Dat
     for name in on:
         right = right.withColumnRenamed(name, f"_k_{name}")
         condition = condition & F.col(name).eqNullSafe(F.col(f"_k_{name}"))
-    return rows.join(right, condition, "inner").drop(*[f"_k_{name}" for name in on])
+    return rows.join(right, condition, how).drop(*[f"_k_{name}" for name in on])
 
 
 def neighbours(
@@ -188,9 +190,9 @@ def mark_first(
 ) -> DataFrame:
     """Flag the first `quota` rows per `keys` in the order (`order`, hash of `tie`, `tie`).
 
-    `quota` is an expression over `group_size`, or a table `(keys, quota)`. Buckets
-    wholly inside or outside the quota are settled without ranking; rows are ranked
-    only in the one bucket per group where the quota ends.
+    `quota` is an expression over `group_size`, or a table `(keys, quota)`. Bucket
+    counts tell where the quota ends; only that one bucket per group is ranked, to
+    find its last row. All rows are then compared with that row and never moved.
     """
     keys = list(keys)
     rows = _order_buckets(df, order, tie, value)
@@ -199,16 +201,27 @@ def mark_first(
         offsets = _join_offsets(offsets, quota.select(*keys, F.col("quota").alias("_quota")), keys)
     else:
         offsets = offsets.withColumn("_quota", quota)
-    joined = _join_offsets(rows, offsets, [*keys, "bucket"])
-    border = (F.col("_before") < F.col("_quota")) & (F.col("_upto") > F.col("_quota"))
+    groups = offsets.groupBy(*keys).agg(F.max("group_size").alias("group_size"), F.max("_quota").alias("_quota"))
+    ends_here = (F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_upto"))
+    needed = ends_here & (F.col("_quota") < F.col("group_size"))
+    border = _join_offsets(rows, offsets.where(needed), [*keys, "bucket"])
     inside = Window.partitionBy(*keys, "bucket").orderBy(order, "_tie_hash", tie)
-    ranked = joined.where(border).withColumn(
-        name, F.col("_before") + F.row_number().over(inside) <= F.col("_quota")
+    last = border.withColumn("_rank", F.col("_before") + F.row_number().over(inside)).where(
+        F.col("_rank") == F.col("_quota")
     )
-    settled = joined.where(~border).withColumn(name, F.col("_upto") <= F.col("_quota"))
-    return settled.unionByName(ranked).drop(
-        "bucket", "_before", "_upto", "_tie_hash", "group_size", "_quota"
+    cut = last.select(*keys, F.struct(order, "_tie_hash", tie).alias("_cut"))
+    if keys:
+        groups = _join_offsets(groups, cut, keys, "left")
+    else:
+        groups = groups.withColumn("_cut", cut.scalar())
+    placed = F.struct(F.col(order), F.sha2(F.col(tie).cast("string"), 256), F.col(tie))
+    chosen = (
+        F.when(F.col("_quota") <= 0, False)
+        .when(F.col("_quota") >= F.col("group_size"), True)
+        .otherwise(placed <= F.col("_cut"))
     )
+    joined = _join_offsets(df, groups, keys)
+    return joined.withColumn(name, chosen).drop("group_size", "_quota", "_cut")
 
 
 def take_first(

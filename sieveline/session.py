@@ -34,19 +34,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     for a local session that names none.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-checkpoint-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(_shared_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    return tempfile.mkdtemp(prefix=f"sieveline-{name}-")
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions; 200 where it is not a number."""
+    value = spark.conf.get("spark.sql.shuffle.partitions", "200")
+    return int(value) if value.isdigit() else 200
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name next to the checkpoints, on storage every executor reaches."""
-    root = spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="sieveline-scratch-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_shared_folder(spark, 'scratch')}/{name}-{uuid.uuid4().hex}"

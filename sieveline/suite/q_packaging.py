@@ -144,13 +144,19 @@ def _(t):
     return q.core_result_table([("same_domain", runs), ("robustness", shifted)], ["method", "variant", "accuracy", "roc_auc"])
 
 
+SHARED["keyed_spread"] = """
+    SELECT s.* EXCLUDE (id), lower(w.path) AS path_key FROM spread_rows s JOIN predictions_wide w USING (id)"""
+SHARED["keyed_cases"] = """
+    SELECT * FROM (SELECT *, 'false_positive' AS "case" FROM keyed_spread WHERE alpha >= 0.5 AND y_true = 0 ORDER BY alpha DESC, path_key LIMIT 20) a
+    UNION ALL SELECT * FROM (SELECT *, 'false_negative' FROM keyed_spread WHERE alpha < 0.5 AND y_true = 1 ORDER BY alpha, path_key LIMIT 20) b
+    UNION ALL SELECT * FROM (SELECT *, 'disagreement' FROM keyed_spread WHERE score_spread >= 0.4 ORDER BY score_spread DESC, path_key LIMIT 20) c"""
+
+
 @case(
     "q_Q08_failure_case_select",
-    f"""SELECT "case", w.path_key, m.caption, {R_SPREAD.replace('id, ', '', 1)} FROM cases c JOIN (SELECT id, lower(path) AS path_key FROM predictions_wide) w USING (id)
-        JOIN metadata m USING (path_key)""",
+    f"""SELECT "case", path_key, m.caption, {R_SPREAD.replace('id, ', '', 1)} FROM keyed_cases c JOIN metadata m USING (path_key)""",
 )
 def _(t):
-    # path keys sort as text, so ties in the short lists are broken by the id in the path
     p = t.predictions.withColumn("path_key", path_key("path"))
     return q.failure_cases(p, t.metadata, "path_key", ["alpha", "beta", "gamma"], "alpha", 0.5, 20, 0.4)
 
