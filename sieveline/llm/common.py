@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 4 << 20
 """Text handled at once inside a task; a single longer text is a block of its own."""
@@ -28,6 +29,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[plain[f"c{at.index(n)}"].alias(n) for n in names])
 
 
+def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of `df` and further fields."""
+    schema = T.StructType(list(df.schema.fields))
+    for name, kind in kinds.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one block hold `most` bytes, or are a single text."""
     for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import blocks, pick
+from sieveline.llm.common import blocks, pick, with_fields
 
 WIDTH = 64
 GRID, LOW = 32, 8
@@ -171,7 +171,7 @@ def load(df: DataFrame, media_col: str = "media") -> DataFrame:
             hashes = pa.array([None if r is None else low_frequencies(r) for r in read], pa.binary())
             yield pa.record_batch([*block.columns, samples, hashes], names=[*others, "payload", "picture_hash"])
 
-    return df.mapInArrow(run, df.schema.add("payload", "binary").add("picture_hash", "binary"))
+    return df.mapInArrow(run, with_fields(df, payload="binary", picture_hash="binary"))
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.bpe import VOCAB, word_bpe
-from sieveline.llm.common import blocks, pick
+from sieveline.llm.common import blocks, pick, with_fields
 from sieveline.session import cut_lineage
 
 WINDOW = 2048
@@ -141,7 +141,7 @@ def place(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIE
     """
     names = pieces.columns
     groups = max(1, -(-pieces.count() // group_pieces))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = with_fields(pieces, sequence_id="long", offset="long")
 
     def pack(group: pa.Table) -> pa.Table:
         number = group.column("bin")[0].as_py()
