@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, html_extract, media, packing, topk
+from sieveline.llm import bpe, html_extract, license_scan, media, packing, pii, topk
 from sieveline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     texts = html_extract.extract(pages, html_extract.train(pages))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op5_license_scan", license_scan.check_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
