@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, html_extract, license_scan, media, ngram_join, packing, pii, topk, toxicity
+from sieveline.llm import bpe, html_extract, license_scan, media, ngram_join, packing, pii, suffix_dedup, topk, toxicity
 from sieveline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_jaccard_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_all(table(spark, sf_dir, "documents"))
