@@ -56,19 +56,25 @@ LABELERS = ("pattern", "gazetteer", "context", "shape", "border")
 STEP = 256
 
 
-def prefix_sums(values: Column) -> Column:
-    """Running sums of an array of ints, led by 0; built in stretches, so long arrays stay near linear."""
-    zero = F.array(F.lit(0).cast("long"))
-    scan = lambda a: F.aggregate(a, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    wide = F.transform(values, lambda x: x.cast("long"))
-    parts = F.when(F.size(wide) == 0, F.array(wide)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(wide), F.lit(1)), F.lit(STEP)), lambda i: F.slice(wide, i, STEP))
+def running(values: Column, start: Column, step) -> Column:
+    """Running values of an array under an associative `step`, led by `start`.
+
+    They are built in stretches and joined, so long arrays stay near linear.
+    """
+    scan = lambda a: F.aggregate(a, F.array(start), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+    fold = lambda a: F.aggregate(a, start, step)
+    parts = F.when(F.size(values) == 0, F.array(values)).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(STEP)), lambda i: F.slice(values, i, STEP))
     )
-    bases = F.slice(scan(F.transform(parts, total)), 1, F.size(parts))
+    bases = F.slice(scan(F.transform(parts, fold)), 1, F.size(parts))
     within = F.transform(parts, lambda p: F.slice(scan(p), 1, F.size(p)))
-    shifted = F.zip_with(within, bases, lambda w, b: F.transform(w, lambda x: x + b))
-    return F.concat(F.flatten(shifted), F.array(total(wide)))
+    joined = F.zip_with(within, bases, lambda w, b: F.transform(w, lambda x: step(b, x)))
+    return F.concat(F.flatten(joined), F.array(fold(values)))
+
+
+def prefix_sums(values: Column) -> Column:
+    """Running sums of an array of ints, led by 0."""
+    return running(F.transform(values, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
 
 
 def located(text: Column, pattern: str, hint: Column) -> Column:
@@ -344,3 +350,26 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns, with every span in the text replaced by its kind in brackets.
+
+    Spans that overlap are replaced as one, under the kind of the first. Null texts stay null.
+    """
+    names = df.columns
+    found = find(df, id_col, text_col, keep=tuple(names))
+    ends = running(F.transform("spans", lambda s: s["end"]), F.lit(0).cast("long"), lambda a, b: F.greatest(a, b))
+    text = F.col("text")
+    between = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def piece(s: Column, before: Column) -> Column:
+        fresh = F.concat(between(before, s["start"]), F.lit("["), s["kind"], F.lit("]"))
+        return F.when(s["start"] >= before, fresh).otherwise(F.lit(""))
+
+    held = found.withColumn("ends", ends)
+    pieces = F.zip_with("spans", F.slice("ends", 1, F.size("spans")), piece)
+    rest = between(F.element_at("ends", -1), F.length(text).cast("long"))
+    clean = F.when(F.size("spans") == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    clean = F.when(F.col(f"kept_{text_col}").isNotNull(), clean)
+    return held.select(*[clean.alias(n) if n == text_col else F.col(f"kept_{n}").alias(n) for n in names])

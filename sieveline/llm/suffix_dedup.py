@@ -385,6 +385,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = plain.select("*", *text_key(F.coalesce(text, F.lit(""))))
     joined = keyed.join(kept, ["k1", "k2"], "left")
     first = F.col("first_id").isNull() | place.eqNullSafe(F.col("first_id"))
-    fresh = F.when(~first, F.lit("")).when(F.col("kept").isNotNull(), F.decode("kept", F.lit("UTF-8"))).otherwise(text)
+    fresh = F.when(~first, F.lit("")).when(F.col("kept").isNotNull(), F.decode("kept", "UTF-8")).otherwise(text)
     columns = [fresh.alias(f"c{i}") if n == text_col else F.col(f"c{i}") for i, n in enumerate(names)]
     return joined.select(columns).toDF(*names)
