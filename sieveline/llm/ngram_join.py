@@ -342,10 +342,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     keepers = sets.filter("key = keeper").select("key")
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = rows[f"c{names.index(text_col)}"]
+    place, text = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
     keyed = _keyed(rows.withColumn("text", text), words)
     single = keyed.filter("key is null").drop("key")
-    order = F.struct(*[c for c in (f"c{names.index(id_col)}", *[c for c in rows.columns])])
+    order = F.struct(place.isNull().alias("none"), place.alias("id"), *rows.columns)
     kept = keyed.filter("key is not null").join(keepers, "key", "left_semi")
     kept = kept.groupBy("key").agg(F.min_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
     return kept.union(single.select(kept.columns)).toDF(*names)

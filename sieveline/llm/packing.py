@@ -136,7 +136,7 @@ def best_fit(lengths: list[int], window: int) -> list[tuple[int, int]]:
 def place(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Give every piece its `sequence_id` and its `offset` there.
 
-    `pieces` has `length`, `start`, `part` and any other columns, and is read
+    `pieces` has the columns of `cut`, the id first, and any others. It is read
     twice; pass a written table or a checkpoint.
     """
     names = pieces.columns
@@ -145,7 +145,7 @@ def place(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIE
 
     def pack(group: pa.Table) -> pa.Table:
         number = group.column("bin")[0].as_py()
-        group = group.sort_by([("length", "descending"), *[(n, "ascending") for n in names if n != "length"]])
+        group = group.sort_by([("length", "descending"), *[(n, "ascending") for n in (names[0], "start", "ids_crc32", "part")]])
         placed = best_fit(group.column("length").to_pylist(), window)
         at = np.array(placed, np.int64).reshape(-1, 2)
         group = group.drop_columns(["bin"])

@@ -168,6 +168,12 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.n
         same = (common + size <= depth) & (y < n) & (x < n)
         same[same] = rank[x[same]] == rank[y[same]]
         common[same] += size
+    going = common < depth
+    for _ in range(7):  # what is left is shorter than the first level
+        x, y = a + common, b + common
+        going &= (common < depth) & (x < n) & (y < n)
+        going[going] = data[x[going]] == data[y[going]]
+        common[going] += 1
     return order, np.concatenate([np.zeros(min(1, len(order)), np.int64), common])
 
 
