@@ -72,7 +72,7 @@ RULES = [
 
 # What separates sentences, the same in Java's and DuckDB's patterns
 DECORATION = r"[^\p{L}\p{N}\s.!?:,;()'/\-]+|[!?]{2,}"
-SENTENCE_END = r"[.!?:]+\s+|\s*\n\s*\n\s*"
+SENTENCE_END = r"[.!?]+\s+|\s*\n\s*\n\s*"
 LINE_START = r"\n\s*(\p{Lu})"
 OTHER = r"[^\p{L}\p{N}]+"
 MARK = "\x1e"

@@ -323,11 +323,12 @@ def listed(spans: Column) -> Column:
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """`id_col`, `base` and `spans` (sorted arrays of spans), and the columns to `keep`.
+    """`id`, `text`, `base` and `spans` (sorted arrays of spans), and the columns to `keep` as `kept0`, `kept1` ...
 
     Every row is read twice, once to learn the labelers' reliabilities.
     """
-    rows = pick(df, id_col, text_col, *keep).toDF("id", "text", *[f"kept_{n}" for n in keep])
+    held = [f"kept{i}" for i in range(len(keep))]
+    rows = pick(df, id_col, text_col, *keep).toDF("id", "text", *held)
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     found = proposals(base_spans(rows))
     weights = fit(found)
@@ -340,7 +341,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tu
         "fresh", lambda s, i: (i == 0) | (F.element_at("fresh", F.greatest(i, F.lit(1)))["end"] <= s["start"])
     )
     out = rowed.withColumn("spans", F.array_sort(F.concat("base", apart)))
-    return out.select("id", "base", "spans", *[f"base_{k}" for k in BASE], *[f"kept_{n}" for n in keep], "text")
+    return out.select("id", "base", "spans", *[f"base_{k}" for k in BASE], *held, "text")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -371,5 +372,6 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pieces = F.zip_with("spans", F.slice("ends", 1, F.size("spans")), piece)
     rest = between(F.element_at("ends", -1), F.length(text).cast("long"))
     clean = F.when(F.size("spans") == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    clean = F.when(F.col(f"kept_{text_col}").isNotNull(), clean)
-    return held.select(*[clean.alias(n) if n == text_col else F.col(f"kept_{n}").alias(n) for n in names])
+    at = names.index(text_col)
+    clean = F.when(F.col(f"kept{at}").isNotNull(), clean)
+    return held.select(*[clean.alias(n) if i == at else F.col(f"kept{i}").alias(n) for i, n in enumerate(names)])
