@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,14 @@ from tokenizers import Tokenizer
 from sieveline.llm.common import blocks, pick
 
 VOCAB = "word_bpe_49k.json"
-KNOWN_WORDS = 500_000
-"""Encodings of white-space separated words that a worker keeps; beyond it, it starts anew."""
+KNOWN_WORDS = 400_000
+"""Encodings that a worker keeps of the latest words, twice: the current and the ones before."""
 
 # The tokenizer file's own split pattern, end-of-word mark and white space
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PYTHON_SPACE = "\x1c\x1d\x1e\x1f"  # separates words to Python, not to the vocabulary
 
 _NEVER = 1 << 60
 _DEEP = 200
@@ -56,6 +57,29 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Recent:
+    """Ids by text, for about the `most` latest texts; what is asked for again stays."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Which of these are not known; those that are lie in `now` afterwards."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        now, before = self.now, self.before
+        out = []
+        for text in wanted.difference(now):
+            ids = before.get(text)
+            if ids is None:
+                out.append(text)
+            else:
+                now[text] = ids
+        return out
+
+
 class WordBpe:
     """A vocabulary with its merge trees, and the encodings of words met so far."""
 
@@ -77,7 +101,7 @@ class WordBpe:
             self.rank[pair] = at
             self.halves[self.ids[left + right]] = pair
         self.spines: dict[int, tuple[list, list]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.inner: dict[str, int] = {}
         self.final: dict[str, int] = {}
         for piece, i in self.ids.items():
@@ -91,8 +115,8 @@ class WordBpe:
         self.split = regex.compile(SPLIT).findall
         self.cut = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
         self.space = regex.compile(f"[{SPACE}]+")
-        self.known: dict[str, bytes] = {}
-        self.spelt: dict[str, list[int]] = {}
+        self.known = Recent(KNOWN_WORDS)  # of parts between white space
+        self.spelt = Recent(KNOWN_WORDS)  # of words
 
     def spine(self, token: int) -> tuple[list, list]:
         """(token, rank at which it is absorbed) down the left edge and down the right edge of its merge tree."""
@@ -124,124 +148,131 @@ class WordBpe:
                     return False
         return True
 
-    def survive(self, pair: tuple[int, int]) -> bool:
-        known = self.pairs.get(pair)
-        if known is None:
-            if len(self.pairs) > KNOWN_WORDS:
-                self.pairs.clear()
-            known = self.pairs[pair] = self.stable(*pair)
-        return known
-
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """Encodings of distinct words (in byte letters, without end marks) by one walk over their trie.
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct words (in byte letters, without end marks), by one walk over their trie.
 
         Words in sorted order are the leaves of their trie from left to right, so
         the path from the root is a stack: the letters shared with the word before
         stay on it with the states of their prefixes, and the rest is replaced.
         A state is worked out when a token that begins there asks for it.
         """
-        out: dict[str, list[int]] = {}
-        inner, final, longest, survive = self.inner, self.final, self.longest, self.survive
-        tokens: list[int | None] = [-1]  # last token of each prefix on the path
+        out: dict[str, bytes] = {}
+        inner, final, longest, pairs, stable = self.inner, self.final, self.longest, self.pairs, self.stable
+        if len(pairs) > KNOWN_WORDS:
+            pairs.clear()
+        tokens: list[int] = [0]  # last token of each prefix on the path, -1 while unknown
         starts = [0]  # and where it begins
 
         def state(depth: int) -> int:
-            token = tokens[depth]
-            return last(depth, inner) if token is None else token
-
-        def last(depth: int, ends: dict[str, int]) -> int:
-            for start in range(depth - 1, max(0, depth - longest) - 1, -1):
-                token = ends.get(word[start:depth])
-                if token is not None and (start == 0 or survive((state(start), token))):
-                    if ends is inner:
-                        tokens[depth], starts[depth] = token, start
-                    else:
-                        nonlocal begin
-                        begin = start
+            for start in range(depth - longest if depth > longest else 0, depth):
+                token = inner.get(word[start:depth])
+                if token is not None:
+                    if start:
+                        left = tokens[start]
+                        if left < 0:
+                            left = state(start)
+                        pair = left << 32 | token
+                        fits = pairs.get(pair)
+                        if fits is None:
+                            fits = pairs[pair] = stable(left, token)
+                        if not fits:
+                            continue
+                    tokens[depth], starts[depth] = token, start
                     return token
-            raise ValueError(f"the vocabulary cannot spell {word[max(0, depth - longest):depth]!r}")
+            raise ValueError(f"the vocabulary cannot spell {word[:depth]!r}")
 
-        before, begin = "", 0
+        before = ""
         for word in sorted(words):
             n, shared = len(word), 0
             for a, b in zip(word, before):
                 if a != b:
                     break
                 shared += 1
+            before = word
             del tokens[shared + 1 :], starts[shared + 1 :]
-            fresh = max(0, n - len(tokens) + 1)
-            tokens += [None] * fresh
-            starts += [0] * fresh
+            tokens += [-1] * (n - len(tokens))
+            starts += [0] * (n - len(starts))
             if n > _DEEP:  # prefixes in turn, lest the states ask for each other too deeply
                 for depth in range(1, n):
-                    state(depth)
-            ids = [last(n, final)]  # the last letter carries the end mark
-            while begin > 0:
-                ids.append(tokens[begin])
-                begin = starts[begin]
+                    if tokens[depth] < 0:
+                        state(depth)
+            for start in range(n - longest if n > longest else 0, n):  # the last letter carries the end mark
+                token = final.get(word[start:])
+                if token is not None:
+                    if not start:
+                        break
+                    left = tokens[start]
+                    if left < 0:
+                        left = state(start)
+                    pair = left << 32 | token
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        fits = pairs[pair] = stable(left, token)
+                    if fits:
+                        break
+            else:
+                raise ValueError(f"the vocabulary cannot spell {word!r}")
+            ids = [token]
+            while start:
+                ids.append(tokens[start])
+                start = starts[start]
             ids.reverse()
-            out[word] = ids
-            before = word
+            out[word] = array("i", ids).tobytes()
         return out
 
     def _words(self, part: str) -> list[str]:
         """A separated part, normalised and split as the vocabulary asks, in byte letters."""
-        if part.isascii() and part.isprintable():
-            return self.split(part.lower())
+        if part.isascii():
+            if part.isalpha():
+                return [part.lower()]
+            if part.isprintable():
+                return self.split(part.lower())
         if _OTHER_SCRIPT.search(part):  # letters and marks there depend on the library's Unicode version
             plain = self.library.normalizer.normalize_str(part)
             return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
-        plain = "".join([c.lower() for c in unicodedata.normalize("NFC", part)])
-        return [w.encode().decode("latin-1").translate(self.letters) for w in self.split(plain)]
+        plain = unicodedata.normalize("NFC", part).lower()
+        words = [plain] if plain.isalpha() else self.split(plain)
+        return [w.encode().decode("latin-1").translate(self.letters) for w in words]
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Put the encodings of all separated parts of these texts into `known`."""
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
+        """Put the ids of all separated parts of these texts into `known`."""
         fresh: set[str] = set()
         for parts in texts:
             fresh.update(parts)
-        fresh.difference_update(known)
-        spelt = self.spelt
-        if len(spelt) > KNOWN_WORDS:
-            spelt.clear()
-        split: dict[str, list] = {}
-        words: set[str] = set()
-        for part in fresh:
-            if "<|" in part and self.cut.search(part):
-                spelled: list = []
-                at = 0
-                for hit in self.cut.finditer(part):
-                    spelled += [*self._words(part[at : hit.start()]), self.special[hit.group()]]
-                    at = hit.end()
-                spelled += self._words(part[at:])
-                words.update(w for w in spelled if isinstance(w, str))
-            else:
-                spelled = self._words(part)
-                words.update(spelled)
-            split[part] = spelled
-        spelt.update(self.encode_words(words.difference(spelt)))
+        split = {part: self._spelled(part) for part in self.known.missing(fresh)}
+        words = {w for spelled in split.values() for w in spelled if isinstance(w, str)}
+        fresh_words = self.encode_words(self.spelt.missing(words))
+        of, known = self.spelt.now, self.known.now
+        of.update(fresh_words)
         for part, spelled in split.items():
-            ids: list[int] = []
-            for word in spelled:
-                if isinstance(word, int):
-                    ids.append(word)
-                else:
-                    ids += spelt[word]
-            known[part] = array("i", ids).tobytes()
+            if len(spelled) == 1 and isinstance(spelled[0], str):
+                known[part] = of[spelled[0]]
+            else:
+                known[part] = b"".join([of[w] if isinstance(w, str) else array("i", [w]).tobytes() for w in spelled])
+
+    def _spelled(self, part: str) -> list[str | int]:
+        """Words of a separated part, and the ids of special tokens in it."""
+        if "<|" not in part or not self.cut.search(part):
+            return self._words(part)
+        spelled: list[str | int] = []
+        at = 0
+        for hit in self.cut.finditer(part):
+            spelled += [*self._words(part[at : hit.start()]), self.special[hit.group()]]
+            at = hit.end()
+        return spelled + self._words(part[at:])
 
     def separate(self, text: str) -> list[str]:
         """Parts between white space; these never share a token."""
-        if text.isascii() and not _FOREIGN_SPACE.search(text):
-            return text.split()
-        return [p for p in self.space.split(text) if p]
+        for mark in PYTHON_SPACE:
+            if mark in text:
+                return [p for p in self.space.split(text) if p]
+        return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
         parts = [self.separate(t) for t in texts]
         self.learn(parts)
-        known = self.known
+        known = self.known.now
         return [b"".join([known[p] for p in ps]) for ps in parts]
 
     def decode(self, ids: bytes) -> str:
@@ -250,7 +281,6 @@ class WordBpe:
 
 
 _OTHER_SCRIPT = regex.compile("[^\\x00-\u024f\u2010-\u2027\u20ac]")
-_FOREIGN_SPACE = regex.compile("[\x1c-\x1f]")  # white space to Python, not to the vocabulary
 _LOADED: dict[str, WordBpe] = {}
 
 

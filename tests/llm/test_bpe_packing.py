@@ -47,6 +47,15 @@ def test_recent_keeps_what_is_asked_for_again():
     assert known.missing({"d"}) == ["d"]
 
 
+def test_small_memory_changes_nothing():
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choice("aeint.") for _ in range(rnd.randint(1, 5))) for _ in range(80)) for _ in range(60)]
+    want = bpe.word_bpe().encode(texts)
+    small = bpe.WordBpe(bpe.vocab_path(bpe.VOCAB))
+    small.known, small.spelt = bpe.Recent(30), bpe.Recent(20)
+    assert [ids for text in texts for ids in small.encode([text])] == want
+
+
 def test_encode_decode_rows(make_docs, library):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "with no id"), (3, None), (2, TEXTS[2]), (2, TEXTS[2])]
     out = bpe.encode_decode(make_docs(rows)).collect()
