@@ -199,35 +199,42 @@ def download_plan(df: DataFrame, value: str, seed: int, split: str | None = None
     return placed.drop("_h")
 
 
-def inverse_frequency_resample(
-    df: DataFrame, ident: str, groups: Sequence[str], seed: int, most: int = 64
-) -> DataFrame:
+POISSON_STEPS = 18
+"""Up to a mean of 1, the Poisson distribution function is 1 to the last bit of a double after so many steps."""
+
+
+def inverse_frequency_resample(df: DataFrame, ident: str, groups: Sequence[str], seed: int) -> DataFrame:
     """Draw as many rows as there are, with replacement, every group equally likely.
 
-    Each row gets a Poisson number of copies from its own hash, with mean
-    n / (groups * group size): no shared generator, so any task order gives the same rows.
+    A row's number of copies is Poisson with mean n / (groups * group size), however
+    large: it is cut into parts with a mean of at most 1, and each part draws with
+    its own hash. There is no shared generator, so any task order gives the same
+    rows. `part` and `copy` tell the copies of a row apart.
     """
     groups = list(groups)
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
-    every = Window.partitionBy()
-    mean = F.sum("_size").over(every) / (F.count(F.lit(1)).over(every) * F.col("_size"))
-    start = F.struct(F.exp(-F.col("_mean")).alias("p"), F.array(F.exp(-F.col("_mean"))).alias("cdf"))
+    totals = sizes.agg((F.sum("_size") / F.count(F.lit(1))).alias("share")).scalar()
+    tables = sizes.withColumn("_mean", totals / F.col("_size")).withColumn("_parts", F.ceil("_mean").cast("long"))
+    rate = F.col("_mean") / F.col("_parts")
+    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
 
     def step(acc, i):
-        p = acc["p"] * F.col("_mean") / i
-        return F.struct(
-            p.alias("p"), F.array_append(acc["cdf"], F.element_at(acc["cdf"], -1) + p).alias("cdf")
-        )
-
-    # Poisson distribution function of every group, looked up at the row's own uniform number
-    tables = sizes.withColumn("_mean", mean).select(
-        *groups, F.aggregate(F.sequence(F.lit(1), F.lit(most - 1)), start, step)["cdf"].alias("_cdf")
-    )
-    rows = df.withColumn("_u", hash_unit(stable_hash(ident, seed))).join(tables, groups)
-    copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    drawn = rows.withColumn("_copies", copies).where(F.col("_copies") > 0)
+        p = acc["p"] * rate / i
+        return F.struct(p.alias("p"), F.array_append(acc["cdf"], F.element_at(acc["cdf"], -1) + p).alias("cdf"))
+
+    steps = F.sequence(F.lit(1), F.lit(POISSON_STEPS - 1))
+    tables = tables.select(*groups, "_parts", F.aggregate(steps, start, step)["cdf"].alias("_cdf"))
+    # parts in two steps, so that no row holds all of them at once
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_parts") - 1) / 1024).cast("long")))
+    rows = df.join(tables, groups).withColumn("_block", blocks)
+    first = F.col("_block") * 1024
+    parts = F.explode(F.sequence(first, F.least(first + 1023, F.col("_parts") - 1)))
+    rows = rows.withColumn("part", parts)
+    u = hash_unit(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("part"), F.col(ident)), 256))
+    rows = rows.withColumn("_u", u).withColumn("_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
+    drawn = rows.where(F.col("_copies") > 0)
     return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop(
-        "_cdf", "_u", "_copies"
+        "_cdf", "_u", "_copies", "_parts", "_block"
     )
 
 

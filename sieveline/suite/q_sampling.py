@@ -151,11 +151,23 @@ def _(t):
     return s.download_plan(t.events, "user_id", 7, "public_test")
 
 
-@case("q_L13_inverse_frequency_resample")
+@case(
+    "q_L13_inverse_frequency_resample",
+    """WITH g AS (SELECT type, y_true, count(*) AS size FROM predictions_wide GROUP BY type, y_true),
+       m AS (SELECT type, y_true, share / size AS mean, ceil(share / size) AS parts FROM g, (SELECT sum(size) / count(*) AS share FROM g) t),
+       p AS (SELECT w.id, m.type, m.y_true, mean / parts AS rate, unnest(range(0, CAST(parts AS BIGINT))) AS part
+             FROM predictions_wide w JOIN m ON w.type = m.type AND w.y_true = m.y_true),
+       h AS (SELECT *, CAST('0x' || substr(sha256('7:' || part || ':' || id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM p),
+       c AS (SELECT type, y_true, id, sum(len([k FOR k IN range(0, 18)
+                IF exp(-rate) * list_sum([pow(rate, j) / factorial(CAST(j AS INTEGER))::DOUBLE FOR j IN range(0, k + 1)]) <= u])) AS n
+             FROM h GROUP BY type, y_true, id)
+       SELECT type, y_true, CAST(sum(n) AS BIGINT) AS n_drawn, count(*) AS n_rows, CAST(max(n) AS BIGINT) AS most_copies
+       FROM c WHERE n > 0 GROUP BY type, y_true""",
+)
 def _(t):
     drawn = s.inverse_frequency_resample(t.predictions_wide, "id", ["type", "y_true"], 7)
-    return drawn.groupBy("type", "y_true").agg(
-        F.count(F.lit(1)).alias("n_drawn"), F.count_distinct("id").alias("n_rows"), F.max("copy").alias("most_copies")
+    return drawn.groupBy("type", "y_true", "id").count().groupBy("type", "y_true").agg(
+        F.sum("count").alias("n_drawn"), F.count(F.lit(1)).alias("n_rows"), F.max("count").alias("most_copies")
     )
 
 

@@ -96,6 +96,13 @@ def test_resample_is_balanced_and_repeatable(spark):
     assert 380 < small < 620 and 850 < len(once) < 1150
 
 
+def test_a_tiny_group_is_drawn_as_often_as_a_large_one(spark):
+    rows = [(i, "big" if i < 1998 else "tiny") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id bigint, g string")
+    drawn = {r["g"]: r["count"] for r in sampling.inverse_frequency_resample(df, "id", ["g"], 5).groupBy("g").count().collect()}
+    assert 850 < drawn["tiny"] < 1150 and 850 < drawn["big"] < 1150
+
+
 @pytest.mark.parametrize("hot", [1, 3, 10_000])
 def test_hamming_pairs(spark, hot):
     rng = np.random.default_rng(3)

@@ -171,3 +171,29 @@ def test_views_agree_with_their_sql_form(spark):
     t = Tables(spark, SF)
     assert t.predictions.count() == 3 * t.events.count()
     assert t.pictures.count() == 2 * t.embeddings.count()
+
+
+def test_scan_reads_all_rules_at_once(spark):
+    import re
+
+    from sieveline.operators import textscan
+
+    text = "a token: abcdefghijklmnop\nC:\\Users\\bob\\x.txt and C:\\Users\\<you>\\y\n" + "secret = ABCDEFGHIJKLMN\n" * 600
+    df = spark.createDataFrame([(1, text), (2, None), (3, "nothing"), (4, "")], "doc_id long, text string")
+    found = sorted((r["issue"], r["line"], r["example"]) for r in textscan.scan(df, "doc_id", "text", textscan.PRIVACY_RULES).collect())
+    want = []
+    for rule in textscan.PRIVACY_RULES:
+        for m in re.finditer(rule.pattern.replace("(?i)", ""), text, re.I):
+            around = text[max(0, m.start() - 60) : m.end() + 60].replace("\r", " ").replace("\n", " ")
+            want.append((rule.issue, text.count("\n", 0, m.start()) + 1, around))
+    assert found == sorted(want) and len(found) == 602
+
+
+def test_running_values_cross_stretches(spark):
+    from pyspark.sql import functions as F
+
+    from sieveline.functions import arrays
+
+    df = spark.range(1).select(F.sequence(F.lit(1), F.lit(3 * arrays.STEP + 5)).alias("a"), F.array().cast("array<int>").alias("e"))
+    row = df.select(arrays.prefix_sums(F.col("a")).alias("s"), arrays.prefix_sums(F.col("e")).alias("z")).first()
+    assert row["s"] == [i * (i + 1) // 2 for i in range(3 * arrays.STEP + 6)] and row["z"] == [0]
