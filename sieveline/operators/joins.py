@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.plans.guards import guarded, no_nulls, same_labels, unique_on
+from sieveline.plans.guards import by_key, holding
 from sieveline.plans.ordered import positions
 
 
@@ -38,34 +38,43 @@ def align_scores(df: DataFrame, key: str, methods: Sequence[str]) -> DataFrame:
 
 
 def strict_one_to_one(left: DataFrame, right: DataFrame, key: str, label: str | None = None) -> DataFrame:
-    """Inner join where both sides are unique on the key and neither loses a row."""
+    """Join where both sides are unique on the key and neither loses a row; each side is read once."""
     other = right if label is None else right.withColumnRenamed(label, f"_{label}")
-    joined = left.join(other, key)
-    counts = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    whole = (
-        joined,
-        (F.count(F.lit(1)) == F.max(F.lit(0)) + counts(left)) & (F.count(F.lit(1)) == counts(right)),
-        f"rows without a partner on {key}",
+    sides = by_key(left, key, "_left", "_n_left").join(by_key(other, key, "_right", "_n_right"), key, "full_outer")
+    once = lambda c: F.coalesce(F.col(c), F.lit(1)) == 1
+    sound = holding(
+        sides,
+        (once("_n_left") & once("_n_right"), f"duplicate keys on {key}"),
+        (F.col("_n_left").isNotNull() & F.col("_n_right").isNotNull(), f"rows without a partner on {key}"),
     )
-    checks = [unique_on(left, key), unique_on(right, key), whole]
-    if label is not None:
-        checks.append(same_labels(joined, label, f"_{label}"))
-        return guarded(joined, checks).drop(f"_{label}")
-    return guarded(joined, checks)
+    fields = [f"_left.{c}" for c in left.columns if c != key] + [f"_right.{c}" for c in other.columns if c != key]
+    joined = sound.select(key, *fields)
+    if label is None:
+        return joined
+    agree = F.col(label).eqNullSafe(F.col(f"_{label}"))
+    return holding(joined, (agree, f"labels disagree: {label}")).drop(f"_{label}")
+
+
+def _with_partner(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join of the struct `_row`; a row whose key the lookup holds more than once fails."""
+    joined = df.join(by_key(lookup, key, "_row", "_n"), key, "left")
+    return holding(joined, (F.coalesce("_n", F.lit(1)) == 1, f"duplicate keys on {key}")).drop("_n")
 
 
 def metadata_join(predictions: DataFrame, metadata: DataFrame, key: str, label: str = "y_true", meta_label: str = "label") -> DataFrame:
-    """Predictions with their metadata; every prediction must match and labels must agree."""
-    joined = predictions.join(metadata, key)
-    total = predictions.agg(F.count(F.lit(1)).alias("n")).scalar()
-    matched = (joined, F.count(F.lit(1)) == total, "predictions without metadata, or metadata with repeated keys")
-    return guarded(joined, [unique_on(metadata, key), matched, same_labels(joined, label, meta_label)])
+    """Predictions with their metadata; every prediction must match one row of it, and labels must agree."""
+    matched = holding(
+        _with_partner(predictions, metadata, key), (F.col("_row").isNotNull(), "predictions without metadata")
+    )
+    joined = matched.select(*matched.columns[:-1], *[f"_row.{c}" for c in metadata.columns if c != key])
+    agree = F.col(label).eqNullSafe(F.col(meta_label))
+    return holding(joined, (agree, f"labels disagree: {label} and {meta_label}"))
 
 
 def enrich(df: DataFrame, lookup: DataFrame, key: str, column: str) -> DataFrame:
     """Left join of one lookup column; a row without a value fails."""
-    joined = df.join(lookup.select(key, column), key, "left")
-    return guarded(joined, [unique_on(lookup, key), no_nulls(joined, column)])
+    joined = _with_partner(df, lookup.select(key, column), key).withColumn(column, F.col(f"_row.{column}")).drop("_row")
+    return holding(joined, (F.col(column).isNotNull(), f"missing values in {column}"))
 
 
 def paired_deltas(
@@ -112,9 +121,8 @@ def replace_by_key(target: DataFrame, detail: DataFrame, key: str, branch: str,
     """Swap one score column for the detail table's score; keys and labels must agree."""
     other = detail.select(key, F.col(label).alias("_label"), F.col(score).alias("_score"))
     joined = strict_one_to_one(target, other, key)
-    return guarded(joined, [same_labels(joined, label, "_label")]).withColumn(branch, F.col("_score")).drop(
-        "_label", "_score"
-    )
+    agree = F.col(label).eqNullSafe(F.col("_label"))
+    return holding(joined, (agree, f"labels disagree on {key}")).withColumn(branch, F.col("_score")).drop("_label", "_score")
 
 
 def replace_by_position(
@@ -127,12 +135,11 @@ def replace_by_position(
         "_at", F.col("y_true").alias("_label"), F.col(score).alias("_score"), F.col(reference).alias("_reference")
     )
     joined = strict_one_to_one(left, right, "_at")
-    close = (
-        joined,
-        F.max(F.abs(F.col("_reference") - F.col(branch))) <= tolerance,
-        "row order does not match: the unchanged score differs",
+    agree = F.col("y_true").eqNullSafe(F.col("_label"))
+    near = F.abs(F.col("_reference") - F.col(branch)) <= tolerance
+    checked = holding(
+        joined, (agree, "labels disagree by position"), (near, "row order does not match: the unchanged score differs")
     )
-    checked = guarded(joined, [same_labels(joined, "y_true", "_label"), close])
     return checked.withColumn(branch, F.col("_score")).drop("_at", "_label", "_score", "_reference")
 
 
@@ -153,16 +160,12 @@ def fallback_override(
     sample: DataFrame, scores: DataFrame, fallback: DataFrame, key: str, score: str, order: str
 ) -> DataFrame:
     """Sample rows with the predicted score where there is one, else the fallback, clipped to [0, 1]."""
-    first = scores.select(key, F.col(score).alias("_first"))
-    second = fallback.select(key, F.col(score).alias("_second"))
-    joined = sample.select(key, order).join(first, key, "left").join(second, key, "left")
+    joined = sample.select(key, order)
+    for source, name in ((scores, "_first"), (fallback, "_second")):
+        one = source.select(key, F.col(score).alias(name))
+        joined = _with_partner(joined, one, key).withColumn(name, F.col(f"_row.{name}")).drop("_row")
     value = F.coalesce("_first", "_second")
-    checks = [
-        unique_on(scores, key),
-        unique_on(fallback, key),
-        (joined, F.count_if(value.isNull()) == 0, "sample ids without any score"),
-    ]
-    return guarded(joined, checks).select(
+    return holding(joined, (value.isNotNull(), "sample ids without any score")).select(
         key,
         order,
         F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)).alias(score),

@@ -18,6 +18,19 @@ def guarded(df: DataFrame, checks: list[tuple[DataFrame, Column, str]]) -> DataF
     return df
 
 
+def holding(df: DataFrame, *rules: tuple[Column, str]) -> DataFrame:
+    """Rows of `df`; a row that breaks a rule (condition, message) fails the job. No other pass over the data is needed."""
+    for condition, message in rules:
+        df = df.where(F.assert_true(F.coalesce(condition, F.lit(False)), message).isNull())
+    return df
+
+
+def by_key(df: DataFrame, key: str, row: str, count: str) -> DataFrame:
+    """One row per key: its other columns as the struct `row` (any one of them if they are several) and how many there are."""
+    others = [F.col(c) for c in df.columns if c != key] or [F.lit(True).alias("there")]
+    return df.groupBy(key).agg(F.first(F.struct(*others)).alias(row), F.count(F.lit(1)).alias(count))
+
+
 def unique_on(df: DataFrame, *keys: str) -> tuple[DataFrame, Column, str]:
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return groups, F.coalesce(F.max("n") <= 1, F.lit(True)), f"duplicate keys on {', '.join(keys)}"

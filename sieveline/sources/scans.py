@@ -20,7 +20,7 @@ from sieveline.functions.scalar import (
     source_key,
     source_name,
 )
-from sieveline.plans.guards import guarded, no_nulls, not_empty, unique_on
+from sieveline.plans.guards import by_key, guarded, holding, no_nulls, not_empty, unique_on
 from sieveline.plans.ordered import positions
 
 
@@ -202,9 +202,15 @@ def dataset_catalog(texts: DataFrame, text: str = "text") -> DataFrame:
 def local_inventory(reference: DataFrame, files: DataFrame, ident: str = "id") -> DataFrame:
     """Reference rows that have a file, by file stem; a stem that occurs twice fails."""
     local = files.select(file_stem("path").alias(ident), F.col("path").alias("local_path"), F.col("length").alias("size_bytes"))
-    joined = reference.join(local, ident)
-    checks = [unique_on(local, ident), unique_on(reference, ident), not_empty(joined, "no file matches the reference")]
-    return guarded(joined, checks).withColumn("competition_path", competition_path("image_path"))
+    sides = by_key(reference, ident, "_row", "_n").join(by_key(local, ident, "_file", "_files"), ident, "full_outer")
+    once = lambda c: F.coalesce(F.col(c), F.lit(1)) == 1
+    sound = holding(sides, (once("_n") & once("_files"), f"duplicate keys on {ident}"))
+    found = sound.where(F.col("_n").isNotNull() & F.col("_files").isNotNull())
+    joined = found.select(
+        ident, *[f"_row.{c}" for c in reference.columns if c != ident], *[f"_file.{c}" for c in local.columns if c != ident]
+    )
+    checked = guarded(joined, [not_empty(joined, "no file matches the reference")])
+    return checked.withColumn("competition_path", competition_path("image_path"))
 
 
 def inventory_report(reference: DataFrame, files: DataFrame, ident: str = "id") -> DataFrame:
@@ -256,9 +262,13 @@ def manifest_sizes(df: DataFrame, manifest: DataFrame, local: DataFrame, name: s
     """File size from the manifest, else from local disk; a row with neither fails."""
     listed = manifest.select(name, F.col("size").alias("_listed"))
     disk = local.select(name, F.col("size").alias("_disk"))
-    joined = df.join(listed, name, "left").join(disk, name, "left").withColumn("size", F.coalesce("_listed", "_disk"))
-    checks = [unique_on(listed, name), unique_on(disk, name), no_nulls(joined, "size")]
-    return guarded(joined, checks).withColumn(
+    joined = df
+    for source, column in ((listed, "_listed"), (disk, "_disk")):
+        joined = joined.join(by_key(source, name, "_row", "_n"), name, "left")
+        joined = holding(joined, (F.coalesce("_n", F.lit(1)) == 1, f"duplicate keys on {name}"))
+        joined = joined.withColumn(column, F.col(f"_row.{column}")).drop("_row", "_n")
+    joined = joined.withColumn("size", F.coalesce("_listed", "_disk"))
+    return holding(joined, (F.col("size").isNotNull(), "missing values in size")).withColumn(
         "size_source", F.when(F.col("_listed").isNotNull(), "manifest").otherwise("disk")
     ).drop("_listed", "_disk")
 
