@@ -125,8 +125,8 @@ def evidence(counted: DataFrame) -> DataFrame:
     short = short.withColumns({"before": F.expr("left(short, length(short) - 1)"), "letter": F.expr("right(short, 1)")})
     before = short.groupBy("before").agg(F.sum("n").alias("before_n"), F.count("*").alias("before_kinds"))
     letters = short.groupBy("letter").agg(F.count("*").alias("letter_n"))
-    every = letters.agg(F.sum("letter_n").alias("all_n"))
-    alone = letters.crossJoin(every).select("letter", (F.col("letter_n") / F.col("all_n")).alias("alone"))
+    every = letters.agg(F.sum("letter_n").alias("n")).scalar()
+    alone = letters.select("letter", (F.col("letter_n") / every).alias("alone"))
     shared = short.join(before, "before").join(alone, "letter")
     shared = shared.select(
         "short",
@@ -243,7 +243,8 @@ def train(
     rows = rows.withColumn("fold", fold(F.col("id"))).filter(F.col("fold") != HELD_OUT)
     said = pick(labels, id_col, label_col).toDF("id", "toxic").filter("id is not null and toxic is not null")
     said = said.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    labelled = rows.join(said, "id")
+    # all labels take part, so their number has no bound; the same join at every size
+    labelled = rows.join(said.hint("merge"), "id")
     counted = cut_lineage(count_grams(labelled.filter(F.col("fold") != CURVE).select("text", "toxic")))
     spellings = _heaviest(evidence(counted), capacity)
     fresh = _measured(labelled.filter(F.col("fold") == CURVE).select("id", "text", "toxic"), spellings, None)
