@@ -282,7 +282,9 @@ def _by_windows(cut: DataFrame, length: int, keep: str) -> DataFrame:
 
 def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first", hot: int = HOT) -> DataFrame:
     """`k1`, `k2`, `at`, `windows`: runs of window starts in a text that are to be removed; from `id`, `k1`, `k2`, `text`."""
-    met = cut_lineage(_occurrences(rows, length, gram).join(_repeated_anchors(rows, length, gram), "anchor"))
+    # anchors written first: a join of two fresh shuffles can split a hot anchor, one onto an aggregate cannot
+    known = cut_lineage(_repeated_anchors(rows, length, gram))
+    met = cut_lineage(_occurrences(rows, length, gram).join(known, "anchor"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "at", "windows")
     kinds = met.groupBy("anchor", "body").agg(F.sum("times").alias("times"), F.min(place).alias("first"))
     kinds = cut_lineage(kinds)
