@@ -20,6 +20,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions.arrays import located, running
 from sieveline.llm.common import pick
 
 # The base patterns. Possessive repeats and the looks behind match the same as without, in linear time.
@@ -53,40 +54,6 @@ OTHER_CUES = r"(?i)(?:version|isbn|issn|doi|order|invoice|serial|page|figure|sec
 CONTEXT = 24
 """Code points before a proposal that the context labeler reads."""
 LABELERS = ("pattern", "gazetteer", "context", "shape", "border")
-STEP = 256
-
-
-def running(values: Column, start: Column, step) -> Column:
-    """Running values of an array under an associative `step`, led by `start`.
-
-    They are built in stretches and joined, so long arrays stay near linear.
-    """
-    scan = lambda a: F.aggregate(a, F.array(start), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
-    fold = lambda a: F.aggregate(a, start, step)
-    parts = F.when(F.size(values) == 0, F.array(values)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(STEP)), lambda i: F.slice(values, i, STEP))
-    )
-    bases = F.slice(scan(F.transform(parts, fold)), 1, F.size(parts))
-    within = F.transform(parts, lambda p: F.slice(scan(p), 1, F.size(p)))
-    joined = F.zip_with(within, bases, lambda w, b: F.transform(w, lambda x: step(b, x)))
-    return F.concat(F.flatten(joined), F.array(fold(values)))
-
-
-def prefix_sums(values: Column) -> Column:
-    """Running sums of an array of ints, led by 0."""
-    return running(F.transform(values, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
-
-
-def located(text: Column, pattern: str, hint: Column) -> Column:
-    """Matches of a pattern as array<struct<start, hit>>, starts in code points; `hint` says if there can be any."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(between, hits, lambda b, h: F.coalesce(F.length(b), F.lit(0)) + F.coalesce(F.length(h), F.lit(0)))
-    sums = prefix_sums(steps)
-    starts = F.zip_with(F.slice(sums, 1, F.size(hits)), F.slice(between, 1, F.size(hits)), lambda s, b: s + F.length(b))
-    found = F.zip_with(starts, hits, lambda s, h: F.struct(s.alias("start"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:bigint,hit:string>>")
-    return F.when(hint, found).otherwise(none)
 
 
 def digits(hit: Column) -> Column:
