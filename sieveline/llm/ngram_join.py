@@ -222,9 +222,13 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold) -> DataFrame:
-    """Those pairs `a`, `b` whose whole sets are similar enough."""
+def _verify(pairs: DataFrame, rows: DataFrame, words: int, threshold) -> DataFrame:
+    """Those pairs `a`, `b` whose whole sets are similar enough; the sets are made again, for these pairs alone."""
     part, whole = threshold
+    pairs = cut_lineage(pairs.select("a", "b"))
+    if not pairs.limit(1).count():
+        return pairs
+    sets = _whole_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +241,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold) -> DataFrame:
 
     x = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return cut_lineage(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"))
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -280,10 +284,11 @@ def link_sets(rows: DataFrame, words: int = WORDS, threshold=THRESHOLD) -> DataF
     """`key` and `root` of every set that links with another, from rows with `text`."""
     part, whole = threshold
     posted = _prefixes(rows, _sketch(rows, words), words, threshold)
-    often = posted.groupBy("token").count().filter("count > 1").select("token")
-    shared = posted.join(often, "token").distinct()
-    counts = shared.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = cut_lineage(shared.join(counts, "token"))
+    # counts are written first: a join of two fresh shuffles can split a hot token, one onto an aggregate cannot
+    often = cut_lineage(posted.groupBy("token").count().filter("count > 1").select("token"))
+    shared = cut_lineage(posted.join(often, "token").distinct())
+    counts = cut_lineage(shared.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1"))
+    shared = shared.join(counts, "token")
 
     # how much each L costs a set, and how central a set is in its lists
     free = F.col("n") - F.ceil(F.col("n") * part / whole).cast("int")
@@ -291,24 +296,23 @@ def link_sets(rows: DataFrame, words: int = WORDS, threshold=THRESHOLD) -> DataF
     costs = shared.groupBy("key").agg(*met)
     cost = F.array(*[F.struct((F.col(f"met{ell}") * (1 + VERIFY / ell)).alias("cost"), F.lit(ell).alias("matches")) for ell in range(1, MOST_MATCHES + 1)])
     chosen = costs.select("key", F.array_min(cost)["matches"].alias("matches"), F.col(f"met{MOST_MATCHES}").alias("mass"))
-    posts = cut_lineage(shared.join(chosen, "key").select("token", "key", "n", "at", "matches", "mass"))
-    sets = cut_lineage(_whole_sets(rows, chosen, words))
+    posts = shared.join(chosen, "key").select("token", "key", "n", "at", "matches", "mass")
 
     # first round: everything in a list against its most central set
     alone = posts.withColumn("comp", F.col("key")).withColumn("main", F.lit(None).cast("binary"))
-    centre = alone.groupBy("token").agg(F.max(F.struct("mass", "key", "n", "at", "matches", "comp", "main")).alias("c")).select("token", "c.*")
-    first = _verify(_candidates(centre, alone, F.col("x_key") != F.col("y_key"), threshold), sets, threshold)
-    first = cut_lineage(first)
+    centre = alone.groupBy("token").agg(F.max(F.struct("mass", "key", "n", "at", "matches", "comp", "main")).alias("c"))
+    centre = cut_lineage(centre.select("token", "c.*"))
+    first = _verify(_candidates(centre, alone, F.col("x_key") != F.col("y_key"), threshold), rows, words, threshold)
     roots = components(first)
 
     # second round: across components; all but the largest of a list against all others in it
     held = posts.join(roots, "key", "left").withColumn("comp", F.coalesce("root", "key"))
     sizes = held.groupBy("token", "comp").agg(F.count("*").alias("size"))
     mixed_lists = sizes.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
-    held = cut_lineage(held.join(mixed_lists.filter("kinds > 1"), "token"))
+    held = cut_lineage(held.join(cut_lineage(mixed_lists.filter("kinds > 1")), "token"))
     apart = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_main")) | (F.col("x_key") < F.col("y_key")))
     pairs = _candidates(held.filter("comp <> main"), held, apart, threshold)
-    second = cut_lineage(_verify(pairs, sets, threshold))
+    second = _verify(pairs, rows, words, threshold)
     return components(first.union(second))
 
 
