@@ -192,6 +192,17 @@ def _(t):
     return v.scan(t.documents, "doc_id", "text", v.PRIVACY_RULES)
 
 
+@case(
+    "q_V01_placeholder_counts",
+    r"""SELECT doc_id, CAST(1 + doc_id % 3 AS INTEGER) AS n_placeholders FROM documents WHERE doc_id % 7 = 0""",
+)
+def _(t):
+    # the given texts name no such folder: a seventh of them gets one to three
+    noted = F.when(F.col("doc_id") % 7 == 0, F.repeat(F.lit(" C:\\Users\\<you>\\data"), (1 + F.col("doc_id") % 3).cast("int")))
+    marked = t.documents.withColumn("text", F.concat("text", F.coalesce(noted, F.lit(""))))
+    return v.placeholder_counts(marked, "doc_id", "text")
+
+
 NAMES = ("marie", "bank", "license")
 
 

@@ -59,6 +59,15 @@ def _(t):
     return s.leave_one_group_out_folds(t.corpus, "source")
 
 
+@case(
+    "q_L04_leave_one_group_out_rows",
+    "SELECT id, y_true, seed, CASE WHEN seed = 17 THEN 'val' ELSE 'train' END AS split FROM predictions_wide",
+)
+def _(t):
+    rows = t.predictions_wide.select("id", "y_true", "seed")
+    return s.leave_one_group_out(rows, "seed", 17, "y_true")
+
+
 LIMIT = 1001
 
 

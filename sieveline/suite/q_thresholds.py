@@ -257,15 +257,18 @@ def _(t):
 
 
 def _fitted(t, name):
-    """One method's rows, calibrated, as mean and spread per class."""
-    rows = t.predictions.where(F.col("method") == "alpha")
-    done = c.fit_calibrator(name, rows)(rows)
-    return done.groupBy("y_true").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("calibrated").alias("mean"),
-        F.min("calibrated").alias("low"),
-        F.max("calibrated").alias("high"),
-    )
+    """Every method's rows, calibrated by a fit of its own, as mean and spread per class."""
+    out = None
+    for method in ("alpha", "beta", "gamma"):
+        rows = t.predictions.where(F.col("method") == method)
+        done = c.fit_calibrator(name, rows)(rows).groupBy("method", "y_true").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.avg("calibrated").alias("mean"),
+            F.min("calibrated").alias("low"),
+            F.max("calibrated").alias("high"),
+        )
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 for _key, _name in (

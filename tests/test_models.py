@@ -179,3 +179,14 @@ def test_poisson_bootstrap_covers_the_mean(spark):
     df = spark.range(2000).withColumn("k", F.lit("a")).withColumn("v", F.col("id") % 10)
     row = r.poisson_bootstrap(df, ["k"], "id", "v", replicates=100).first()
     assert row["ci_low"] < row["mean"] == 4.5 < row["ci_high"] and row["ci_high"] - row["ci_low"] < 0.4
+
+
+def test_paired_support_columns(spark):
+    rows = [(s, m, 0.5 + 0.1 * (m == "new") + 0.01 * s, 0.3 - 0.1 * (m == "new"), None) for s in range(3) for m in ("new", "old")]
+    df = spark.createDataFrame(rows, "seed int, method string, accuracy double, brier double, other double")
+    out = r.paired_support(df, "method", "new", "old", {"accuracy": "higher", "brier": "lower", "other": "higher"}, on=["seed"])
+    found = {x["metric"]: x for x in out.collect()}
+    assert found["accuracy"]["candidate_mean"] == pytest.approx(0.61) and found["accuracy"]["baseline_mean"] == pytest.approx(0.51)
+    assert found["brier"]["raw_ci_low"] == pytest.approx(-0.1) and found["brier"]["ci_low"] == pytest.approx(0.1)
+    assert found["brier"]["support_label"] == "consistent_gain_ci_excludes_zero"
+    assert found["other"]["support_label"] == "no_pairs" and found["other"]["n_pairs"] == 0
