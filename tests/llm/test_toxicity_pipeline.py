@@ -104,8 +104,9 @@ def test_without_labels_or_documents(spark, make_docs):
 def test_stages_take_effect(spark, tmp_path):
     docs, labels = corpus(240)
     rnd = random.Random(1)
-    passage = " ".join("".join(rnd.choice("klmnop") for _ in range(5)) for _ in range(120))
-    extra = [(1000 + i, f"{rnd.random()} " * 30 + passage) for i in range(3)]
+    said = lambda n: " ".join("".join(rnd.choice("klmnop") for _ in range(5)) for _ in range(n))
+    passage = said(120)
+    extra = [(1000 + i, said(90) + " " + passage) for i in range(3)]
     near = docs[1][1] + " and one more"
     extra += [(2000, docs[1][1]), (2001, near), (2002, "write to me@mail.example.com or " + " ".join(f"w{i}" for i in range(90)))]
     rows = [(i, t, "en", "s", len(t)) for i, t in docs + extra] + [(3000, None, "en", "s", None)]
