@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import blocks, pick, with_fields
 from sieveline.llm.rolling import inverse_powers, mixed, powers, weights_of
-from sieveline.session import cut_lineage
+from sieveline.session import cut_lineage, scratch_path
 
 WORDS = 5
 BLOCK = 2 << 20
@@ -128,13 +128,16 @@ def needed(n, m, threshold=THRESHOLD):
     return F.floor(total / (part + whole)).cast("int") if isinstance(n, Column) else total // (part + whole)
 
 
-def _prefixes(rows: DataFrame, sketch: np.ndarray, words: int, threshold) -> DataFrame:
-    """`token`, `key`, `n`, `at`: the longest prefix that a set could need, rare shingles first."""
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)
+def _prefixes(rows: DataFrame, sketch: np.ndarray, words: int, threshold, among: np.ndarray | None = None) -> DataFrame:
+    """`token`, `key`, `n`, `at`: the longest prefix that a set could need, rare shingles first.
+
+    With a filter, only of the tokens that pass it; places count all.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((sketch, among))
     part, whole = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, done = shared.value, set()
+        (often, bits), done = shared.value, set()
         for block in blocks(batches, "text", BLOCK):
             tokens, keys, sizes, places = [], [], [], []
             for found in shingle_sets(block.column("text").to_pylist(), words):
@@ -146,10 +149,15 @@ def _prefixes(rows: DataFrame, sketch: np.ndarray, words: int, threshold) -> Dat
                 least = -(-n * part // whole)
                 take = min(n, n - least + MOST_MATCHES)
                 order = np.lexsort((found, often[found >> np.uint64(64 - SKETCH_BITS)]))[:take]
-                tokens.append(found[order])
-                keys += [key] * take
-                sizes.append(np.full(take, n, np.int32))
-                places.append(np.arange(take, dtype=np.int32))
+                prefix, place = found[order], np.arange(take, dtype=np.int32)
+                if bits is not None:
+                    word, bit = _places(prefix)
+                    passed = (bits[word] & bit) != 0
+                    prefix, place = prefix[passed], place[passed]
+                tokens.append(prefix)
+                keys += [key] * len(prefix)
+                sizes.append(np.full(len(prefix), n, np.int32))
+                places.append(place)
             if keys:
                 yield pa.record_batch(
                     [
@@ -164,21 +172,30 @@ def _prefixes(rows: DataFrame, sketch: np.ndarray, words: int, threshold) -> Dat
     return rows.select("text").mapInArrow(run, "token long, key binary, n int, at int")
 
 
-def _places(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word and bit of the filter for each key; keys are hashes already."""
-    halves = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)[:, 0]
-    return (halves & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64), np.uint64(1) << (halves >> np.uint64(58))
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of the filter for 64-bit hashes."""
+    return (hashes & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64), np.uint64(1) << (hashes >> np.uint64(58))
+
+
+def _halves(keys: list[bytes]) -> np.ndarray:
+    """The first 64 bits of each key."""
+    return np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)[:, 0]
 
 
 def _filter_of(wanted: DataFrame) -> np.ndarray:
-    """A fixed number of bits that tells most keys outside `wanted` from those inside."""
+    """A fixed number of bits that tells most values outside of `wanted` (one column of keys or tokens) from those inside."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, bit = _places(batch.column("key").to_pylist())
+            values = batch.column(0)
+            if pa.types.is_int64(values.type):
+                hashes = values.to_numpy().view(np.uint64)
+            else:
+                hashes = _halves(values.to_pylist())
+            word, bit = _places(hashes)
             yield pa.record_batch([pa.array(word), pa.array(bit.view(np.int64))], names=["word", "bits"])
 
-    words = wanted.select("key").mapInArrow(place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = wanted.mapInArrow(place, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     found = words.toArrow()
     out = np.zeros(1 << BLOOM_BITS, np.uint64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
@@ -201,7 +218,7 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
 def _whole_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """`key` and `shingles` (sorted 64-bit hashes) of the sets among `wanted`, once each."""
     # the filter lets pass a few more than wanted, and the join takes these out
-    shared = rows.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+    shared = rows.sparkSession.sparkContext.broadcast(_filter_of(wanted.select("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, done = shared.value, set()
@@ -213,7 +230,7 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     done.add(key)
                     fresh[key] = found
             if fresh:
-                word, bit = _places(list(fresh))
+                word, bit = _places(_halves(list(fresh)))
                 passed = [k for k, hit in zip(fresh, (bits[word] & bit) != 0) if hit]
                 held = pa.array([fresh[k].tobytes() for k in passed], pa.binary())
                 yield pa.record_batch([pa.array(passed, pa.binary()), held], names=["key", "shingles"])
@@ -280,13 +297,22 @@ def _candidates(left: DataFrame, right: DataFrame, where: Column, threshold) ->
     return ordered.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("asked").alias("asked")).filter("shared >= asked")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared scratch folder: smaller than a checkpoint of the same rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def link_sets(rows: DataFrame, words: int = WORDS, threshold=THRESHOLD) -> DataFrame:
     """`key` and `root` of every set that links with another, from rows with `text`."""
     part, whole = threshold
-    posted = _prefixes(rows, _sketch(rows, words), words, threshold)
+    sketch = _sketch(rows, words)
     # counts are written first: a join of two fresh shuffles can split a hot token, one onto an aggregate cannot
-    often = cut_lineage(posted.groupBy("token").count().filter("count > 1").select("token"))
-    shared = cut_lineage(posted.join(often, "token").distinct())
+    often = cut_lineage(_prefixes(rows, sketch, words, threshold).groupBy("token").count().filter("count > 1").select("token"))
+    # the prefixes are made again, and most tokens that stand alone are not sent at all
+    posted = _prefixes(rows, sketch, words, threshold, _filter_of(often))
+    shared = _written(posted.join(often, "token").distinct(), "shared")
     counts = cut_lineage(shared.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1"))
     shared = shared.join(counts, "token")
 
@@ -296,7 +322,7 @@ def link_sets(rows: DataFrame, words: int = WORDS, threshold=THRESHOLD) -> DataF
     costs = shared.groupBy("key").agg(*met)
     cost = F.array(*[F.struct((F.col(f"met{ell}") * (1 + VERIFY / ell)).alias("cost"), F.lit(ell).alias("matches")) for ell in range(1, MOST_MATCHES + 1)])
     chosen = costs.select("key", F.array_min(cost)["matches"].alias("matches"), F.col(f"met{MOST_MATCHES}").alias("mass"))
-    posts = shared.join(chosen, "key").select("token", "key", "n", "at", "matches", "mass")
+    posts = _written(shared.join(chosen, "key").select("token", "key", "n", "at", "matches", "mass"), "posts")
 
     # first round: everything in a list against its most central set
     alone = posts.withColumn("comp", F.col("key")).withColumn("main", F.lit(None).cast("binary"))
@@ -309,7 +335,7 @@ def link_sets(rows: DataFrame, words: int = WORDS, threshold=THRESHOLD) -> DataF
     held = posts.join(roots, "key", "left").withColumn("comp", F.coalesce("root", "key"))
     sizes = held.groupBy("token", "comp").agg(F.count("*").alias("size"))
     mixed_lists = sizes.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
-    held = cut_lineage(held.join(cut_lineage(mixed_lists.filter("kinds > 1")), "token"))
+    held = _written(held.join(cut_lineage(mixed_lists.filter("kinds > 1")), "token"), "held")
     apart = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_main")) | (F.col("x_key") < F.col("y_key")))
     pairs = _candidates(held.filter("comp <> main"), held, apart, threshold)
     second = _verify(pairs, rows, words, threshold)
