@@ -29,7 +29,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
+OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|(?<=0))"
 
 # Looser proposals
 SECRET = r"(?i)(?<![A-Za-z0-9_])(?:api[_-]?key|access[_-]?key|secret|token|passwo?r?d|pwd)[\x20\"']{0,3}[=:][\x20\"']{0,3}[A-Za-z0-9_+/=.-]{8,512}+"

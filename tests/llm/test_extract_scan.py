@@ -174,6 +174,19 @@ def test_base_spans_equal_python(make_docs):
     assert pii.digest(pii.find(make_docs([]))).collect() == []
 
 
+def test_addresses_with_zero_parts_are_base_spans(make_docs):
+    right = ["10.0.0.1", "192.168.0.1", "8.8.8.0", "127.0.0.1", "0.0.0.0", "00.0.0.1", "000.0255.00.010"]
+    wrong = ["256.0.0.0", "0.0.0.0256", "0.300.0.0", "0.0.0."]
+    texts = [f"at {t} now" for t in right + wrong]
+    found = {r["doc_id"]: r for r in pii.digest(pii.find(make_docs([*enumerate(texts)]))).collect()}
+    for i, text in enumerate(texts):
+        named = [f"{kind}:{a}:{b}" for a, _, b, kind in base_spans(text)]
+        assert found[i]["n_ip"] == (i < len(right)), text
+        assert found[i]["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest(), text
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(make_docs([*enumerate(texts)])).collect()}
+    assert all(clean[i] == "at [ip] now" for i in range(len(right)))
+
+
 def test_secrets_are_added_and_numbers_are_not(make_docs):
     rnd = random.Random(2)
     secrets = [f'so the token = "{rnd.randrange(16**40):040x}" is here' for _ in range(30)]
