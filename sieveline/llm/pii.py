@@ -32,9 +32,9 @@ BASE = ("email", "ip", "card", "phone")
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|(?<=0))"
 
 # Looser proposals
-SECRET = r"(?i)(?<![A-Za-z0-9_])(?:api[_-]?key|access[_-]?key|secret|token|passwo?r?d|pwd)[\x20\"']{0,3}[=:][\x20\"']{0,3}[A-Za-z0-9_+/=.-]{8,512}+"
+SECRET = r"(?i)(?<![A-Za-z0-9_])(?:api[_-]?key|access[_-]?key|secret|token|passwo?r?d|pwd)[\x20\"']{0,3}[=:][\x20\"']{0,3}[A-Za-z0-9_+/=.-]{8,}+"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)[\x20]?|[0-9]{2,4}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"
-SPELLED_EMAIL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+[\x20]?(?:\(at\)|\[at\])[\x20]?[A-Za-z0-9-]{1,63}+(?:[\x20]?(?:\.|\(dot\)|\[dot\])[\x20]?[A-Za-z0-9-]{1,63}+){1,8}"
+SPELLED_EMAIL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[\x20]?(?:\(at\)|\[at\])[\x20]?[A-Za-z0-9-]++(?:[\x20]?(?:\.|\(dot\)|\[dot\])[\x20]?[A-Za-z0-9-]++)++"
 LOOSE = {"email": SPELLED_EMAIL, "card": CARD, "phone": LOCAL_PHONE, "secret": SECRET}
 KINDS = ("email", "ip", "card", "phone", "secret")
 

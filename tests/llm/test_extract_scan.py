@@ -199,6 +199,18 @@ def test_secrets_are_added_and_numbers_are_not(make_docs):
     assert all(spans[i].startswith("card:8:") for i in range(60, 63))
 
 
+def test_long_secrets_and_spelled_addresses_go_whole(make_docs):
+    rnd = random.Random(4)
+    made = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    long = [f"so the token={made(2000)} is here" for _ in range(30)]
+    spelled = [f"mail {'a' * 70}{i}(at){'.'.join(['part'] * 12)}.com now" for i in range(30)]
+    hard = ["token=" * 4000, "a(at)" * 4000, "a(at)" + "b." * 20_000 + "com"]
+    docs = make_docs([*enumerate(long + spelled + hard)])
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert all(clean[i] == "so the [secret] is here" for i in range(30))
+    assert all(clean[i] == "mail [email] now" for i in range(30, 60))
+
+
 def test_redaction(make_docs):
     docs = make_docs([(1, "mail a.b@c.de, or é +1 (555) 555-0100 now"), (2, None), (3, "clean"), (4, "")])
     out = pii.redact(docs)
