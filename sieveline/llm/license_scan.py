@@ -1,8 +1,9 @@
 """Licence scan by sentence rules: sentences become known identifiers, and ordered identifiers become licences.
 
-A text is stripped of decoration, cut into sentences and normalised. A sentence
-that is a known licence sentence is replaced by its identifier, and what remains
-is the sequence of identifiers in text order. Rules are ordered sequences of
+A text is stripped of decoration and normalised: lines are joined, so neither
+wrapping nor comment marks cut a sentence. Known licence sentences are found
+wherever they stand, also inside longer ones (where two begin at one word, the
+longer counts), and become a sequence of identifiers in text order. Rules are ordered sequences of
 identifiers; longer rules are tried first, and what a rule has matched is used
 up. Identifiers that no rule has used are reported, since they hint at a licence
 that the rules do not know.
@@ -70,30 +71,108 @@ RULES = [
     ("MPL-2.0", ["mpl2-form"]),
 ]
 
-# What separates sentences, the same in Java's and DuckDB's patterns
+_LATER = "of the license or at your option any later version"
+_FSF = "as published by the free software foundation"
+_MODIFY = "is free software you can redistribute it and or modify it under the terms of the gnu"
+_NO_WARRANTY = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of " \
+    "merchantability or fitness for a particular purpose"
+_CC = "licensed under a creative commons"
+
+# Further sentences and rules of the scan; the check SQL knows those above alone
+MORE_SENTENCES = {
+    "gpl2-free": f"this program {_MODIFY} general public license {_FSF} either version 2 {_LATER}",
+    "gpl2-only": f"this program {_MODIFY} general public license {_FSF} version 2",
+    "gpl2-only-of": f"this program {_MODIFY} general public license version 2 {_FSF}",
+    "gpl3-only": f"this program {_MODIFY} general public license {_FSF} version 3",
+    "lgpl21-free": f"this library {_MODIFY} lesser general public license {_FSF} either version 2 1 {_LATER}",
+    "lgpl3-free": f"this library {_MODIFY} lesser general public license {_FSF} either version 3 {_LATER}",
+    "lgpl3-program": f"this program {_MODIFY} lesser general public license {_FSF} either version 3 {_LATER}",
+    "agpl3-free": f"this program {_MODIFY} affero general public license {_FSF} either version 3 {_LATER}",
+    "lgpl-warranty": f"this library {_NO_WARRANTY}",
+    "lgpl-received": "you should have received a copy of the gnu lesser general public license along with this library",
+    "lgpl-received-program": "you should have received a copy of the gnu lesser general public license along with this program",
+    "agpl-received": "you should have received a copy of the gnu affero general public license along with this program",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+    "following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-name": "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-warranty": "any express or implied warranties including but not limited to the implied warranties of merchantability "
+    "and fitness for a particular purpose are disclaimed",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+    "granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-and": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby "
+    "granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to "
+    "alter it and redistribute it freely subject to the following restrictions",
+    "boost-short": "distributed under the boost software license version 1 0",
+    "epl2-form": "made available under the terms of the eclipse public license 2 0",
+    "epl2-form-v": "made available under the terms of the eclipse public license v 2 0",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "ccby4-long": f"{_CC} attribution 4 0 international license",
+    "ccbysa4-long": f"{_CC} attribution sharealike 4 0 international license",
+    "ccbync4-long": f"{_CC} attribution noncommercial 4 0 international license",
+    "cc0-short": "cc0 1 0 universal",
+}
+MORE_RULES = [
+    ("BSD-3-Clause", ["bsd-allowed", "bsd-source", "bsd-binary", "bsd-name", "bsd-warranty"]),
+    ("BSD-2-Clause", ["bsd-allowed", "bsd-source", "bsd-binary", "bsd-warranty"]),
+    ("BSD-3-Clause", ["bsd-allowed", "bsd-source", "bsd-binary", "bsd-name"]),
+    ("BSD-2-Clause", ["bsd-allowed", "bsd-source", "bsd-binary"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-warranty", "gpl-received"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-warranty", "gpl-received"]),
+    ("GPL-2.0-only", ["gpl2-only-of", "gpl-warranty", "gpl-received"]),
+    ("GPL-3.0-only", ["gpl3-only", "gpl-warranty", "gpl-received"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-warranty", "lgpl-received"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "lgpl-warranty", "lgpl-received"]),
+    ("LGPL-3.0-or-later", ["lgpl3-program", "gpl-warranty", "lgpl-received-program"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-warranty", "agpl-received"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-warranty"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-warranty"]),
+    ("MPL-2.0", ["mpl2-form", "mpl2-copy"]),
+    ("GPL-2.0-or-later", ["gpl2-free"]),
+    ("GPL-2.0-only", ["gpl2-only"]),
+    ("GPL-2.0-only", ["gpl2-only-of"]),
+    ("GPL-3.0-only", ["gpl3-only"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-program"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-grant-and"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost-short"]),
+    ("EPL-2.0", ["epl2-form"]),
+    ("EPL-2.0", ["epl2-form-v"]),
+    ("Unlicense", ["unlicense-free"]),
+    ("CC-BY-4.0", ["ccby4-long"]),
+    ("CC-BY-SA-4.0", ["ccbysa4-long"]),
+    ("CC-BY-NC-4.0", ["ccbync4-long"]),
+    ("CC0-1.0", ["cc0-short"]),
+]
+
+# What separates sentences in the check SQL, the same in Java's and DuckDB's patterns
 DECORATION = r"[^\p{L}\p{N}\s.!?:,;()'/\-]+|[!?]{2,}"
 SENTENCE_END = r"[.!?]+\s+|\s*\n\s*\n\s*"
 LINE_START = r"\n\s*(\p{Lu})"
 OTHER = r"[^\p{L}\p{N}]+"
-MARK = "\x1e"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text. A line break ends one if the next line starts with a capital."""
-    plain = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), DECORATION, "")
-    cut = F.regexp_replace(F.regexp_replace(plain, SENTENCE_END, MARK), LINE_START, f"{MARK}$1")
-    lines = F.split(F.lower(F.regexp_replace(cut, f"[^\\p{{L}}\\p{{N}}{MARK}]+", " ")), MARK)
-    return F.transform(lines, lambda s: F.trim(s))
+def normalised(text: Column) -> Column:
+    """The words of a text without decoration, lower case, with one space before and after each."""
+    plain = F.regexp_replace(text, DECORATION, "")
+    return F.concat(F.lit(" "), F.trim(F.lower(F.regexp_replace(plain, OTHER, " "))), F.lit(" "))
 
 
-def identifiers(text: Column, known: dict[str, str] = SENTENCES) -> Column:
+def identifiers(text: Column, known: dict[str, str] = SENTENCES | MORE_SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in text order."""
     of = F.create_map(*[F.lit(x) for name, sentence in known.items() for x in (sentence, name)])
-    held = F.filter(sentences(text), lambda s: s.isin(list(known.values())))
+    any_known = "(?<= )(?:" + "|".join(sorted(known.values(), key=lambda s: (-len(s), s))) + ")(?= )"
+    held = F.regexp_extract_all(normalised(text), F.lit(any_known), F.lit(0))
     return F.transform(held, lambda s: F.element_at(of, s))
 
 
-def matched(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> tuple[Column, Column]:
+def matched(ids: Column, rules: list[tuple[str, list[str]]] = RULES + MORE_RULES) -> tuple[Column, Column]:
     """(names of the rules that match, distinct and sorted; identifiers left over), from identifiers as one text."""
     longest_first = sorted(rules, key=lambda rule: -len(rule[1]))
     rest, found = ids, []
@@ -126,7 +205,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def check_sql() -> str:
-    """The same scan in DuckDB's words: sentences as rows, rules as nested replacements."""
+    """The scan of SENTENCES and RULES in DuckDB's words, for texts where a known sentence stands alone on its lines."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(n)})" for n, s in SENTENCES.items())
     rest, cases = "spelled", []

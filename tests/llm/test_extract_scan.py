@@ -122,6 +122,86 @@ def test_license_rules(make_docs):
     assert license_scan.scan(make_docs([])).collect() == []
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+NAME = """3. Neither the name of the copyright holder nor the names of its contributors may
+   be used to endorse or promote products derived from this software without
+   specific prior written permission.
+"""
+
+
+def test_published_notices_are_known(make_docs):
+    notices = {
+        "Apache-2.0": APACHE,
+        "MIT": MIT,
+        "GPL-3.0-or-later": GPL.format(3),
+        "GPL-2.0-or-later": GPL.format(2),
+        "BSD-2-Clause": BSD.format(""),
+        "BSD-3-Clause": BSD.format(NAME),
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was "
+        "not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    }
+    rows, want = [], {}
+    for name, notice in notices.items():
+        for mark in ("", "# ", "// ", " * "):
+            want[len(rows)] = name
+            rows.append((len(rows), "Copyright 2020 A. Body\n\n" + "\n".join(mark + line for line in notice.split("\n")) + "\n\ncode"))
+    for name, line in (("MIT", "This file is licensed under the MIT License."), ("CC-BY-4.0", "Pictures: Licensed under CC BY 4.0; text too")):
+        want[len(rows)] = name
+        rows.append((len(rows), line))
+    found = license_scan.digest(license_scan.scan(make_docs(rows))).collect()
+    assert {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in found} == {i: (name, "") for i, name in want.items()}
+    known = {part for _, parts in license_scan.RULES + license_scan.MORE_RULES for part in parts}
+    assert known == set(license_scan.SENTENCES | license_scan.MORE_SENTENCES)
+
+
 def luhn(number):
     total = 0
     for i, c in enumerate(reversed(number)):
