@@ -27,10 +27,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity, learned from the labelled ones among them, lies below REJECT."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     names = docs.columns
-    scored = toxicity.score(docs, model, keep=tuple(names))
-    held = scored.toDF("id", *names, "toxicity")
+    others = [n for n in names if n not in ("doc_id", "text")]
+    texts = toxicity.store(docs, keep=tuple(others))
+    scored = toxicity.judge(texts, toxicity.learn(texts, table(spark, sf_dir, "labels")), with_text=True)
+    held = scored.toDF("doc_id", "text", *others, "toxicity")
     return held.filter(F.col("toxicity") < REJECT).select(*names)
 
 

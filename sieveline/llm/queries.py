@@ -90,7 +90,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    texts = toxicity.store(docs)
+    scored = toxicity.judge(texts, toxicity.learn(texts, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
     held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT, F.lit(False))
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")

@@ -11,10 +11,12 @@ Scores are normalised by length: the mean over the whole text, the highest mean
 over a few neighbouring words, and what single words say beyond the ordinary, as
 a sum on a log scale and against the text's length. So an insult counts the same in a
 short and in a long text. A logistic curve, fitted on a bounded sample of
-labelled texts that the counts have not seen, turns these into a probability.
+labelled texts, turns these into a probability. These texts are measured by
+counts that have not seen them; the model itself counts all labelled training texts.
 
-Counts are made over all labelled training texts. The model itself has a fixed
-capacity: the spellings whose evidence weighs most, found from a histogram.
+The evidence is a written table of any size. Texts are written once in packed
+blocks that list their distinct words. The words meet the evidence in joins, and
+the scores of a block's words are joined back to it.
 
 A null text is an empty one; texts without words have evidence 0 and get the
 curve's value there. A row with a null id is scored, and is not held out. Labels
@@ -33,22 +35,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sieveline.llm.common import blocks, pick, with_fields
-from sieveline.session import cut_lineage
+from sieveline.llm.common import blocks, pick
+from sieveline.session import cut_lineage, scratch_path
 
 ORDER = 6
 DISCOUNT = 0.75
 WINDOW = 4
 """Neighbouring words of the local mean."""
-CAPACITY = 1 << 18
-"""Spellings a model keeps at most."""
-KNOWN_WORDS = 400_000
-"""Word scores a worker remembers; beyond it, it starts anew."""
 FOLDS, HELD_OUT, CURVE = 5, 0, 1
-"""Folds by crc32 of the id; one is never learned from, one fits the curve, the rest are counted."""
+"""Folds by crc32 of the id; one is never learned from, one fits the curve by counts of the rest, and then is counted with them."""
 CURVE_ROWS = 20_000
 """Labelled texts the curve is fitted on at most: those whose id hashes lowest."""
 MEASURES = ("mean", "peak", "excess", "density")
@@ -62,10 +62,61 @@ words_of = re.compile(r"[^\W_]{1,64}").findall
 
 @dataclass
 class Model:
-    evidence: dict[str, float]
+    evidence: DataFrame | dict[str, float]
+    """`gram`, `evidence`, written; empty without labels."""
     curve: tuple[float, ...]
 
 
+@dataclass
+class Stored:
+    """Texts in written blocks: `block`, `body` (packed rows), `words`, `ids`, `keys` (of the texts)."""
+
+    table: DataFrame
+    fields: StructType
+    """Of the packed rows."""
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _packed(block: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(block)
+    return sink.getvalue().to_pybytes()
+
+
+def stored(rows: DataFrame) -> Stored:
+    """Rows with `id`, `text` and others, written once; block numbers hold for what was written."""
+    kind = rows.schema["id"].dataType.simpleString()
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for block in blocks(batches, "text"):
+            number += 1
+            words: set[str] = set()
+            for text in block.column("text").to_pylist():
+                words.update(words_of((text or "").lower()))
+            whole = pa.array([0, block.num_rows], pa.int32())
+            yield pa.record_batch(
+                [
+                    pa.array([number], pa.int64()),
+                    pa.array([_packed(block.select(names))], pa.binary()),
+                    pa.array([sorted(words)], pa.list_(pa.string())),
+                    *[pa.ListArray.from_arrays(whole, block.column(c)) for c in ("id", "key")],
+                ],
+                names=["block", "body", "words", "ids", "keys"],
+            )
+
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    schema = f"block long, body binary, words array<string>, ids array<{kind}>, keys array<long>"
+    return Stored(_written(keyed.mapInArrow(run, schema), "texts"), rows.schema)
+
+
 def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % FOLDS
 
@@ -106,6 +157,10 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_grams(labelled: DataFrame) -> DataFrame:
     """`gram`, `ordinary`, `toxic`: how often each class spells it; from `text` and `toxic` (0 or 1)."""
     words = labelled.mapInArrow(_count_words, "word string, ordinary long, toxic long")
+    return _spelled(words)
+
+
+def _spelled(words: DataFrame) -> DataFrame:
     words = words.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     spelled = words.mapInArrow(_count_grams, "gram string, ordinary long, toxic long")
     return spelled.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
@@ -150,6 +205,16 @@ def evidence(counted: DataFrame) -> DataFrame:
     return told.select("gram", "evidence", weight.alias("weight"))
 
 
+def _table(words: DataFrame, capacity: int | None) -> DataFrame | dict[str, float]:
+    """All evidence of counted words, written; with a capacity, the heaviest spellings alone."""
+    counted = cut_lineage(_spelled(words))
+    if capacity is not None:
+        return _heaviest(evidence(counted), capacity)
+    if not counted.limit(1).count():
+        return {}
+    return _written(evidence(counted).select("gram", "evidence"), "evidence")
+
+
 def _heaviest(told: DataFrame, capacity: int) -> dict[str, float]:
     """At most `capacity` spellings, those whose evidence weighs most; equal weights go together."""
     told = told.filter("weight > 0").withColumn("size", F.floor(F.log2("weight") * 8).cast("int"))
@@ -165,22 +230,30 @@ def _heaviest(told: DataFrame, capacity: int) -> dict[str, float]:
     return dict(zip(kept.column("gram").to_pylist(), kept.column("evidence").to_pylist()))
 
 
-class _WordScores(dict):
-    def __init__(self, evidence: dict[str, float]):
-        super().__init__()
-        self.evidence = evidence
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+            words, spelled, times = [], [], []
+            for word in part.column("word").to_pylist():
+                for gram, n in Counter(grams(word)).items():
+                    words.append(word)
+                    spelled.append(gram)
+                    times.append(n)
+            arrays = [pa.array(words, pa.string()), pa.array(spelled, pa.string()), pa.array(times, pa.int32())]
+            yield pa.record_batch(arrays, names=["word", "gram", "times"])
 
-    def __missing__(self, word: str) -> float:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        of = self.evidence
-        score = self[word] = sum([of.get(g, 0.0) for g in grams(word)])
-        return score
+
+def word_scores(words: DataFrame, evidence: DataFrame) -> DataFrame:
+    """`word` and `score` of distinct words; those of which nothing is known are left out."""
+    spelled = words.mapInArrow(_spell, "word string, gram string, times int")
+    both = spelled.join(evidence, "gram")
+    said = F.array_sort(F.collect_list(F.col("times") * F.col("evidence")))  # sums of one order
+    return both.groupBy("word").agg(F.aggregate(said, F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def measure(text: str | None, scores: dict[str, float]) -> tuple[float, float, float, float]:
     """MEASURES of a text; one shorter than WINDOW words has a peak as if it were that long."""
-    values = np.array([scores[w] for w in words_of((text or "").lower())])
+    values = np.array([scores.get(w, 0.0) for w in words_of((text or "").lower())])
     n = len(values)
     if not n:
         return 0.0, 0.0, 0.0, 0.0
@@ -191,21 +264,34 @@ def measure(text: str | None, scores: dict[str, float]) -> tuple[float, float, f
     return float(clipped.mean()), float(peak) / WINDOW, math.log1p(excess), excess / math.sqrt(n)
 
 
-def _measured(rows: DataFrame, evidence: dict[str, float], curve: tuple | None) -> DataFrame:
-    """The other columns of `rows` and, of each text, its measures, or the curve's value if there is one."""
-    shared = rows.sparkSession.sparkContext.broadcast(evidence)  # at most CAPACITY spellings
-    kept = [n for n in rows.columns if n != "text"]
+def _measured(
+    texts: Stored, evidence: DataFrame | dict[str, float], curve: tuple | None, with_text: bool = False
+) -> DataFrame:
+    """The other columns (or all) of the packed rows and, of each text, its measures, or the curve's value if there is one."""
+    blocked, names = texts.table, [f.name for f in texts.fields]
+    kept = [n for n in names if with_text or n != "text"]
+    if isinstance(evidence, dict):
+        evidence = blocked.sparkSession.createDataFrame(list(evidence.items()), "gram string, evidence double")
+    each = blocked.select("block", F.explode("words").alias("word"))
+    scored = _written(word_scores(each.select("word").distinct(), evidence), "words")
+    said = each.join(scored, "word").groupBy("block").agg(F.collect_list(F.struct("word", "score")).alias("said"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _WordScores(shared.value)
-        for block in blocks(batches, "text"):
-            found = [measure(t, scores) for t in block.column("text").to_pylist()]
-            columns = [[bend(curve, f) for f in found]] if curve else zip(*found)
-            arrays = [block.column(n) for n in kept] + [pa.array(c, pa.float64()) for c in columns]
-            yield pa.record_batch(arrays, names=kept + (["score"] if curve else list(MEASURES)))
+        for batch in batches:
+            for body, told in zip(batch.column("body"), batch.column("said")):
+                known = told.values
+                scores = dict(zip(known.field("word").to_pylist(), known.field("score").to_pylist())) if known is not None else {}
+                block = pa.ipc.open_stream(body.as_buffer()).read_next_batch()
+                found = [measure(t, scores) for t in block.column("text").to_pylist()]
+                columns = [[bend(curve, f) for f in found]] if curve else zip(*found)
+                arrays = [block.column(n) for n in kept] + [pa.array(c, pa.float64()) for c in columns]
+                yield pa.record_batch(arrays, names=kept + (["score"] if curve else list(MEASURES)))
 
     added = {"score": "double"} if curve else dict.fromkeys(MEASURES, "double")
-    return rows.mapInArrow(run, with_fields(rows.select(kept), **added))
+    fields = StructType([f for f in texts.fields if f.name in kept])
+    for name, kind in added.items():
+        fields = fields.add(name, kind)
+    return blocked.select("block", "body").join(said, "block", "left").select("body", "said").mapInArrow(run, fields)
 
 
 def bend(curve: tuple[float, ...], measures: tuple[float, ...]) -> float:
@@ -227,34 +313,84 @@ def fit_curve(measures: np.ndarray, labels: np.ndarray, pull: float = 0.3, round
     return tuple(float(v) for v in curve)
 
 
+def _labelled(texts: Stored, marks: DataFrame) -> DataFrame:
+    """`word`, `ordinary`, `toxic`, `fresh` per block of marked texts, and `text`, `toxic` of those the curve is fitted on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, marked in zip(batch.column("body"), batch.column("marks").to_pylist()):
+                said = pa.ipc.open_stream(body.as_buffer()).read_next_batch().column("text").to_pylist()
+                counts: dict[bool, tuple[Counter, Counter]] = {f: (Counter(), Counter()) for f in (False, True)}
+                out: list[tuple] = []
+                for m in marked:
+                    text = said[m["at"]] or ""
+                    counts[m["fresh"]][m["toxic"]].update(words_of(text.lower()))
+                    if m["fits"]:
+                        out.append((None, 1 - m["toxic"], m["toxic"], True, text))
+                for fresh, of in counts.items():
+                    out += [(w, of[0][w], of[1][w], fresh, None) for w in of[0].keys() | of[1].keys()]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+                columns = zip(*out) if out else [()] * len(kinds)
+                yield pa.record_batch(
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "ordinary", "toxic", "fresh", "text"]
+                )
+
+    by_block = marks.groupBy("block").agg(F.collect_list(F.struct("at", "toxic", "fresh", "fits")).alias("marks"))
+    joined = texts.table.select("block", "body").join(by_block, "block").select("body", "marks")
+    return _written(joined.mapInArrow(run, "word string, ordinary long, toxic long, fresh boolean, text string"), "counts")
+
+
+def learn(
+    texts: Stored, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", capacity: int | None = None
+) -> Model:
+    """Learn from all labelled texts outside the held-out fold; `id_col` is that of the labels.
+
+    The driver gets the measures of CURVE_ROWS texts, and of spellings none, or at most `capacity`.
+    """
+    row = F.posexplode(F.arrays_zip("ids", "keys")).alias("at", "row")
+    rows = texts.table.select("block", row).select("block", "at", F.col("row.ids").alias("id"), F.col("row.keys").alias("key"))
+    rows = rows.withColumn("fold", fold(F.col("id"))).filter(F.col("fold") != HELD_OUT)
+    said = pick(labels, id_col, label_col).toDF("id", "toxic").filter("id is not null and toxic is not null")
+    said = said.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    # all labels take part, so their number has no bound; the same join at every size
+    marks = rows.join(said.hint("merge"), "id").withColumn("fresh", F.col("fold") == CURVE)
+    marks = _written(marks.select("block", "at", "id", "key", "toxic", "fresh"), "marks")
+    fits = marks.filter("fresh").orderBy(F.xxhash64("id"), "id", "key", "block", "at").limit(CURVE_ROWS)
+    fits = fits.select("block", "at", F.lit(True).alias("fits"))
+    marks = marks.join(fits, ["block", "at"], "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
+    seen = _labelled(texts, marks)
+    words = seen.filter("word is not null")
+    others = _table(words.filter("not fresh"), capacity)
+    fitted = stored(seen.filter("text is not null").select(F.col("toxic").alias("id"), "text"))
+    found = sorted(tuple(r) for r in _measured(fitted, others, None).collect())
+    measures = np.array([r[1:] for r in found]).reshape(-1, len(MEASURES))
+    curve = fit_curve(measures, np.array([r[0] for r in found], float))
+    return Model(_table(words, capacity), curve)
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    capacity: int = CAPACITY,
+    capacity: int | None = None,
 ) -> Model:
-    """Learn from all labelled documents outside the held-out fold.
+    """`learn` from documents that are not stored yet."""
+    return learn(store(docs, id_col, text_col), labels, id_col, label_col, capacity)
 
-    The driver gets at most `capacity` spellings and the measures of CURVE_ROWS texts.
-    """
-    rows = pick(docs, id_col, text_col).toDF("id", "text")
-    rows = rows.withColumn("fold", fold(F.col("id"))).filter(F.col("fold") != HELD_OUT)
-    said = pick(labels, id_col, label_col).toDF("id", "toxic").filter("id is not null and toxic is not null")
-    said = said.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    # all labels take part, so their number has no bound; the same join at every size
-    labelled = rows.join(said.hint("merge"), "id")
-    counted = cut_lineage(count_grams(labelled.filter(F.col("fold") != CURVE).select("text", "toxic")))
-    spellings = _heaviest(evidence(counted), capacity)
-    fresh = _measured(labelled.filter(F.col("fold") == CURVE).select("id", "text", "toxic"), spellings, None)
-    seen = fresh.orderBy(F.xxhash64("id"), "id", *MEASURES, "toxic").limit(CURVE_ROWS).collect()
-    measures = np.array([[r[m] for m in MEASURES] for r in seen]).reshape(-1, len(MEASURES))
-    return Model(spellings, fit_curve(measures, np.array([r["toxic"] for r in seen], float)))
+
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> Stored:
+    """Documents for `learn` and `judge`, with the columns to `keep` as `kept0`, `kept1` ..."""
+    held = [f"kept{i}" for i in range(len(keep))]
+    return stored(pick(docs, id_col, text_col, *keep).toDF("id", "text", *held))
+
+
+def judge(texts: Stored, model: Model, with_text: bool = False) -> DataFrame:
+    """`id`, `text` if wanted, the kept columns, and `score` of every row's whole text."""
+    return _measured(texts, model.evidence, model.curve, with_text)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """`id_col`, the columns to `keep`, and `score` of every row's whole text."""
-    held = [f"kept{i}" for i in range(len(keep))]
-    rows = pick(docs, id_col, text_col, *keep).toDF("id", "text", *held)
-    return _measured(rows, model.evidence, model.curve).toDF(id_col, *keep, "score")
+    return judge(store(docs, id_col, text_col, keep), model).toDF(id_col, *keep, "score")

@@ -94,6 +94,16 @@ def test_held_out_texts_are_told_apart(spark, make_docs):
     assert scores[None] > 0.5 > scores[5000] == scores[5001]
 
 
+def test_the_model_keeps_every_spelling_of_all_training_folds(spark, make_docs):
+    docs, labels = corpus(200)
+    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(make_docs(docs), said)
+    counted = [(t, lab[2]) for (i, t), lab in zip(docs, labels) if zlib.crc32(str(i).encode()) % 5 != toxicity.HELD_OUT]
+    want = toxicity.evidence(toxicity.count_grams(spark.createDataFrame(counted, "text string, toxic int")))
+    found = {r["gram"]: r["evidence"] for r in model.evidence.collect()}
+    assert found == pytest.approx({r["gram"]: r["evidence"] for r in want.collect()})
+
+
 def test_without_labels_or_documents(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(make_docs([(1, "some text")]), none)
