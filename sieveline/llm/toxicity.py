@@ -4,8 +4,9 @@ One model learns how toxic texts spell, one how ordinary texts do. Letter counts
 up to the full context (the word's letters so far, at most ORDER - 1) are kept
 per class; below that both back off to the same continuation counts, so that an
 expression that is rare in one class is judged by what both share. A word's
-score is its toxic less its ordinary log-likelihood. A spelling that neither
-class has seen backs off alike in both and says nothing.
+score is its toxic less its ordinary log-likelihood. For a spelling that neither
+class has seen, what each keeps for new letters after its context is compared;
+what they share below that cancels, and a new context says nothing.
 
 Scores are normalised by length: the mean over the whole text, the highest mean
 over a few neighbouring words, and what single words say beyond the ordinary, as
@@ -47,6 +48,8 @@ ORDER = 6
 DISCOUNT = 0.75
 WINDOW = 4
 """Neighbouring words of the local mean."""
+NEW = "*"
+"""Stands for any letter not seen after a context; no word holds it."""
 FOLDS, HELD_OUT, CURVE = 5, 0, 1
 """Folds by crc32 of the id; one is never learned from, one fits the curve by counts of the rest, and then is counted with them."""
 CURVE_ROWS = 20_000
@@ -205,6 +208,16 @@ def evidence(counted: DataFrame) -> DataFrame:
     return told.select("gram", "evidence", weight.alias("weight"))
 
 
+def backoff(counted: DataFrame) -> DataFrame:
+    """`gram` (a context and NEW) and `evidence`: what each class keeps for letters it has not seen there, toxic over ordinary."""
+    names = ("ordinary", "toxic")
+    contexts = counted.groupBy(F.expr("left(gram, length(gram) - 1)").alias("context")).agg(
+        *[F.sum(c).alias(c) for c in names], *[F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in names]
+    )
+    left = lambda c: F.when(F.col(c) > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(c)).otherwise(F.lit(1.0))
+    return contexts.select(F.concat("context", F.lit(NEW)).alias("gram"), (F.log(left("toxic")) - F.log(left("ordinary"))).alias("evidence"))
+
+
 def _table(words: DataFrame, capacity: int | None) -> DataFrame | dict[str, float]:
     """All evidence of counted words, written; with a capacity, the heaviest spellings alone."""
     counted = cut_lineage(_spelled(words))
@@ -212,7 +225,7 @@ def _table(words: DataFrame, capacity: int | None) -> DataFrame | dict[str, floa
         return _heaviest(evidence(counted), capacity)
     if not counted.limit(1).count():
         return {}
-    return _written(evidence(counted).select("gram", "evidence"), "evidence")
+    return _written(evidence(counted).select("gram", "evidence").union(backoff(counted)), "evidence")
 
 
 def _heaviest(told: DataFrame, capacity: int) -> dict[str, float]:
@@ -246,7 +259,10 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_scores(words: DataFrame, evidence: DataFrame) -> DataFrame:
     """`word` and `score` of distinct words; those of which nothing is known are left out."""
     spelled = words.mapInArrow(_spell, "word string, gram string, times int")
-    both = spelled.join(evidence, "gram")
+    told = _written(spelled.join(evidence, "gram", "left"), "told")
+    fresh = told.filter("evidence is null").select("word", "times", F.concat(F.expr("left(gram, length(gram) - 1)"), F.lit(NEW)).alias("gram"))
+    fresh = fresh.join(evidence, "gram")
+    both = told.filter("evidence is not null").select("word", "times", "evidence").union(fresh.select("word", "times", "evidence"))
     said = F.array_sort(F.collect_list(F.col("times") * F.col("evidence")))  # sums of one order
     return both.groupBy("word").agg(F.aggregate(said, F.lit(0.0), lambda a, x: a + x).alias("score"))
 

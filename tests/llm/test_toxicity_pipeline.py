@@ -100,10 +100,24 @@ def test_the_model_keeps_every_spelling_of_all_training_folds(spark, make_docs):
     model = toxicity.train(make_docs(docs), said)
     counted = [(t, lab[2]) for (i, t), lab in zip(docs, labels) if zlib.crc32(str(i).encode()) % 5 != toxicity.HELD_OUT]
     want = toxicity.evidence(toxicity.count_grams(spark.createDataFrame(counted, "text string, toxic int")))
-    found = {r["gram"]: r["evidence"] for r in model.evidence.collect()}
+    found = {r["gram"]: r["evidence"] for r in model.evidence.collect() if not r["gram"].endswith(toxicity.NEW)}
     assert found == pytest.approx({r["gram"]: r["evidence"] for r in want.collect()})
 
 
+def test_new_letters_after_known_contexts_back_off_per_class(spark):
+    counted = spark.createDataFrame([("^a", 6, 2), ("^b", 2, 0), ("^ab", 0, 5)], "gram string, ordinary long, toxic long")
+    left = {r["gram"]: r["evidence"] for r in toxicity.backoff(counted).collect()}
+    d = toxicity.DISCOUNT
+    assert left == pytest.approx({"^*": math.log((d * 1 / 2) / (d * 2 / 8)), "^a*": math.log(d * 1 / 5)})
+    table = toxicity.evidence(counted).select("gram", "evidence").union(toxicity.backoff(counted))
+    known = {r["gram"]: r["evidence"] for r in table.collect()}
+    words = spark.createDataFrame([("ab",), ("ax",), ("x",)], "word string")
+    scores = {r["word"]: r["score"] for r in toxicity.word_scores(words, table).collect()}
+    assert scores["ax"] == pytest.approx(known["^a"] + known["^a*"])
+    assert scores["ab"] == pytest.approx(known["^a"] + known["^ab"])
+    assert scores["x"] == pytest.approx(known["^*"])
+
+
 def test_without_labels_or_documents(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(make_docs([(1, "some text")]), none)
