@@ -16,8 +16,8 @@ labelled texts, turns these into a probability. These texts are measured by
 counts that have not seen them; the model itself counts all labelled training texts.
 
 The evidence is a written table of any size. Texts are written once in packed
-blocks that list their distinct words. The words meet the evidence in joins, and
-the scores of a block's words are joined back to it.
+blocks that list the contexts of their words and the letters after each. These
+meet the evidence in a join, and what it says is joined back to the block.
 
 A null text is an empty one; texts without words have evidence 0 and get the
 curve's value there. A row with a null id is scored, and is not held out. Labels
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,18 +42,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sieveline.llm.common import blocks, pick
-from sieveline.session import cut_lineage, scratch_path
+from sieveline.session import scratch_path
 
 ORDER = 6
 DISCOUNT = 0.75
 WINDOW = 4
 """Neighbouring words of the local mean."""
+STORED_BYTES = 16 << 20
+"""Text of a stored block; the larger, the fewer contexts are listed twice."""
 NEW = "*"
 """Stands for any letter not seen after a context; no word holds it."""
 FOLDS, HELD_OUT, CURVE = 5, 0, 1
 """Folds by crc32 of the id; one is never learned from, one fits the curve by counts of the rest, and then is counted with them."""
 CURVE_ROWS = 20_000
 """Labelled texts the curve is fitted on at most: those whose id hashes lowest."""
+COUNTS = ("ordinary", "toxic", "fresh_ordinary", "fresh_toxic")
+"""By class: in the folds that the curve's texts are measured by, and in the curve's own."""
 MEASURES = ("mean", "peak", "excess", "density")
 START = (-3.0, 0.0, 1.0, 0.0, 0.5)
 """Curve before it has seen labels: at 0 evidence, and per measure."""
@@ -72,7 +76,7 @@ class Model:
 
 @dataclass
 class Stored:
-    """Texts in written blocks: `block`, `body` (packed rows), `words`, `ids`, `keys` (of the texts)."""
+    """Texts in written blocks: `block`, `body` (packed rows), `needed` (contexts with letters), `ids`, `keys` (of the texts)."""
 
     table: DataFrame
     fields: StructType
@@ -99,24 +103,31 @@ def stored(rows: DataFrame) -> Stored:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", STORED_BYTES):
             number += 1
             words: set[str] = set()
             for text in block.column("text").to_pylist():
                 words.update(words_of((text or "").lower()))
-            whole = pa.array([0, block.num_rows], pa.int32())
+            after: dict[str, set[str]] = defaultdict(set)
+            for gram in {g for w in words for g in grams(w)}:
+                after[gram[:-1]].add(gram[-1])
+            contexts = sorted(after)
+            letters = pa.array([sorted(after[c]) for c in contexts], pa.list_(pa.string()))
+            needed = pa.StructArray.from_arrays([pa.array(contexts, pa.string()), letters], names=["context", "letters"])
+            whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             yield pa.record_batch(
                 [
                     pa.array([number], pa.int64()),
                     pa.array([_packed(block.select(names))], pa.binary()),
-                    pa.array([sorted(words)], pa.list_(pa.string())),
-                    *[pa.ListArray.from_arrays(whole, block.column(c)) for c in ("id", "key")],
+                    whole(needed),
+                    whole(block.column("id")),
+                    whole(block.column("key")),
                 ],
-                names=["block", "body", "words", "ids", "keys"],
+                names=["block", "body", "needed", "ids", "keys"],
             )
 
     keyed = rows.withColumn("key", F.xxhash64("text"))
-    schema = f"block long, body binary, words array<string>, ids array<{kind}>, keys array<long>"
+    schema = f"block long, body binary, needed array<struct<context:string,letters:array<string>>>, ids array<{kind}>, keys array<long>"
     return Stored(_written(keyed.mapInArrow(run, schema), "texts"), rows.schema)
 
 
@@ -160,10 +171,6 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_grams(labelled: DataFrame) -> DataFrame:
     """`gram`, `ordinary`, `toxic`: how often each class spells it; from `text` and `toxic` (0 or 1)."""
     words = labelled.mapInArrow(_count_words, "word string, ordinary long, toxic long")
-    return _spelled(words)
-
-
-def _spelled(words: DataFrame) -> DataFrame:
     words = words.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     spelled = words.mapInArrow(_count_grams, "gram string, ordinary long, toxic long")
     return spelled.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
@@ -218,9 +225,8 @@ def backoff(counted: DataFrame) -> DataFrame:
     return contexts.select(F.concat("context", F.lit(NEW)).alias("gram"), (F.log(left("toxic")) - F.log(left("ordinary"))).alias("evidence"))
 
 
-def _table(words: DataFrame, capacity: int | None) -> DataFrame | dict[str, float]:
-    """All evidence of counted words, written; with a capacity, the heaviest spellings alone."""
-    counted = cut_lineage(_spelled(words))
+def _table(counted: DataFrame, capacity: int | None) -> DataFrame | dict[str, float]:
+    """All evidence of counted spellings, written; with a capacity, the heaviest spellings alone."""
     if capacity is not None:
         return _heaviest(evidence(counted), capacity)
     if not counted.limit(1).count():
@@ -243,33 +249,40 @@ def _heaviest(told: DataFrame, capacity: int) -> dict[str, float]:
     return dict(zip(kept.column("gram").to_pylist(), kept.column("evidence").to_pylist()))
 
 
-def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-            words, spelled, times = [], [], []
-            for word in part.column("word").to_pylist():
-                for gram, n in Counter(grams(word)).items():
-                    words.append(word)
-                    spelled.append(gram)
-                    times.append(n)
-            arrays = [pa.array(words, pa.string()), pa.array(spelled, pa.string()), pa.array(times, pa.int32())]
-            yield pa.record_batch(arrays, names=["word", "gram", "times"])
-
-
-def word_scores(words: DataFrame, evidence: DataFrame) -> DataFrame:
-    """`word` and `score` of distinct words; those of which nothing is known are left out."""
-    spelled = words.mapInArrow(_spell, "word string, gram string, times int")
-    told = _written(spelled.join(evidence, "gram", "left"), "told")
-    fresh = told.filter("evidence is null").select("word", "times", F.concat(F.expr("left(gram, length(gram) - 1)"), F.lit(NEW)).alias("gram"))
-    fresh = fresh.join(evidence, "gram")
-    both = told.filter("evidence is not null").select("word", "times", "evidence").union(fresh.select("word", "times", "evidence"))
-    said = F.array_sort(F.collect_list(F.col("times") * F.col("evidence")))  # sums of one order
-    return both.groupBy("word").agg(F.aggregate(said, F.lit(0.0), lambda a, x: a + x).alias("score"))
+def said_of(needed: DataFrame, evidence: DataFrame) -> DataFrame:
+    """`block` and `said` (per known context: it, its letters, their evidence), from `block`, `context`, `letters`.
+
+    A letter not seen after a context that is known has the evidence of NEW there.
+    """
+    entry = F.struct(F.expr("right(gram, 1)").alias("letter"), "evidence")
+    known = evidence.groupBy(F.expr("left(gram, length(gram) - 1)").alias("context"))
+    known = known.agg(F.map_from_entries(F.collect_list(entry)).alias("known"))
+    new = F.coalesce(F.try_element_at("known", F.lit(NEW)), F.lit(0.0))
+    values = F.transform("letters", lambda x: F.coalesce(F.try_element_at("known", x), new))
+    met = needed.join(known, "context").select("block", "context", "letters", values.alias("values"))
+    return met.groupBy("block").agg(F.collect_list(F.struct("context", "letters", "values")).alias("said"))
+
+
+class _WordScores(dict):
+    """Scores of the words of one block."""
+
+    def __init__(self, said):
+        super().__init__()
+        self.evidence: dict[str, float] = {}
+        if said is not None:
+            for context, letters, values in zip(*[said.field(c).to_pylist() for c in ("context", "letters", "values")]):
+                for letter, value in zip(letters, values):
+                    self.evidence[context + letter] = value
+
+    def __missing__(self, word: str) -> float:
+        of = self.evidence
+        score = self[word] = sum([of.get(g, 0.0) for g in grams(word)])
+        return score
 
 
 def measure(text: str | None, scores: dict[str, float]) -> tuple[float, float, float, float]:
     """MEASURES of a text; one shorter than WINDOW words has a peak as if it were that long."""
-    values = np.array([scores.get(w, 0.0) for w in words_of((text or "").lower())])
+    values = np.array([scores[w] for w in words_of((text or "").lower())])
     n = len(values)
     if not n:
         return 0.0, 0.0, 0.0, 0.0
@@ -288,15 +301,13 @@ def _measured(
     kept = [n for n in names if with_text or n != "text"]
     if isinstance(evidence, dict):
         evidence = blocked.sparkSession.createDataFrame(list(evidence.items()), "gram string, evidence double")
-    each = blocked.select("block", F.explode("words").alias("word"))
-    scored = _written(word_scores(each.select("word").distinct(), evidence), "words")
-    said = each.join(scored, "word").groupBy("block").agg(F.collect_list(F.struct("word", "score")).alias("said"))
+    needed = blocked.select("block", F.explode("needed").alias("n")).select("block", "n.context", "n.letters")
+    said = said_of(needed, evidence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, told in zip(batch.column("body"), batch.column("said")):
-                known = told.values
-                scores = dict(zip(known.field("word").to_pylist(), known.field("score").to_pylist())) if known is not None else {}
+                scores = _WordScores(told.values)
                 block = pa.ipc.open_stream(body.as_buffer()).read_next_batch()
                 found = [measure(t, scores) for t in block.column("text").to_pylist()]
                 columns = [[bend(curve, f) for f in found]] if curve else zip(*found)
@@ -330,30 +341,33 @@ def fit_curve(measures: np.ndarray, labels: np.ndarray, pull: float = 0.3, round
 
 
 def _labelled(texts: Stored, marks: DataFrame) -> DataFrame:
-    """`word`, `ordinary`, `toxic`, `fresh` per block of marked texts, and `text`, `toxic` of those the curve is fitted on."""
+    """`gram` and COUNTS per block of marked texts, and `text`, `toxic` of those the curve is fitted on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, marked in zip(batch.column("body"), batch.column("marks").to_pylist()):
                 said = pa.ipc.open_stream(body.as_buffer()).read_next_batch().column("text").to_pylist()
-                counts: dict[bool, tuple[Counter, Counter]] = {f: (Counter(), Counter()) for f in (False, True)}
+                words = [Counter() for _ in COUNTS]
                 out: list[tuple] = []
                 for m in marked:
                     text = said[m["at"]] or ""
-                    counts[m["fresh"]][m["toxic"]].update(words_of(text.lower()))
+                    words[2 * m["fresh"] + m["toxic"]].update(words_of(text.lower()))
                     if m["fits"]:
-                        out.append((None, 1 - m["toxic"], m["toxic"], True, text))
-                for fresh, of in counts.items():
-                    out += [(w, of[0][w], of[1][w], fresh, None) for w in of[0].keys() | of[1].keys()]
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+                        out.append((None, 0, m["toxic"], 0, 0, text))
+                counts: dict[str, list[int]] = {}
+                for i, of in enumerate(words):
+                    for word, n in of.items():
+                        for gram in grams(word):
+                            counts.setdefault(gram, [0, 0, 0, 0])[i] += n
+                out += [(gram, *n, None) for gram, n in counts.items()]
+                kinds = [pa.string(), *[pa.int64()] * 4, pa.string()]
                 columns = zip(*out) if out else [()] * len(kinds)
-                yield pa.record_batch(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "ordinary", "toxic", "fresh", "text"]
-                )
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["gram", *COUNTS, "text"])
 
     by_block = marks.groupBy("block").agg(F.collect_list(F.struct("at", "toxic", "fresh", "fits")).alias("marks"))
     joined = texts.table.select("block", "body").join(by_block, "block").select("body", "marks")
-    return _written(joined.mapInArrow(run, "word string, ordinary long, toxic long, fresh boolean, text string"), "counts")
+    schema = ", ".join(["gram string", *[f"{c} long" for c in COUNTS], "text string"])
+    return _written(joined.mapInArrow(run, schema), "counts")
 
 
 def learn(
@@ -375,13 +389,15 @@ def learn(
     fits = fits.select("block", "at", F.lit(True).alias("fits"))
     marks = marks.join(fits, ["block", "at"], "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
     seen = _labelled(texts, marks)
-    words = seen.filter("word is not null")
-    others = _table(words.filter("not fresh"), capacity)
+    counted = seen.filter("gram is not null").groupBy("gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    counted = _written(counted, "spellings")
+    others = _table(counted.filter("ordinary + toxic > 0").select("gram", "ordinary", "toxic"), capacity)
+    both = counted.selectExpr("gram", "ordinary + fresh_ordinary as ordinary", "toxic + fresh_toxic as toxic")
     fitted = stored(seen.filter("text is not null").select(F.col("toxic").alias("id"), "text"))
     found = sorted(tuple(r) for r in _measured(fitted, others, None).collect())
     measures = np.array([r[1:] for r in found]).reshape(-1, len(MEASURES))
     curve = fit_curve(measures, np.array([r[0] for r in found], float))
-    return Model(_table(words, capacity), curve)
+    return Model(_table(both, capacity), curve)
 
 
 def train(

@@ -111,11 +111,10 @@ def test_new_letters_after_known_contexts_back_off_per_class(spark):
     assert left == pytest.approx({"^*": math.log((d * 1 / 2) / (d * 2 / 8)), "^a*": math.log(d * 1 / 5)})
     table = toxicity.evidence(counted).select("gram", "evidence").union(toxicity.backoff(counted))
     known = {r["gram"]: r["evidence"] for r in table.collect()}
-    words = spark.createDataFrame([("ab",), ("ax",), ("x",)], "word string")
-    scores = {r["word"]: r["score"] for r in toxicity.word_scores(words, table).collect()}
-    assert scores["ax"] == pytest.approx(known["^a"] + known["^a*"])
-    assert scores["ab"] == pytest.approx(known["^a"] + known["^ab"])
-    assert scores["x"] == pytest.approx(known["^*"])
+    rows = [(1, "^", ["a", "x"]), (1, "^a", ["b", "x"]), (1, "^q", ["a"])]
+    needed = spark.createDataFrame(rows, "block long, context string, letters array<string>")
+    said = {r["context"]: list(zip(r["letters"], r["values"])) for r in toxicity.said_of(needed, table).collect()[0]["said"]}
+    assert said == {"^": [("a", known["^a"]), ("x", known["^*"])], "^a": [("b", known["^ab"]), ("x", known["^a*"])]}
 
 
 def test_without_labels_or_documents(spark, make_docs):
