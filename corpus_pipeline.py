@@ -18,6 +18,10 @@ REJECT = 0.5
 """Documents of this toxicity or more go."""
 
 
+PASSAGE, PASSAGE_GRAM = 200, 100
+"""Bytes of a repeated passage, and of its anchors: 51 words of three letters hold 203."""
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
         return docs
@@ -42,7 +46,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document, or an earlier place, holds already."""
-    return _counted(suffix_dedup.keep_first(docs))
+    return _counted(suffix_dedup.keep_first(docs, length=PASSAGE, gram=PASSAGE_GRAM))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
