@@ -36,7 +36,9 @@ SAMPLE_PAGES = 2000
 
 # HTML's element kinds
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea iframe svg object select option math canvas".split())
+RAW = frozenset("script style noscript template title textarea iframe svg object select math canvas".split())
+TO_END = frozenset("script style noscript template title textarea iframe".split())
+"""Of these, those that take the rest of a page if they are left open; the others are passed over."""
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption "
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section "
@@ -77,15 +79,16 @@ _WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "path", "place")
+    __slots__ = ("text", "linked", "tag", "path", "place", "named")
 
-    def __init__(self, text: str, linked: int, tag: str, path: tuple, place: float):
+    def __init__(self, text: str, linked: int, tag: str, path: tuple, place: float, named: tuple = ()):
         self.text, self.linked, self.tag, self.path, self.place = text, linked, tag, path, place
+        self.named = named  # elements around it that a class word calls foreign
 
 
-def _evidence(tag: str, attributes: str, place: float) -> float:
-    """A element's say on everything inside, added to that of the elements around it."""
-    add = 0.0
+def _evidence(tag: str, attributes: str, place: float) -> tuple[float, bool]:
+    """An element's say on everything inside, added to that of the elements around it; whether a word in its names is foreign."""
+    add, foreign = 0.0, False
     if tag in FOREIGN_TAGS:
         add += FOREIGN
     elif tag in OWN_TAGS:
@@ -105,9 +108,10 @@ def _evidence(tag: str, attributes: str, place: float) -> float:
                 add += FOREIGN
         if words & FOREIGN_WORDS:
             add += FOREIGN
+            foreign = True
         elif words & OWN_WORDS and tag not in OWN_TAGS and place <= 0:
             add += OWN
-    return add
+    return add, foreign
 
 
 def page_blocks(source: str) -> list[Block]:
@@ -115,6 +119,8 @@ def page_blocks(source: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # element, its number, evidence inside it
     words: list[str] = []
+    named: set[int] = set()
+    holders: set[int] = set()  # elements around an article
     linked = links = elements = 0
     at, n = 0, len(source)
 
@@ -124,7 +130,7 @@ def page_blocks(source: str) -> list[Block]:
             text = " ".join("".join(words).split())
             if text:
                 inner = next((e for e in reversed(stack) if e[0] in BLOCK), stack[0])
-                out.append(Block(text, linked, inner[0], tuple(e[1] for e in stack if e[0] in BLOCK), stack[-1][2]))
+                out.append(Block(text, linked, inner[0], tuple(e[1] for e in stack if e[0] in BLOCK), stack[-1][2], tuple(e[1] for e in stack if e[1] in named)))
         words, linked = [], 0
 
     def add(raw: str) -> None:
@@ -161,7 +167,11 @@ def page_blocks(source: str) -> list[Block]:
         if tag in RAW:
             if not attributes.endswith("/"):
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = stop.end() if stop else n
+                at = stop.end() if stop else n if tag in TO_END else at
+            continue
+        if tag == "option":  # its end tag may be left out, and it holds text alone
+            following = source.find("<", at)
+            at = following if following >= 0 else n
             continue
         if tag in VOID:
             continue
@@ -179,8 +189,23 @@ def page_blocks(source: str) -> list[Block]:
         elements += 1
         links += tag == "a"
         place = stack[-1][2]
-        stack.append((tag, elements, place + _evidence(tag, attributes, place)))
+        add_to, foreign = _evidence(tag, attributes, place)
+        if foreign:
+            named.add(elements)
+        elif tag in OWN_TAGS:
+            holders.update(e[1] for e in stack)
+        stack.append((tag, elements, place + add_to))
     close()
+    # a class word says nothing on an element around an article, or, on a page without one, around most of the text
+    freed = named & holders
+    if named and not holders:
+        held: dict[int, int] = {}
+        for block in out:
+            for element in block.named:
+                held[element] = held.get(element, 0) + len(block.text)
+        freed = {e for e, size in held.items() if 2 * size > sum(len(b.text) for b in out)}
+    for block in out if freed else ():
+        block.place -= FOREIGN * sum(e in freed for e in block.named)
     return out
 
 

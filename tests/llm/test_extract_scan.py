@@ -39,6 +39,21 @@ def test_article_is_told_from_the_rest():
         assert isinstance(html_extract.main_text(odd, weights), str)
 
 
+def test_open_elements_and_class_words_leave_the_article():
+    weights = html_extract.prior()
+    story = "A long first paragraph of the story, with commas, and an end that everybody likes to read."
+    article = f"<article><h1>Head</h1><p>{story}</p></article>"
+    search = "<form><datalist id=d><option value=a>no a<option value=b>no b</datalist></form>"
+    for before in (search, "<form><select><option>no a<option>no b</select></form>", "<object data=x>", "<canvas>", "<svg>"):
+        assert html_extract.main_text(f"<body>{before}{article}</body>", weights) == f"Head\n{story}", before
+    for name in ("content has-sidebar", "social", "share-page", "related comments"):
+        page = f"<body><div class='{name}'>{article}<div class='sidebar'><p>no links</p></div></div></body>"
+        assert html_extract.main_text(page, weights) == f"Head\n{story}", name
+        plain = f"<body><div class='{name}'><p>{story}</p><p>{story}</p></div><footer>no foot</footer></body>"
+        assert html_extract.main_text(plain, weights) == f"{story}\n{story}", name
+    assert html_extract.main_text(f"{article}<script>open <p>{story}</p>", weights) == f"Head\n{story}"
+
+
 def test_flow_finds_the_cheapest_labelling():
     rnd = random.Random(1)
     for _ in range(40):
