@@ -161,10 +161,10 @@ def test_stages_take_effect(spark, tmp_path):
     assert place(again) == place(packed)
 
 
-def test_shared_passages_of_51_short_words_go(spark, make_docs):
+def test_shared_passages_of_51_short_words_go(spark):
     rnd = random.Random(5)
     said = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(3)) for _ in range(n))
     passage = said(51)
-    docs = make_docs([(i, f"{said(40)} {passage} {said(40)}") for i in range(3)])
+    docs = spark.createDataFrame([(i, f"{said(40)} {passage} {said(40)}") for i in range(3)], "doc_id long, text string")
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeats(spark, docs, "").collect()}
     assert passage in kept[0] and all(len(kept[i]) <= 2 * 160 for i in (1, 2))
