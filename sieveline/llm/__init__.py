@@ -2,12 +2,12 @@
 
 
 def queries():
-    from sieveline.llm.queries import QUERIES
+    from sieveline.llm.registered import QUERIES
 
     return dict(QUERIES)
 
 
 def oracle_sql():
-    from sieveline.llm.queries import SQL
+    from sieveline.llm.registered import SQL
 
     return dict(SQL)
