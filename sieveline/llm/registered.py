@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, html_extract, license_scan, media, ngram_join, packing, pii, suffix_dedup, topk, toxicity
+from sieveline.llm import bpe, html_extract, license_scan, media, ngram_join, packing, pii, suffix_dedup, token_planes, topk, toxicity
 from sieveline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_all(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_planes")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = token_planes.read(token_planes.store(table(spark, sf_dir, "documents")), as_bytes=True)
+    return coded.select(
+        "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
