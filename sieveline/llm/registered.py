@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, html_extract, license_scan, media, ngram_join, packing, pii, suffix_dedup, token_planes, topk, toxicity
-from sieveline.llm.common import table
+from sieveline.llm import bpe, conversation_repair, html_extract, license_scan, media, ngram_join, packing, pii, suffix_dedup, token_planes, topk, toxicity
+from sieveline.llm.common import pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,3 +114,26 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with the damage that their conversation and turn name: dropped, emptied, cut, repeated, or given to the user."""
+    rows = pick(conversations, "conv_id", "turn", "role", "text")
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    rows = rows.withColumn("_fault", fault).where("_fault <> 0")
+    text = F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    times = F.when(F.col("_fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("_fault") == 4, "user").otherwise(space("role")).alias("role"),
+        text.alias("text"),
+        F.explode(times).alias("_copy"),
+    ).drop("_copy")
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.digests(damaged(rows), rows)
