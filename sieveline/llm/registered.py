@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, conversation_repair, html_extract, license_scan, media, ngram_join, packing, pii, suffix_dedup, token_planes, topk, toxicity
+from sieveline.llm import bpe, collocations, conversation_repair, html_extract, license_scan, media, ngram_join, packing, pii, suffix_dedup, token_planes, topk, toxicity
 from sieveline.llm.common import pick, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,8 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversation_repair.digests(damaged(rows), rows)
+
+
+@query("op13_collocations", collocations.check_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
