@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import SCORE_EPS, clip, logit, sigmoid
-from sieveline.operators.metrics import binary_metrics, clipped, histogram
-from sieveline.session import shuffle_partitions
+from sieveline.operators.metrics import clipped, histogram, join_groups, running_of, summarise_running
+from sieveline.plans.pooling import monotone_pools, surrounding
+from sieveline.session import cut_lineage, shuffle_partitions
 
 # The temperature search grid.
 GRID_LOW, GRID_HIGH, GRID_POINTS = 0.05, 20.0, 240
@@ -100,23 +99,70 @@ def temperature_apply(df: DataFrame, fitted: DataFrame, keys: Sequence[str], sco
     return joined.withColumn(out, sigmoid(logit(F.col(score)) / F.col("temperature")))
 
 
+def platt_lines(df: DataFrame, keys: Sequence[str], balanced: bool = False, tolerance: float = 1e-9) -> DataFrame:
+    """`slope` and `intercept` of the L2 logistic fit on the logit, for all groups at once.
+
+    Every pass sums loss, gradient and curvature of all groups over their distinct
+    scores and makes one Newton step each; a step that does not lower the loss is
+    halved. The number of passes follows the slowest group, not the number of groups.
+    """
+    keys = list(keys)
+    by = keys or ["_all"]
+    rows = _weighted_histogram(df, keys, balanced).withColumn("_all", F.lit(0))
+    rows = cut_lineage(rows.select(*by, logit(F.col("score")).alias("x"), "w_pos", "w_neg"))
+    zero = lambda *names: [F.lit(0.0).alias(n) for n in names]
+    state = rows.select(*by).distinct().select(
+        *by, *zero("slope", "intercept", "d_slope", "d_intercept"), F.lit(1.0).alias("share"), F.lit(float("inf")).alias("loss"), F.lit(False).alias("done")
+    )
+    state = cut_lineage(state)
+    while not state.where(~F.col("done")).isEmpty():
+        state = cut_lineage(_newton_step(rows, state, by, tolerance))
+    return state.select(*keys, "slope", "intercept")
+
+
+def _newton_step(rows: DataFrame, state: DataFrame, by: list[str], tolerance: float) -> DataFrame:
+    """Try each group's step; accept it and find the next direction, or halve it."""
+    trial = state.withColumns({f"t_{n}": F.col(n) + F.col("share") * F.col(f"d_{n}") for n in ("slope", "intercept")})
+    at = join_groups(rows, trial, by).withColumn("z", F.col("t_slope") * F.col("x") + F.col("t_intercept"))
+    w = F.col("w_pos") + F.col("w_neg")
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("z")))
+    miss, bend = w * p - F.col("w_pos"), w * p * (1.0 - p)
+    soft = F.log1p(F.exp(-F.abs("z")))
+    loss = F.col("w_pos") * (soft + F.greatest(-F.col("z"), F.lit(0.0))) + F.col("w_neg") * (soft + F.greatest(F.col("z"), F.lit(0.0)))
+    x = F.col("x")
+    sums = at.groupBy(*by, *[c for c in trial.columns if c not in by]).agg(
+        F.sum(loss).alias("l"),
+        F.sum(miss * x).alias("gs"),
+        F.sum(miss).alias("gi"),
+        F.sum(bend * x * x).alias("ss"),
+        F.sum(bend * x).alias("si"),
+        F.sum(bend).alias("ii"),
+    )
+    # the slope alone is held back, by half its square
+    total = F.col("l") + F.col("t_slope") * F.col("t_slope") / 2.0
+    gs, ss = F.col("gs") + F.col("t_slope"), F.col("ss") + 1.0
+    det = ss * F.col("ii") - F.col("si") * F.col("si")
+    ds = (F.col("si") * F.col("gi") - F.col("ii") * gs) / det
+    di = (F.col("si") * gs - ss * F.col("gi")) / det
+    better = total <= F.col("loss") + 1e-12 * F.abs("loss")
+    settled = F.greatest(F.abs(ds), F.abs(di)) <= tolerance
+    tiny = F.col("share") < 1e-12  # the loss cannot be lowered in doubles any more
+    keep = lambda new, old: F.when(F.col("done"), F.col(old)).when(better, new).otherwise(F.col(old))
+    return sums.select(
+        *by,
+        keep(F.col("t_slope"), "slope").alias("slope"),
+        keep(F.col("t_intercept"), "intercept").alias("intercept"),
+        keep(ds, "d_slope").alias("d_slope"),
+        keep(di, "d_intercept").alias("d_intercept"),
+        F.when(better, 1.0).otherwise(F.col("share") / 2.0).alias("share"),
+        keep(total, "loss").alias("loss"),
+        (F.col("done") | (better & settled) | tiny).alias("done"),
+    )
+
+
 def platt_fit(df: DataFrame, balanced: bool = False) -> tuple[float, float]:
-    """Slope and intercept of the L2 logistic fit on the logit; one group, trained on distinct scores."""
-    rows = _weighted_histogram(df, [], balanced)
-    long = rows.select(
-        array_to_vector(F.array(logit(F.col("score")))).alias("features"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(1.0).alias("label"), F.col("w_pos").alias("w")),
-                F.struct(F.lit(0.0).alias("label"), F.col("w_neg").alias("w")),
-            )
-        ).alias("r"),
-    ).select("features", "r.label", F.col("r.w").alias("weight")).where(F.col("weight") > 0)
-    total = long.agg(F.sum("weight")).first()[0]
-    model = LogisticRegression(
-        weightCol="weight", regParam=1.0 / total, standardization=False, maxIter=1000, tol=1e-10
-    ).fit(long)
-    return float(model.coefficients[0]), float(model.intercept)
+    """Slope and intercept of one group."""
+    return tuple(platt_lines(df, [], balanced).first())
 
 
 def platt_apply(df: DataFrame, fitted: tuple[float, float], score="score", out="calibrated") -> DataFrame:
@@ -124,22 +170,51 @@ def platt_apply(df: DataFrame, fitted: tuple[float, float], score="score", out="
     return df.withColumn(out, 1.0 / (1.0 + F.exp(-(logit(F.col(score)) * slope + intercept))))
 
 
-def isotonic_fit(df: DataFrame, balanced: bool = False):
-    """Monotone fit on (score, share of fakes, weight) of the distinct scores."""
-    rows = _weighted_histogram(df, [], balanced).select(
-        clipped(F.col("score")).alias("score"), "w_pos", "w_neg"
-    )
-    weight = F.col("w_pos") + F.col("w_neg")
-    train = rows.select(
-        F.col("score").alias("features"), (F.col("w_pos") / weight).alias("label"), weight.alias("weight")
+def isotonic_edges(df: DataFrame, keys: Sequence[str], balanced: bool = False) -> DataFrame:
+    """The monotone fit of every group as points `(keys, x, y)`: both ends of each pool of equal values."""
+    keys = list(keys)
+    counts = _weighted_histogram(df, keys, balanced).groupBy(*keys, clipped(F.col("score")).alias("score"))
+    pools = monotone_pools(counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), keys)
+    # labels weigh the same, or as if both classes had half of all rows
+    group = Window.partitionBy(*keys)
+    p, n = F.col("pos").cast("double"), F.col("neg").cast("double")
+    if balanced:
+        p, n = p / F.sum("pos").over(group), n / F.sum("neg").over(group)
+    ends = F.array_distinct(F.array("low", "high"))
+    return pools.select(*keys, ends.alias("ends"), (p / (p + n)).alias("y")).select(*keys, F.explode("ends").alias("x"), "y")
+
+
+def isotonic_apply(df: DataFrame, edges: DataFrame, keys: Sequence[str], score="score", out="calibrated") -> DataFrame:
+    """Values of the fit; a line between pools, the outermost values beyond them. Distinct scores are looked up once."""
+    keys = list(keys)
+    staged = df.withColumn("_s", clipped(F.col(score)))
+    found = surrounding(staged.select(*keys, "_s").distinct(), edges, keys, "_s")
+    part = (F.col("_s") - F.col("before.x")) / (F.col("after.x") - F.col("before.x"))
+    value = (
+        F.when(F.col("before").isNull(), F.col("after.y"))
+        .when(F.col("after").isNull() | (F.col("before.x") == F.col("after.x")), F.col("before.y"))
+        .otherwise(F.col("before.y") + part * (F.col("after.y") - F.col("before.y")))
     )
-    return IsotonicRegression(weightCol="weight").fit(train)
+    found = found.select(*keys, "_s", clip(value, 0.0, 1.0).alias(out))
+    return join_groups(staged, found, [*keys, "_s"]).drop("_s")
 
 
-def isotonic_apply(df: DataFrame, model, score="score", out="calibrated") -> DataFrame:
-    staged = df.withColumn("features", clipped(F.col(score)))
-    done = model.setPredictionCol("_fit").transform(staged)
-    return done.withColumn(out, clip(F.col("_fit"), 0.0, 1.0)).drop("features", "_fit")
+def calibrated(name: str, calibration: DataFrame, rows: DataFrame, keys: Sequence[str], score="score", out="calibrated") -> DataFrame:
+    """`rows` with their scores calibrated by the fits of all groups of `calibration`; `temperature` where there is one."""
+    if name not in CALIBRATORS:
+        raise ValueError(f"unknown calibrator: {name}")
+    keys = list(keys)
+    base, balanced = name.removesuffix("_balanced"), name.endswith("_balanced")
+    if base == "temperature":
+        return temperature_apply(rows, temperature_fit(calibration, keys, balanced), keys, score, out)
+    none = F.lit(None).cast("double")
+    if base == "platt":
+        lines = platt_lines(calibration, keys, balanced)
+        joined = join_groups(rows, lines, keys)
+        line = logit(F.col(score)) * F.col("slope") + F.col("intercept")
+        return joined.withColumn(out, 1.0 / (1.0 + F.exp(-line))).drop("slope", "intercept").withColumn("temperature", none)
+    edges = cut_lineage(isotonic_edges(calibration, keys, balanced))
+    return isotonic_apply(rows, edges, keys, score, out).withColumn("temperature", none)
 
 
 def fit_calibrator(name: str, df: DataFrame):
@@ -153,38 +228,34 @@ def fit_calibrator(name: str, df: DataFrame):
     if base == "platt":
         line = platt_fit(df, balanced)
         return lambda rows, score="score", out="calibrated": platt_apply(rows, line, score, out)
-    model = isotonic_fit(df, balanced)
-    return lambda rows, score="score", out="calibrated": isotonic_apply(rows, model, score, out)
+    edges = cut_lineage(isotonic_edges(df, [], balanced))
+    return lambda rows, score="score", out="calibrated": isotonic_apply(rows, edges, [], score, out)
 
 
-def calibration_report(calibration: DataFrame, test: DataFrame, keys: Sequence[str], balanced: bool = False) -> DataFrame:
-    """Raw and temperature-calibrated metrics of the test rows per group, and the change."""
+REPORTED = ("accuracy", "f1", "roc_auc", "brier_score", "expected_calibration_error", "maximum_calibration_error")
+
+
+def calibration_report(
+    calibration: DataFrame, test: DataFrame, keys: Sequence[str], names: Sequence[str] = CALIBRATORS
+) -> DataFrame:
+    """Raw and calibrated metrics of the test rows per group and calibrator, and the change.
+
+    The rows of either side are read once: fits and metrics start from histograms.
+    """
     keys = list(keys)
-    fitted = temperature_fit(calibration, keys, balanced)
-    both = temperature_apply(test, fitted, keys)
-    names = ["accuracy", "f1", "roc_auc", "brier_score", "expected_calibration_error", "maximum_calibration_error"]
-    kinds = both.select(
-        *keys,
-        "temperature",
-        "y_true",
-        F.explode(
-            F.array(
-                F.struct(F.lit("raw").alias("kind"), F.col("score").alias("score")),
-                F.struct(F.lit("calibrated").alias("kind"), F.col("calibrated").alias("score")),
-            )
-        ).alias("s"),
-    ).select(*keys, "temperature", "y_true", "s.kind", "s.score")
-    bundle = binary_metrics(kinds, [*keys, "temperature", "kind"])
-    rates = F.col("fp") / (F.col("fp") + F.col("tn")), F.col("tp") / (F.col("tp") + F.col("fn"))
-    bundle = bundle.withColumn("real_fpr", rates[0]).withColumn("fake_detection", rates[1])
-    names = names + ["real_fpr", "fake_detection"]
-    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}")
-    wide = bundle.groupBy(*keys, "temperature").agg(
-        F.max("n_samples").alias("test_samples"), *[pick(k, c) for k in ("raw", "calibrated") for c in names]
-    )
-    return wide.withColumns(
-        {
-            f"delta_{c}": F.col(f"calibrated_{c}") - F.col(f"raw_{c}")
-            for c in ("accuracy", "brier_score", "expected_calibration_error")
-        }
+    fit, seen = cut_lineage(histogram(calibration, keys)), cut_lineage(histogram(test, keys))
+    parts = [seen.select(*keys, F.lit("raw").alias("calibrator"), F.lit(None).cast("double").alias("temperature"), "score", "pos", "neg")]
+    for name in names:
+        done = calibrated(name, fit, seen, keys)
+        parts.append(done.select(*keys, F.lit(name).alias("calibrator"), "temperature", F.col("calibrated").alias("score"), "pos", "neg"))
+    by = [*keys, "calibrator", "temperature"]
+    counts = reduce(DataFrame.unionByName, parts).groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    bundle = summarise_running(running_of(cut_lineage(counts), [*keys, "calibrator"]), by)
+    rates = {"real_fpr": F.col("fp") / (F.col("fp") + F.col("tn")), "fake_detection": F.col("tp") / (F.col("tp") + F.col("fn"))}
+    bundle = bundle.withColumns(rates)
+    shown = [*REPORTED, *rates]
+    raw = bundle.where(F.col("calibrator") == "raw").select(*keys, F.col("n_samples").alias("test_samples"), *[F.col(c).alias(f"raw_{c}") for c in shown])
+    new = bundle.where(F.col("calibrator") != "raw").select(*by, *[F.col(c).alias(f"calibrated_{c}") for c in shown])
+    return join_groups(new, raw, keys).withColumns(
+        {f"delta_{c}": F.col(f"calibrated_{c}") - F.col(f"raw_{c}") for c in ("accuracy", "brier_score", "expected_calibration_error")}
     )

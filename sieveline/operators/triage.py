@@ -8,12 +8,12 @@ A limit is a score and a `strict` flag; strict stands for the next number above
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.scalar import logit, sigmoid
-from sieveline.operators.calibration import temperature_fit
+from sieveline.operators.calibration import CALIBRATORS, calibrated
 from sieveline.operators.metrics import ratio, running_of
 from sieveline.operators.runstats import select_best
 from sieveline.session import cut_lineage
@@ -101,37 +101,30 @@ def triage_from_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-MODES = ("raw", "temperature", "temperature_balanced")
+MODES = ("raw", *CALIBRATORS)
 
 
-def with_score_modes(folds: DataFrame, keys: Sequence[str], modes: Sequence[str]) -> DataFrame:
-    """Fold histograms under every score mode; a mode's temperature comes from the fold's calibration part."""
+def with_score_modes(folds: DataFrame, keys: Sequence[str], modes: Sequence[str] = MODES) -> DataFrame:
+    """Fold histograms under every score mode, each fitted on the calibration parts of all folds at once."""
     keys = list(keys)
     unknown = set(modes) - set(MODES)
     if unknown:
         raise ValueError(f"unknown score modes: {sorted(unknown)}")
-    out = None
+    part = folds.where(F.col("role") == "calibration")
+    done = []
     for mode in modes:
         if mode == "raw":
             one = folds.withColumn("temperature", F.lit(None).cast("double"))
         else:
-            part = folds.where(F.col("role") == "calibration")
-            fitted = temperature_fit_of(part, keys, mode.endswith("balanced"))
-            one = folds.join(fitted, keys).withColumn("score", sigmoid(logit(F.col("score")) / F.col("temperature")))
-        one = one.withColumn("score_mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
+            one = calibrated(mode, part, folds, keys, out="_new").drop("score").withColumnRenamed("_new", "score")
+        done.append(one.select(*keys, F.lit(mode).alias("score_mode"), "temperature", "role", "score", "pos", "neg"))
     # a transform may map two scores onto one number
-    counts = out.groupBy(*keys, "score_mode", "temperature", "role", "score").agg(
+    counts = reduce(DataFrame.unionByName, done).groupBy(*keys, "score_mode", "temperature", "role", "score").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
     return cut_lineage(counts)
 
 
-def temperature_fit_of(counts: DataFrame, keys: Sequence[str], balanced: bool) -> DataFrame:
-    """Temperature per group from histogram rows."""
-    return temperature_fit(counts, keys, balanced).select(*keys, "temperature")
-
-
 def triage_report(
     folds: DataFrame, keys: Sequence[str], modes: Sequence[str], grid: Column
 ) -> DataFrame:

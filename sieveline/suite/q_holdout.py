@@ -6,7 +6,7 @@ from sieveline.functions.scalar import path_key
 from sieveline.operators import holdout as e, metrics as m, thresholds as h, triage as tr
 from sieveline.suite.q_metrics import triage_sql
 from sieveline.suite.q_sampling import hash_sql, tie_sql
-from sieveline.suite.q_thresholds import ACC, pick, temperature_parts
+from sieveline.suite.q_thresholds import ACC, calibrated_sql, pick
 from sieveline.suite.registry import SHARED, case
 from sieveline.suite.sqlparts import bundle, candidates, cells, curve
 
@@ -192,14 +192,12 @@ def _(t):
     return tr.triage_thresholds(m.running(t.predictions, ["method"]), ["method"], grid)
 
 
-temperature_parts("temp_fold", False, "fold_cal", "method, fold")
 SHARED["fold_cal"] = "SELECT * FROM fold_rows WHERE role = 'calibration'"
-SIG = "1 / (1 + exp(-greatest(least(ln(q / (1 - q)) / temperature, 60.0::DOUBLE), -60.0::DOUBLE)))"
-SHARED["mode_rows"] = f"""
+SHARED["fold_modes"] = calibrated_sql("modes", "fold_cal", "fold_rows", "method, fold", "role, y_true, score")
+SHARED["mode_rows"] = """
     SELECT method, fold, 'raw' AS score_mode, NULL::DOUBLE AS temperature, role, y_true, score FROM fold_rows
     UNION ALL
-    SELECT method, fold, 'temperature', temperature, role, y_true, {SIG}
-    FROM (SELECT *, greatest(least(score, 0.999999::DOUBLE), 1e-6::DOUBLE) AS q FROM fold_rows JOIN temp_fold_fit USING (method, fold)) x"""
+    SELECT method, fold, calibrator, temperature, role, y_true, cal FROM fold_modes"""
 
 
 @case(
@@ -208,7 +206,7 @@ SHARED["mode_rows"] = f"""
               r9(avg(score)) AS mean_score FROM mode_rows GROUP BY ALL""",
 )
 def _(t):
-    rows = tr.with_score_modes(folds(t), ["method", "fold"], ["raw", "temperature"])
+    rows = tr.with_score_modes(folds(t), ["method", "fold"])
     n = F.col("pos") + F.col("neg")
     return rows.groupBy("method", "fold", "score_mode", "temperature", "role").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), (F.sum(F.col("score") * n) / F.sum(n)).alias("mean_score")
@@ -242,7 +240,7 @@ _RATES = ", ".join(
 
 
 def report(t):
-    return tr.triage_report(folds(t), ["method", "fold"], ["raw", "temperature"], tr.limit_grid(FPRS, CLEARS))
+    return tr.triage_report(folds(t), ["method", "fold"], tr.MODES, tr.limit_grid(FPRS, CLEARS))
 
 
 @case(

@@ -7,8 +7,8 @@ from sieveline.operators import calibration as c, images as im, thresholds as h
 from sieveline.session import scratch_path
 from sieveline.streaming.quota import Quotas, quota_sample
 from sieveline.suite.q_images import H, W, planes
-from sieveline.suite.q_thresholds import ACC, PREC, REC, SPEC, pick, weighted
-from sieveline.suite.registry import case
+from sieveline.suite.q_thresholds import ACC, PREC, REC, SPEC, calibrated_sql, pick, weighted
+from sieveline.suite.registry import SHARED, case
 
 
 @case(
@@ -40,12 +40,20 @@ def _(t):
     return im.feature_set(planes(t), "contrast", W, H)
 
 
-@case("q_Y02_calibrator_registry")
+SHARED["registry_scored"] = calibrated_sql("reg", "predictions", "predictions", "method", "y_true, score")
+
+
+@case(
+    "q_Y02_calibrator_registry",
+    "SELECT method, calibrator, y_true, count(*) AS n, r9(avg(cal)) AS mean FROM registry_scored GROUP BY ALL",
+)
 def _(t):
-    rows = t.predictions.where("method = 'beta'").select("y_true", "score")
     out = None
-    for name in c.CALIBRATORS:
-        done = c.fit_calibrator(name, rows)(rows).groupBy("y_true").agg(F.avg("calibrated").alias("mean")).withColumn("calibrator", F.lit(name))
+    for name in registry.names()["calibrator"]:
+        done = c.calibrated(name, t.predictions, t.predictions, ["method"]).groupBy("method", "y_true").agg(
+            F.count(F.lit(1)).alias("n"), F.avg("calibrated").alias("mean")
+        )
+        done = done.withColumn("calibrator", F.lit(name))
         out = done if out is None else out.unionByName(done)
     return out
 

@@ -256,28 +256,101 @@ def _(t):
     return c.temperature_fit(t.predictions, ["method"], balanced=True)
 
 
-def _fitted(t, name):
-    """Every method's rows, calibrated by a fit of its own, as mean and spread per class."""
-    out = None
-    for method in ("alpha", "beta", "gamma"):
-        rows = t.predictions.where(F.col("method") == method)
-        done = c.fit_calibrator(name, rows)(rows).groupBy("method", "y_true").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("calibrated").alias("mean"),
-            F.min("calibrated").alias("low"),
-            F.max("calibrated").alias("high"),
-        )
-        out = done if out is None else out.unionByName(done)
-    return out
+def platt_parts(prefix, balanced, source="predictions", keys="method"):
+    """Newton steps from zero on the logit of distinct scores, as CTE `<prefix>_fit`; the slope's square holds it back."""
+    weight = lambda k: f"(tot / (2.0::DOUBLE * tot_{k}))" if balanced else "1.0::DOUBLE"
+    z = "(s.a * h.x + s.b)"
+    p = f"(1 / (1 + exp(-{z})))"
+    SHARED[f"{prefix}_hist"] = f"""
+        SELECT {keys}, ln({Q} / (1 - {Q})) AS x, n1 * {weight(1)} AS wp, n0 * {weight(0)} AS wn
+        FROM (SELECT *, sum(n1) OVER g AS tot_1, sum(n0) OVER g AS tot_0, sum(n1 + n0) OVER g AS tot
+              FROM (SELECT {keys}, score, count(*) FILTER (y_true = 1) AS n1, count(*) FILTER (y_true = 0) AS n0
+                    FROM {source} GROUP BY ALL) a WINDOW g AS (PARTITION BY {keys})) b"""
+    step, previous = "", f"(SELECT DISTINCT {keys}, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {prefix}_hist)"
+    for i in range(12):
+        sums = f"""
+            SELECT {keys}, any_value(s.a) AS a, any_value(s.b) AS b,
+                   sum(((wp + wn) * {p} - wp) * x) + any_value(s.a) AS ga, sum((wp + wn) * {p} - wp) AS gb,
+                   sum((wp + wn) * {p} * (1 - {p}) * x * x) + 1 AS aa, sum((wp + wn) * {p} * (1 - {p}) * x) AS ab, sum((wp + wn) * {p} * (1 - {p})) AS bb
+            FROM {prefix}_hist h JOIN {previous} s USING ({keys}) GROUP BY {keys}"""
+        step = f"SELECT {keys}, a + (ab * gb - bb * ga) / (aa * bb - ab * ab) AS a, b + (ab * ga - aa * gb) / (aa * bb - ab * ab) AS b FROM ({sums}) n"
+        SHARED[f"{prefix}_step{i}"], previous = step, f"{prefix}_step{i}"
+    SHARED[f"{prefix}_fit"] = f"SELECT {keys}, a AS slope, b AS intercept FROM {previous}"
+
+
+def isotonic_parts(prefix, balanced, source="predictions", keys="method"):
+    """Fitted values of distinct scores, as CTE `<prefix>_fit`: the highest, over where a stretch begins, of its lowest mean.
+
+    Stretches in which the mean never rises share one value whatever lies around
+    them; a few rounds of joining those keep the table of all stretches small.
+    """
+    SHARED[f"{prefix}_join0"] = f"""
+        SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY score) AS i, score AS lo, score AS hi, n1, n0
+        FROM (SELECT {keys}, greatest(least(score, 1.0::DOUBLE), 0.0::DOUBLE) AS score, count(*) FILTER (y_true = 1) AS n1, count(*) FILTER (y_true = 0) AS n0
+              FROM {source} GROUP BY ALL) a"""
+    for k in range(6):
+        SHARED[f"{prefix}_join{k + 1}"] = f"""
+            SELECT {keys}, g AS i, min(lo) AS lo, max(hi) AS hi, sum(n1)::BIGINT AS n1, sum(n0)::BIGINT AS n0
+            FROM (SELECT *, 1 + sum(rise) OVER (PARTITION BY {keys} ORDER BY i) AS g
+                  FROM (SELECT *, CASE WHEN n1 * lag(n0) OVER o > lag(n1) OVER o * n0 THEN 1 ELSE 0 END AS rise
+                        FROM {prefix}_join{k} WINDOW o AS (PARTITION BY {keys} ORDER BY i)) x) y
+            GROUP BY {keys}, g"""
+    share = lambda c: f"sum({c}) OVER r / sum({c}) OVER g" if balanced else f"sum({c}) OVER r"
+    SHARED[f"{prefix}_cum"] = f"""
+        SELECT {keys}, lo, hi, i, ({share('n1')})::DOUBLE AS p, ({share('n0')})::DOUBLE AS n
+        FROM {prefix}_join6 WINDOW r AS (PARTITION BY {keys} ORDER BY i), g AS (PARTITION BY {keys})"""
+    SHARED[f"{prefix}_from"] = f"""
+        SELECT {keys}, i + 1 AS j, p, n FROM {prefix}_cum UNION ALL SELECT DISTINCT {keys}, 1, 0.0::DOUBLE, 0.0::DOUBLE FROM {prefix}_cum"""
+    SHARED[f"{prefix}_fit"] = f"""
+        SELECT {keys}, unnest(list_distinct([lo, hi])) AS score, y FROM (
+          SELECT {keys}, lo, hi, max(m) AS y FROM (
+            SELECT {keys}, c.lo, c.hi, c.i, f.j, min((c.p - f.p) / (c.p - f.p + c.n - f.n)) OVER (PARTITION BY {keys}, f.j ORDER BY c.i DESC) AS m
+            FROM {prefix}_cum c JOIN {prefix}_from f USING ({keys}) WHERE f.j <= c.i) x
+          GROUP BY {keys}, lo, hi) z"""
+
+
+def isotonic_at(prefix, rows, keys):
+    """CTE `<prefix>_at`: the fit at every score of `rows`, on the line between its neighbours."""
+    both = lambda name: " AND ".join(f"{name}.{k.strip()} = s.{k.strip()}" for k in keys.split(","))
+    SHARED[f"{prefix}_at"] = f"""
+        SELECT s.*, round(CASE WHEN b.score IS NULL THEN a.y WHEN a.score IS NULL OR a.score = b.score THEN b.y
+                               ELSE b.y + (s.score - b.score) / (a.score - b.score) * (a.y - b.y) END, 12) AS y
+        FROM (SELECT DISTINCT {keys}, score FROM {rows}) s
+        ASOF LEFT JOIN {prefix}_fit b ON {both('b')} AND s.score >= b.score
+        ASOF LEFT JOIN {prefix}_fit a ON {both('a')} AND s.score <= a.score"""
+
+
+platt_parts("platt_plain", False)
+platt_parts("platt_even", True)
+isotonic_parts("iso_plain", False)
+isotonic_parts("iso_even", True)
+isotonic_at("iso_plain", "predictions", "method")
+isotonic_at("iso_even", "predictions", "method")
+_LINE = f"1 / (1 + exp(-(slope * ln({Q} / (1 - {Q})) + intercept)))"
+_SPREAD = "SELECT method, y_true, count(*) AS n, r9(avg(c)) AS mean, r9(min(c)) AS low, r9(max(c)) AS high FROM ({}) x GROUP BY ALL"
+
+
+def _spread(t, name):
+    """Every method's rows under its own fit, as mean and spread per class."""
+    rows = t.predictions
+    return c.calibrated(name, rows, rows, ["method"]).groupBy("method", "y_true").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("calibrated").alias("mean"),
+        F.min("calibrated").alias("low"),
+        F.max("calibrated").alias("high"),
+    )
 
 
-for _key, _name in (
-    ("q_K04_platt_fit", "platt"),
-    ("q_K05_platt_balanced", "platt_balanced"),
-    ("q_K06_isotonic_fit", "isotonic"),
-    ("q_K07_isotonic_balanced", "isotonic_balanced"),
+for _key, _name, _fit in (
+    ("q_K04_platt_fit", "platt", "platt_plain"),
+    ("q_K05_platt_balanced", "platt_balanced", "platt_even"),
+    ("q_K06_isotonic_fit", "isotonic", "iso_plain"),
+    ("q_K07_isotonic_balanced", "isotonic_balanced", "iso_even"),
 ):
-    case(_key)(lambda t, name=_name: _fitted(t, name))
+    _value = f"SELECT method, y_true, {_LINE} AS c FROM predictions JOIN {_fit}_fit USING (method)"
+    if _fit.startswith("iso"):
+        _value = f"SELECT method, y_true, y AS c FROM predictions JOIN {_fit}_at USING (method, score)"
+    case(_key, _SPREAD.format(_value))(lambda t, name=_name: _spread(t, name))
 
 
 CAL = "1 / (1 + exp(-greatest(least(ln({q} / (1 - {q})) / temperature, 60.0::DOUBLE), -60.0::DOUBLE)))".format(q=Q)
@@ -294,16 +367,32 @@ def _(t):
 
 SHARED["cal_rows"] = "SELECT * FROM predictions WHERE seed <> 29"
 SHARED["cal_test"] = "SELECT * FROM predictions WHERE seed = 29"
-temperature_parts("temp_rep", False, "cal_rows")
-SHARED["cal_scored"] = f"SELECT method, y_true, score, {CAL} AS cal FROM cal_test JOIN temp_rep_fit USING (method)"
-SHARED["cal_raw"] = bundle("cal_scored", "method")
-SHARED["cal_new"] = bundle("cal_scored", "method", score="cal")
+
+
+def calibrated_sql(prefix, fit_rows, rows, keys, extra):
+    """`rows` under all six calibrators fitted on `fit_rows`: keys, calibrator, temperature, `extra` and cal."""
+    own = f"{keys}, {extra}"
+    forms = []
+    for tag, balanced in (("plain", False), ("even", True)):
+        ending = "_balanced" if balanced else ""
+        for kind, make in (("temp", temperature_parts), ("platt", platt_parts), ("iso", isotonic_parts)):
+            make(f"{prefix}_{kind}_{tag}", balanced, fit_rows, keys)
+        forms.append(f"SELECT {own}, 'temperature{ending}' AS calibrator, temperature, {CAL} AS cal FROM {rows} JOIN {prefix}_temp_{tag}_fit USING ({keys})")
+        forms.append(f"SELECT {own}, 'platt{ending}' AS calibrator, NULL::DOUBLE AS temperature, {_LINE} AS cal FROM {rows} JOIN {prefix}_platt_{tag}_fit USING ({keys})")
+        isotonic_at(f"{prefix}_iso_{tag}", rows, keys)
+        forms.append(f"SELECT {own}, 'isotonic{ending}' AS calibrator, NULL::DOUBLE AS temperature, y AS cal FROM {rows} JOIN {prefix}_iso_{tag}_at USING ({keys}, score)")
+    return "\nUNION ALL\n".join(forms)
+
+
+SHARED["cal_scored"] = calibrated_sql("rep", "cal_rows", "cal_test", "method", "y_true, score")
+SHARED["cal_raw"] = bundle("cal_test", "method")
+SHARED["cal_new"] = bundle("cal_scored", "method, calibrator", score="cal")
 _NAMES = ("accuracy", "f1", "roc_auc", "brier_score", "expected_calibration_error", "maximum_calibration_error")
 
 
 @case(
     "q_K09_calibration_report",
-    "SELECT method, r9(f.temperature) AS temperature, r.n_samples AS test_samples, "
+    "SELECT method, calibrator, r9(f.temperature) AS temperature, r.n_samples AS test_samples, "
     + ", ".join(f"r9({a}.{n}) AS {p}_{n}" for a, p in (("r", "raw"), ("k", "calibrated")) for n in _NAMES)
     + ", "
     + ", ".join(
@@ -312,7 +401,7 @@ _NAMES = ("accuracy", "f1", "roc_auc", "brier_score", "expected_calibration_erro
     )
     + ", "
     + ", ".join(f"r9(k.{n} - r.{n}) AS delta_{n}" for n in ("accuracy", "brier_score", "expected_calibration_error"))
-    + " FROM temp_rep_fit f JOIN cal_raw r USING (method) JOIN cal_new k USING (method)",
+    + " FROM (SELECT DISTINCT method, calibrator, temperature FROM cal_scored) f JOIN cal_raw r USING (method) JOIN cal_new k USING (method, calibrator)",
 )
 def _(t):
     p = t.predictions
