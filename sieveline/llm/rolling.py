@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
+KEPT = 1 << 20
+"""Powers that a worker keeps; longer series are made for the block that needs them."""
 _grown: dict[int, np.ndarray] = {}
 
 
@@ -25,7 +27,9 @@ def _series(base: int, n: int) -> np.ndarray:
     if known is None or len(known) < n:
         known = np.full(max(n, 1 << 16), base, np.uint64)
         known[0] = 1
-        known = _grown[base] = np.multiply.accumulate(known)
+        known = np.multiply.accumulate(known)
+        if n <= KEPT:
+            _grown[base] = known
     return known[:n]
 
 
