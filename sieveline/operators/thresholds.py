@@ -127,6 +127,12 @@ OBJECTIVES: dict[str, Callable[..., Column]] = {
 }
 """Objective name -> expression over tn, fp, fn, tp. Add an entry to extend the search."""
 
+ARRAY_OBJECTIVES: dict[str, Callable] = {
+    "accuracy": lambda tn, fp, fn, tp: (tp + tn) / (tp + tn + fp + fn),
+    "f1": lambda tn, fp, fn, tp: 2.0 * tp / (2.0 * tp + fp + fn),
+}
+"""The same for numpy arrays, for searches inside a task."""
+
 TIE_BREAKS: dict[str, Callable[[], Column]] = {
     "near_half": lambda: -F.abs(F.col("threshold") - 0.5),
     "higher": lambda: F.col("threshold"),

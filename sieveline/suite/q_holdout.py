@@ -23,9 +23,13 @@ SHARED["fold_rows"] = """
          (SELECT DISTINCT source_label AS fold FROM predictions WHERE y_true = 1) f"""
 
 
-def folds(t):
+def slices(t):
     rows = e.with_real_part(t.predictions.withColumn("path_key", path_key("path")), "path_key", 0.3, 11)
-    return e.usable_folds(e.fold_histogram(e.slice_histogram(rows, ["method"], "source_label"), ["method"]), ["method"])
+    return e.slice_histogram(rows, ["method"], "source_label")
+
+
+def folds(t):
+    return e.usable_folds(e.fold_histogram(slices(t), ["method"]), ["method"])
 
 
 @case(
@@ -35,7 +39,7 @@ def folds(t):
        FROM fold_rows GROUP BY method, fold""",
 )
 def _(t):
-    return e.fold_sizes(folds(t), ["method"])
+    return e.fold_sizes(slices(t), ["method"])
 
 
 SHARED["fold_curve"] = curve("fold_rows", "method, fold, role")
@@ -65,12 +69,12 @@ _REPORT = [
     "SELECT method, fold, test_real, test_fake, " + ", ".join(f"r9({c}) AS {c}" for c in _REPORT) + " FROM holdout_report",
 )
 def _(t):
-    return e.holdout_report(folds(t), ["method"])
+    return e.holdout_report(slices(t), ["method"])
 
 
 @case("q_E03_holdout_method_summary")
 def _(t):
-    report = e.holdout_report(folds(t), ["method"])
+    report = e.holdout_report(slices(t), ["method"])
     return e.holdout_summary(
         report, ["method"], ["default_accuracy", "source_threshold_accuracy", "oracle_accuracy", "roc_auc"], seed=7
     )
