@@ -1,19 +1,21 @@
 """Tuning of the logistic fusion on held-out sources, and evaluation of the chosen configuration.
 
-The driver loops over the few configurations to fit; scores of all of them then go
-through one histogram table, where caps and thresholds are settled together.
+All configurations are fitted together by a few passes over one table, and their
+scores go through one histogram table, where caps and thresholds are settled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.operators import metrics as m
 from sieveline.operators.fusion import branch_dropout_rows
+from sieveline.operators.manyfits import fit_many, score_many
 from sieveline.operators.models import fit_scaled_logistic
 from sieveline.operators.runstats import select_best
 from sieveline.operators.sampling import key_holdout
@@ -80,50 +82,61 @@ def holdout_grid(
     cs: Sequence[float],
     caps: Sequence[float | None],
     sources: Sequence[int],
-    seed: int,
+    seeds: Sequence[int],
     dropouts: Sequence[Dropout] = (Dropout(),),
     fraction: float = 0.5,
     tie_break: str = "higher",
 ) -> DataFrame:
-    """Validation metrics per strength x dropout x cap x held-out source.
+    """Validation metrics per seed x strength x dropout x cap x held-out source.
 
     `source` is one row per key with y_true, source_label and a column per method.
+    All models are fitted together, and all rows scored by all of them in one pass.
     """
-    real = key_holdout(source.where("y_true = 0"), key, fraction, seed + REAL_VALIDATION_OFFSET)
-    flagged = source.join(real.withColumn("_v", F.lit(True)), key, "left").withColumn(
-        "_v", F.coalesce("_v", F.lit(False))
-    )
-    rows = cut_lineage(flagged)
-    scored = None
-    for c in cs:
-        for dropout in dropouts:
-            for held in sources:
-                own = (F.col("y_true") == 1) & (F.col("source_label") == held)
-                part = rows.withColumn("role", F.when(F.col("_v") | own, "validation").otherwise("train"))
-                train = part.where("role = 'train'").select(key, "y_true", *methods)
-                model = _fit(train, key, methods, c, dropout, seed + held * SOURCE_OFFSET)
-                one = model.score(part).select(
-                    F.lit(float(c)).alias("c"),
-                    F.lit(dropout.label).alias("dropout"),
-                    F.lit(int(held)).alias("heldout_source"),
-                    "role",
-                    "y_true",
-                    "score",
-                )
-                scored = one if scored is None else scored.unionByName(one)
-    keys = ["c", "dropout", "heldout_source"]
+    flagged = source
+    for seed in seeds:
+        real = key_holdout(source.where("y_true = 0"), key, fraction, seed + REAL_VALIDATION_OFFSET)
+        flagged = flagged.join(real.select(key, F.lit(True).alias(f"_v{seed}")), key, "left")
+    rows = cut_lineage(flagged.fillna(False, [f"_v{seed}" for seed in seeds]))
+    held_out = lambda seed, held: F.col(f"_v{seed}") | ((F.col("y_true") == 1) & (F.col("source_label") == held))
+    sets, parts = [], []
+    for seed in seeds:
+        for held in sources:
+            train = rows.where(~F.coalesce(held_out(seed, held), F.lit(False))).select(key, "y_true", *methods)
+            for dropout in dropouts:
+                copies = branch_dropout_rows(train, key, methods, dropout.rate, dropout.repeats, seed + held * SOURCE_OFFSET, dropout.fill)
+                parts.append(copies.select(F.lit(len(sets)).alias("set"), "y_true", *methods))
+                sets.append((seed, held, dropout.label))
+    models = fit_many(reduce(DataFrame.unionByName, parts), "set", methods, "y_true", cs)
+    names = sorted(models)
+    flags = [f"_v{seed}" for seed in seeds]
+    scored = score_many(rows, [models[n] for n in names], ["y_true", "source_label", *flags])
+    told = F.array(*[F.struct(F.lit(float(c)).alias("c"), *_set_columns(sets[n], seeds)) for n, c in names])
+    scored = scored.withColumn("_s", F.get(told, F.col("model"))).select("*", "_s.*")
+    validation = F.get(F.array(*flags), F.col("seed_at")) | ((F.col("y_true") == 1) & (F.col("source_label") == F.col("heldout_source")))
+    scored = scored.withColumn("role", F.when(validation, "validation").otherwise("train"))
+    keys = ["seed", "c", "dropout", "heldout_source"]
     running = cut_lineage(m.running(scored, [*keys, "role"]))
     chosen = cut_lineage(capped_thresholds(running.where("role = 'train'").drop("role"), keys, caps, tie_break))
-    validation = decision_table(running.where("role = 'validation'"), chosen, keys, keys)
-    named = validation.select(
+    table = decision_table(running.where("role = 'validation'"), chosen, keys, keys)
+    named = table.select(
         *keys, "cap_name", "threshold", F.col("n_samples").alias("validation_samples"), *[F.col(d).alias(f"validation_{d}") for d in DECISION]
     )
     return named.join(chosen.drop("threshold"), [*keys, "cap_name"])
 
 
+def _set_columns(named: tuple[int, int, str], seeds: Sequence[int]) -> list[Column]:
+    seed, held, dropout = named
+    return [
+        F.lit(int(seed)).alias("seed"),
+        F.lit(list(seeds).index(seed)).alias("seed_at"),
+        F.lit(int(held)).alias("heldout_source"),
+        F.lit(dropout).alias("dropout"),
+    ]
+
+
 def grid_summary(folds: DataFrame) -> DataFrame:
-    """Mean and worst-case validation utility per configuration."""
-    return folds.groupBy("c", "dropout", "cap_name").agg(
+    """Mean and worst-case validation utility per seed and configuration."""
+    return folds.groupBy("seed", "c", "dropout", "cap_name").agg(
         F.count(F.lit(1)).alias("n_holdouts"),
         F.avg("validation_utility").alias("validation_utility_mean"),
         F.min("validation_utility").alias("validation_utility_min"),
@@ -185,16 +198,34 @@ def cap_sweep(
     cs: Sequence[float],
     caps: Sequence[float | None],
     sources: Sequence[int],
-    seed: int,
+    seeds: Sequence[int],
+    dropouts: Sequence[Dropout] = (Dropout(),),
+    mode: str = "min",
+    tie_break: str = "higher",
 ) -> DataFrame:
-    """For every cap the best configuration on held-out sources, refitted and evaluated on the targets."""
-    folds = holdout_grid(source, key, methods, cs, caps, sources, seed)
-    # one row per cap: the caller's list bounds it
-    chosen = select_config(grid_summary(folds), ["cap_name"]).select("cap_name", "c").collect()
-    by_name = {"none" if c is None else f"{c:g}": c for c in caps}
-    out = None
-    for row in chosen:
-        one = final_evaluation(source, targets, variant, key, methods, row["c"], [by_name[row["cap_name"]]], seed)
-        one = one.withColumn("c", F.lit(float(row["c"])))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Per seed and cap the best configuration on held-out sources, refitted on all source rows and evaluated on the targets.
+
+    The chosen models are fitted together too: jobs do not grow with seeds and caps.
+    """
+    folds = holdout_grid(source, key, methods, cs, caps, sources, seeds, dropouts, tie_break=tie_break)
+    # one row per seed and cap: the caller's lists bound it
+    chosen = select_config(grid_summary(folds), ["seed", "cap_name"], mode).select("seed", "cap_name", "c", "dropout").collect()
+    of_label = {d.label: d for d in dropouts}
+    sets = sorted({(r["seed"], r["dropout"]) for r in chosen})
+    parts = []
+    for i, (seed, label) in enumerate(sets):
+        d = of_label[label]
+        rows = branch_dropout_rows(source.select(key, "y_true", *methods), key, methods, d.rate, d.repeats, seed + FINAL_OFFSET, d.fill)
+        parts.append(rows.select(F.lit(i).alias("set"), "y_true", *methods))
+    models = fit_many(reduce(DataFrame.unionByName, parts), "set", methods, "y_true", sorted({r["c"] for r in chosen}))
+    picked = [models[sets.index((r["seed"], r["dropout"])), r["c"]] for r in chosen]
+    both = source.withColumn(variant, F.lit("source")).select(variant, "y_true", *methods).unionByName(
+        targets.select(variant, "y_true", *methods)
+    )
+    running = cut_lineage(m.running(score_many(both, picked, [variant, "y_true"]), ["model", variant]))
+    limits = capped_thresholds(running.where(F.col(variant) == "source").drop(variant), ["model"], caps, tie_break)
+    named = [F.struct(*[F.lit(r[c]).alias(c) for c in ("seed", "cap_name", "c", "dropout")]) for r in chosen]
+    limits = limits.withColumn("_s", F.get(F.array(*named), F.col("model"))).where(F.col("_s.cap_name") == F.col("cap_name"))
+    limits = cut_lineage(limits.select("*", "_s.seed", "_s.c", "_s.dropout").drop("_s"))
+    table = decision_table(running, limits, ["model"], ["model", variant])
+    return table.join(limits.select("model", "seed", "c", "dropout", "train_utility", "train_positive_rate"), "model").drop("model")

@@ -7,7 +7,8 @@ from sieveline.session import cut_lineage
 from sieveline.suite.registry import case
 
 METHODS = ["alpha", "beta", "gamma"]
-CS, CAPS, SOURCES = [0.03, 1.0], [None, 0.4], [1, 2, 3, 4, 5]
+CS, CAPS, SOURCES, SEEDS = [1.0, 0.3, 0.1, 0.03, 0.01], [None, 0.48], [1, 2, 3, 4, 5], [7, 17, 29]
+DROPOUTS = [tu.Dropout(), tu.Dropout("mean0p35x8", 0.35, 8, "mean")]
 
 
 def domains(t):
@@ -22,7 +23,7 @@ def domains(t):
 @case("q_E07_holdout_tuning_grid")
 def _(t):
     source, _ = domains(t)
-    return tu.holdout_grid(source, "path", METHODS, CS, CAPS, SOURCES, 7)
+    return tu.holdout_grid(source, "path", METHODS, CS, CAPS, SOURCES, SEEDS, DROPOUTS)
 
 
 @case("q_E08_final_config_eval")
@@ -34,7 +35,7 @@ def _(t):
 @case("q_E09_cap_constraint_sweep")
 def _(t):
     source, target = domains(t)
-    return tu.cap_sweep(source, target.withColumn("variant", F.lit("target")), "variant", "path", METHODS, CS, CAPS, SOURCES, 7)
+    return tu.cap_sweep(source, target.withColumn("variant", F.lit("target")), "variant", "path", METHODS, CS, CAPS, SOURCES, SEEDS, DROPOUTS)
 
 
 @case("q_E10_tiled_fusion_eval")
