@@ -62,13 +62,15 @@ def leave_one_group_out_folds(df: DataFrame, group: str, label: str = "label") -
     own = df.groupBy(group).agg(
         F.count_if(F.col(label) == 0).alias("val_real"), F.count_if(F.col(label) == 1).alias("val_fake")
     )
-    every = Window.partitionBy()
-    return own.select(
+    whole = df.agg(
+        F.struct(F.count_if(F.col(label) == 0).alias("real"), F.count_if(F.col(label) == 1).alias("fake")).alias("t")
+    ).scalar()
+    return own.withColumn("_t", whole).select(
         group,
         "val_real",
         "val_fake",
-        (F.sum("val_real").over(every) - F.col("val_real")).alias("train_real"),
-        (F.sum("val_fake").over(every) - F.col("val_fake")).alias("train_fake"),
+        (F.col("_t.real") - F.col("val_real")).alias("train_real"),
+        (F.col("_t.fake") - F.col("val_fake")).alias("train_fake"),
     ).withColumn(
         "usable",
         (F.col("val_real") > 0) & (F.col("val_fake") > 0) & (F.col("train_real") > 0) & (F.col("train_fake") > 0),

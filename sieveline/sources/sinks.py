@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import posixpath
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.operators.neighbours import unit
+from sieveline.session import cut_lineage
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -21,6 +26,39 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
 
 
+def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
+    """Every row's bytes as a file of its own below `folder`; `path` and `length` of what was written.
+
+    Names may hold folders. A file is written aside and moved into place, so
+    attempts of tasks that are lost or run twice leave whole files only. The folder
+    must be one that all executors reach.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if folder.startswith("file:") or "://" not in folder:
+            store, root = pafs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+        else:
+            store, root = pafs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+        made = set()
+        for batch in batches:
+            paths = [posixpath.join(root, n) for n in batch.column("name").to_pylist()]
+            lengths = []
+            for path, data in zip(paths, batch.column("content")):
+                parent = posixpath.dirname(path)
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                aside = posixpath.join(parent, f"_{uuid.uuid4().hex}")
+                with store.open_output_stream(aside) as out:
+                    out.write(data.as_buffer())
+                store.move(aside, path)
+                lengths.append(data.as_buffer().size)
+            yield pa.record_batch([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], names=["path", "length"])
+
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content"))
+    return cut_lineage(rows.mapInArrow(run, "path string, length long"))
+
+
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Stored features, or an empty table before the first write."""
     try:

@@ -23,12 +23,16 @@ GRID = """(SELECT printf('%.4f,%.4f,%.4f', a * 0.25, b * 0.25, (4 - a - b) * 0.2
            FROM range(5) x(a), range(5) y(b) WHERE a + b <= 4)"""
 
 
+FINE_GRID = """(SELECT printf('%.4f,%.4f,%.4f', a * 0.05, b * 0.05, (20 - a - b) * 0.05) AS weights, a * 0.05::DOUBLE AS w1, b * 0.05::DOUBLE AS w2, (20 - a - b) * 0.05::DOUBLE AS w3
+                FROM range(21) x(a), range(21) y(b) WHERE a + b <= 20)"""
+
+
 @case(
     "q_U02_weight_grid",
-    f"SELECT weights, count(*) AS n_rows, r9(avg(s1 * w1 + s2 * w2 + s3 * w3)) AS mean_score FROM predictions_wide, {GRID} g GROUP BY weights",
+    f"SELECT weights, count(*) AS n_rows, r9(avg(s1 * w1 + s2 * w2 + s3 * w3)) AS mean_score FROM predictions_wide, {FINE_GRID} g GROUP BY weights",
 )
 def _(t):
-    grid = u.weights_column(u.weight_grid(3, 0.25))
+    grid = u.weights_column(u.weight_grid(3, 0.05))
     rows = wide(t).withColumn("g", F.explode(grid))
     return rows.groupBy(F.col("g.weights").alias("weights")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg(u.weighted_sum(METHODS, F.col("g.w"))).alias("mean_score")

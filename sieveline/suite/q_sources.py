@@ -1,9 +1,11 @@
 """Scans, sources and sinks. File round trips go through a fresh folder next to the checkpoints."""
 
+import struct
+
 from pyspark.sql import functions as F
 
 from sieveline import schemas
-from sieveline.functions.scalar import file_stem
+from sieveline.functions.scalar import file_name, file_stem
 from sieveline.operators import metrics as m, neighbours
 from sieveline.session import scratch_path
 from sieveline.sources import scans, sinks
@@ -19,14 +21,50 @@ def _(t):
 
 def unit_grid(t):
     """An 8x8 embedding as three planes in [0, 1]: grey, mirrored, turned upside down."""
-    low, high = F.array_min("embedding"), F.array_max("embedding")
-    flat = F.transform("embedding", lambda x: ((x - low) / (high - low)).cast("double"))
+    low, high = F.array_min("embedding").cast("double"), F.array_max("embedding").cast("double")
+    flat = F.transform("embedding", lambda x: (x.cast("double") - low) / (high - low))
     rows = t.embeddings.select(F.col("vec_id").cast("string").alias("path"), flat.alias("r"))
     mirrored = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("r", i - F.pmod(i, F.lit(8)) + 7 - F.pmod(i, F.lit(8))))
     return rows.select("path", "r", mirrored.alias("g"), F.reverse("r").alias("b"))
 
 
-@case("q_S02_decoded_image_scan")
+def bitmap_bytes(side):
+    """An uncompressed 24-bit bitmap of `side` x `side` from the planes r, g, b in [0, 1]: header, then rows from the bottom up."""
+    size = 3 * side * side
+    header = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + size, 0, 0, 54, 40, side, side, 1, 24, 0, size, 2835, 2835, 0, 0)
+    byte = lambda c, i: F.lpad(F.hex(F.floor(F.get(c, i) * 255 + 0.5).cast("long")), 2, "0")
+    row = lambda j: F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.concat(*[byte(c, j * side + i) for c in "bgr"]))
+    text = F.array_join(F.flatten(F.transform(F.sequence(F.lit(side - 1), F.lit(0), F.lit(-1)), row)), "")
+    return F.concat(F.lit(header), F.unhex(text))
+
+
+_BYTE = "list_transform(embedding, lambda x: floor((x::DOUBLE - lo) / (hi - lo) * 255 + 0.5) / 255)"
+
+
+@case(
+    "q_S02_decoded_image_scan",
+    f"""SELECT CAST(vec_id AS VARCHAR) || '.bmp' AS name, 16 AS height, 16 AS width, 256 AS n_pixels,
+               r9(list_sum(p) / 64) AS r_mean, r9(list_sum(p) / 64) AS g_mean, r9(list_sum(p) / 64) AS b_mean,
+               r9(p[1]) AS r_first, r9(p[8]) AS g_first, r9(p[64]) AS b_first
+        FROM (SELECT vec_id, {_BYTE} AS p FROM (SELECT vec_id, embedding, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings) e) x""",
+)
+def _(t):
+    folder = scratch_path(t.spark, "pictures")
+    named = unit_grid(t).select(F.concat("path", F.lit(".bmp")).alias("name"), bitmap_bytes(8).alias("content"))
+    sinks.write_files(named, folder, "name", "content")
+    out = scans.decoded_images(t.spark, folder, 16)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
+    return out.select(
+        file_name("path").alias("name"),
+        "height",
+        "width",
+        F.size("r").alias("n_pixels"),
+        *[total(c).alias(f"{c}_mean") for c in ("r", "g", "b")],
+        *[F.get(c, 0).alias(f"{c}_first") for c in ("r", "g", "b")],
+    )
+
+
+@case("q_S02_resized_planes")
 def _(t):
     out = scans.resized_planes(unit_grid(t), 64, 8, 16)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)
@@ -67,8 +105,10 @@ def _(t):
 def _(t):
     runs = m.binary_metrics(t.predictions, ["method", "seed"])
     text = F.to_json(F.struct("method", "accuracy", "roc_auc", "n_samples"))
-    path = F.concat_ws("/", F.lit("runs"), F.concat(F.lit("seed"), F.col("seed")), "method", F.lit("metrics.json"))
-    out = scans.run_metrics(runs.select(path.alias("path"), text.alias("text")))
+    name = F.concat_ws("/", F.concat(F.lit("seed"), F.col("seed")), "method", F.lit("metrics.json"))
+    folder = scratch_path(t.spark, "runs")
+    sinks.write_files(runs.select(name.alias("name"), text.alias("text")), folder, "name", "text")
+    out = scans.run_metrics_scan(t.spark, f"{folder}/*/*/metrics.json")
     return out.select("seed", "run", "method", "accuracy", "roc_auc", "n_samples")
 
 
