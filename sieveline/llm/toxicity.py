@@ -96,6 +96,26 @@ def _packed(block: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _needed(words: set[str]) -> pa.StructArray:
+    """Contexts in the spellings of words, and the letters after each: one length of spelling at a time, in order."""
+    contexts, followers, ends = [], [], [0]
+    found: dict[int, set[str]] = defaultdict(set)
+    for word in words:
+        for gram in grams(word):
+            found[len(gram)].add(gram)
+    for size in sorted(found):
+        last = None
+        for gram in sorted(found.pop(size)):
+            if gram[:-1] != last:
+                last = gram[:-1]
+                contexts.append(last)
+                ends.append(ends[-1])
+            followers.append(gram[-1])
+            ends[-1] += 1
+    letters = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(followers, pa.string()))
+    return pa.StructArray.from_arrays([pa.array(contexts, pa.string()), letters], names=["context", "letters"])
+
+
 def stored(rows: DataFrame) -> Stored:
     """Rows with `id`, `text` and others, written once; block numbers hold for what was written."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -108,12 +128,8 @@ def stored(rows: DataFrame) -> Stored:
             words: set[str] = set()
             for text in block.column("text").to_pylist():
                 words.update(words_of((text or "").lower()))
-            after: dict[str, set[str]] = defaultdict(set)
-            for gram in {g for w in words for g in grams(w)}:
-                after[gram[:-1]].add(gram[-1])
-            contexts = sorted(after)
-            letters = pa.array([sorted(after[c]) for c in contexts], pa.list_(pa.string()))
-            needed = pa.StructArray.from_arrays([pa.array(contexts, pa.string()), letters], names=["context", "letters"])
+            needed = _needed(words)
+            words.clear()
             whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             yield pa.record_batch(
                 [
@@ -270,9 +286,11 @@ class _WordScores(dict):
         super().__init__()
         self.evidence: dict[str, float] = {}
         if said is not None:
-            for context, letters, values in zip(*[said.field(c).to_pylist() for c in ("context", "letters", "values")]):
-                for letter, value in zip(letters, values):
-                    self.evidence[context + letter] = value
+            for at in range(0, len(said), 20_000):  # a part at a time, lest all of it lies twice in memory
+                part = said.slice(at, 20_000)
+                for context, letters, values in zip(*[part.field(c).to_pylist() for c in ("context", "letters", "values")]):
+                    for letter, value in zip(letters, values):
+                        self.evidence[context + letter] = value
 
     def __missing__(self, word: str) -> float:
         of = self.evidence
