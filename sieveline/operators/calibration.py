@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sieveline.functions.scalar import SCORE_EPS, clip, logit, sigmoid
+from sieveline.functions.scalar import LOGIT_LIMIT, SCORE_EPS, clip, logit, sigmoid
 from sieveline.operators.metrics import clipped, histogram, join_groups, running_of, summarise_running
 from sieveline.plans.pooling import monotone_pools, surrounding
 from sieveline.session import cut_lineage, shuffle_partitions
@@ -59,19 +63,62 @@ def _weighted_histogram(df: DataFrame, keys: Sequence[str], balanced: bool) -> D
     )
 
 
+OPEN_GROUPS = 1024
+"""Groups whose sums a task holds at once, a grid of numbers each."""
+
+
+def _grid_losses(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys, low, high, losses, weight`: summed loss of all grid points, a partial sum per task and group.
+
+    `rows` has the keys, `logit`, `w_pos`, `w_neg` and the grid's ends `low` and `high`,
+    which are those of the group. A batch meets the grid as one matrix in numpy; no
+    row is copied per point.
+    """
+    names = [*keys, "low", "high"]
+    schema = T.StructType([rows.schema[n] for n in names])
+    schema = schema.add("losses", T.ArrayType(T.DoubleType())).add("weight", "double")
+    kinds = to_arrow_schema(schema)
+    points = np.arange(GRID_POINTS) / (GRID_POINTS - 1)
+
+    def out(sums: dict) -> pa.RecordBatch:
+        heads = list(zip(*sums)) or [()] * len(names)
+        columns = [*heads, [v[:-1] for v in sums.values()], [v[-1] for v in sums.values()]]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds.types)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            numbers: dict[tuple, int] = {}
+            owners = zip(*[batch.column(n).to_pylist() for n in names])
+            group = np.fromiter((numbers.setdefault(o, len(numbers)) for o in owners), np.int64, batch.num_rows)
+            value, pos, neg = (batch.column(c).to_numpy() for c in ("logit", "w_pos", "w_neg"))
+            for owner, i in numbers.items():
+                low, high = np.log(owner[-2]), np.log(owner[-1])
+                at = np.flatnonzero(group == i) if len(numbers) > 1 else np.arange(batch.num_rows)
+                z = np.clip(value[at, None] / np.exp(low + points * (high - low)), -LOGIT_LIMIT, LOGIT_LIMIT)
+                p = np.clip(1.0 / (1.0 + np.exp(-z)), SCORE_EPS, 1.0 - SCORE_EPS)
+                part = np.append(-(pos[at] @ np.log(p) + neg[at] @ np.log(1.0 - p)), (pos[at] + neg[at]).sum())
+                sums[owner] = sums[owner] + part if owner in sums else part
+            if len(sums) > OPEN_GROUPS:
+                yield out(sums)
+                sums = {}
+        if sums:
+            yield out(sums)
+
+    return rows.select(*names, "logit", "w_pos", "w_neg").mapInArrow(run, schema)
+
+
 def _best_point(rows: DataFrame, keys: Sequence[str], low: Column, high: Column) -> DataFrame:
     """Best temperature per group on a log grid from `low` to `high`; the lowest wins a tie."""
-    points = F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1)))
-    spaced = rows.select(*keys, "score", "w_pos", "w_neg", F.ln(low).alias("_a"), F.ln(high).alias("_b"))
-    spaced = spaced.withColumn("_logit", logit(F.col("score")))
-    at = spaced.select("*", points.alias("point"))
-    temperature = F.exp(F.col("_a") + F.col("point") * (F.col("_b") - F.col("_a")) / float(GRID_POINTS - 1))
-    p = clip(sigmoid(F.col("_logit") / temperature), SCORE_EPS, 1.0 - SCORE_EPS)
-    at = at.withColumn("_p", p)
-    loss = -(F.col("w_pos") * F.ln("_p") + F.col("w_neg") * F.ln(1.0 - F.col("_p")))
-    per_point = at.groupBy(*keys, "point").agg(
-        (F.sum(loss) / F.sum(F.col("w_pos") + F.col("w_neg"))).alias("loss"),
-        F.first(temperature).alias("temperature"),
+    keys = list(keys)
+    spaced = rows.select(
+        *keys, logit(F.col("score")).alias("logit"), F.col("w_pos").cast("double"), F.col("w_neg").cast("double"), low.alias("low"), high.alias("high")
+    )
+    parts = _grid_losses(spaced, keys).select(*keys, "low", "high", "weight", F.posexplode("losses").alias("point", "loss"))
+    start, end = F.ln("low"), F.ln("high")
+    per_point = parts.groupBy(*keys, "low", "high", "point").agg(
+        (F.sum("loss") / F.sum("weight")).alias("loss"),
+        F.first(F.exp(start + F.col("point") * (end - start) / float(GRID_POINTS - 1))).alias("temperature"),
     )
     return per_point.groupBy(*keys).agg(F.min(F.struct("loss", "point", "temperature")).alias("b"))
 
@@ -79,7 +126,7 @@ def _best_point(rows: DataFrame, keys: Sequence[str], low: Column, high: Column)
 def temperature_fit(df: DataFrame, keys: Sequence[str], balanced: bool = False) -> DataFrame:
     """Temperature with the lowest (weighted) log-loss: a log grid, then a finer one around its best point."""
     keys = list(keys)
-    # every row meets 240 grid points: keep all tasks busy although the histogram itself is small
+    # every row meets the whole grid: keep all tasks busy although the histogram itself is small
     tasks = shuffle_partitions(df.sparkSession)
     rows = _weighted_histogram(df, keys, balanced).repartition(tasks, "score")
     coarse = _best_point(rows, keys, F.lit(GRID_LOW), F.lit(GRID_HIGH))

@@ -22,11 +22,11 @@ def _(t):
     folder = scratch_path(t.spark, "stream")
     rows = t.predictions_wide.select("id", F.when(F.col("y_true") == 0, "real").otherwise("ai_generated").alias("kind"), "source_label")
     top = rows.agg(F.max("id").alias("m")).first()["m"] + 1
-    # three arrivals, one after the other
+    # three arrivals of two files each, one after the other
     for part in range(3):
         inside = (F.col("id") >= top * part // 3) & (F.col("id") < top * (part + 1) // 3)
-        rows.where(inside).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        rows.where(inside).repartition(2, "id").write.mode("append").parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     quotas = Quotas(real=500, fake=250, per_source=100, wanted_sources=(1, 2, 4))
     return quota_sample(stream, f"{folder}/out", f"{folder}/state", quotas, "kind", "source_label", "id").select("id")
 
