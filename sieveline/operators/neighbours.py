@@ -3,11 +3,14 @@
 Base vectors are put into the cell of their nearest pivot. A query visits only cells
 that can hold one of its k nearest: by the triangle inequality every member of a cell
 lies within `pivot distance +- cell radius`. A cell with many members is split into
-blocks of bounded size, and queries into blocks too, so one hot cell is many tasks.
+blocks of bounded size, and queries of neighbouring cells into blocks too; a block of
+queries meets the blocks of the cells that it visits and no others.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,7 +22,8 @@ from pyspark.sql import types as T
 from sieveline.functions.scalar import stable_hash
 from sieveline.session import cut_lineage
 
-PIVOTS = 32
+LEAST_PIVOTS, MOST_PIVOTS = 32, 4096
+"""Pivots follow the square root of the base, between these; the most that the driver and a task hold."""
 BLOCK_ROWS = 8_192
 QUERY_SLICE = 512
 SLACK = 1e-6
@@ -32,10 +36,20 @@ def unit(vector: Column) -> Column:
     return F.transform(doubles, lambda x: x / F.greatest(length, F.lit(1e-12)))
 
 
-def _pivots(base: DataFrame, pivots: int) -> np.ndarray:
+def _pivots(base: DataFrame, pivots: int | None) -> np.ndarray:
     """A bounded sample of base vectors, the same for any partitioning."""
-    rows = base.orderBy(stable_hash("base_id", 0), "base_id").limit(pivots).select("vector").collect()
-    return np.array([r["vector"] for r in rows], dtype=np.float64)
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(base.count())))
+    ids = base.select("base_id").orderBy(stable_hash("base_id", 0), "base_id").limit(pivots)
+    rows = base.join(ids, "base_id", "left_semi").select("base_id", "vector").collect()
+    rows.sort(key=lambda r: hashlib.sha256(str(r["base_id"]).encode()).hexdigest())
+    return np.array([r["vector"] for r in rows[:pivots]], dtype=np.float64)
+
+
+def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Parts of a batch whose distances to all pivots fit in little memory."""
+    for at in range(0, len(batch), QUERY_SLICE):
+        yield batch.iloc[at : at + QUERY_SLICE]
 
 
 def _with_cells(df: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -46,74 +60,129 @@ def _with_cells(df: DataFrame, centres: np.ndarray) -> DataFrame:
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.stack(batch["vector"].to_numpy())
-            sims = x @ centres.T
-            cell = sims.argmax(axis=1)
-            far = np.sqrt(np.maximum(2.0 - 2.0 * sims[np.arange(len(x)), cell], 0.0))
-            yield batch.assign(cell=cell.astype("int32"), far=far)
+            for part in _slices(batch):
+                x = np.stack(part["vector"].to_numpy())
+                sims = x @ centres.T
+                cell = sims.argmax(axis=1)
+                far = np.sqrt(np.maximum(2.0 - 2.0 * sims[np.arange(len(x)), cell], 0.0))
+                yield part.assign(cell=cell.astype("int32"), far=far)
 
     return df.mapInPandas(place, schema)
 
 
+def query_blocks_of(centres: np.ndarray, sizes: dict[int, int], block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the queries at home in every cell: the first block and the number of blocks.
+
+    Cells around the same one of a few coarse pivots follow each other and share
+    blocks of about `block_rows` queries; a cell with more has several of its own.
+    """
+    coarse = centres[: math.isqrt(len(centres)) or 1]
+    nearest_coarse = (centres @ coarse.T).argmax(axis=1)
+    first, count = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64)
+    block, held = 0, 0
+    for cell in np.lexsort([np.arange(len(centres)), nearest_coarse]).tolist():
+        n = sizes.get(cell, 0)
+        if held and held + n > block_rows:
+            block, held = block + 1, 0
+        first[cell], count[cell] = block, max(1, -(-n // block_rows))
+        if count[cell] > 1:
+            block, held = block + count[cell], 0
+        else:
+            held += n
+    return first, count
+
+
+def _spread(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """A part below `parts` for every id, the same wherever it is worked out."""
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(29))) % parts.astype(np.uint64)).astype(np.int64)
+
+
 def nearest(
     queries: DataFrame,
     base: DataFrame,
     k: int,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
     skip_self: bool = False,
 ) -> DataFrame:
     """`(query_id, place, base_id, similarity, label)`: the k most similar base rows of every query.
 
     `queries` has (query_id long, vector), `base` has (base_id long, vector, label);
-    vectors are unit length. Equal similarities are ordered by base id.
+    vectors are unit length. Equal similarities are ordered by base id. Base rows
+    only travel to the blocks of queries that visit their cell.
     """
     centres = _pivots(base, pivots)
+    if not len(centres):
+        return queries.sparkSession.createDataFrame([], "query_id long, base_id long, similarity double, label int, place int")
     placed = cut_lineage(_with_cells(base.select("base_id", "vector", "label"), centres))
+    homes = cut_lineage(_with_cells(queries.select("query_id", "vector"), centres))
     # one row per pivot: bounded by the number of pivots
     cells = {
         r["cell"]: (r["n"], r["far"])
         for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
     }
+    at_home = {r["cell"]: r["n"] for r in homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first_block, block_count = query_blocks_of(centres, at_home, block_rows)
     ids = np.array(sorted(cells), dtype="int32")
     counts = np.array([cells[c][0] for c in ids], dtype="int64")
     radii = np.array([cells[c][1] for c in ids])
     blocks = np.maximum(1, -(-counts // block_rows))
+    blocks_of_cell = np.ones(len(centres), np.int64)
+    blocks_of_cell[ids] = blocks
     need = k + 1 if skip_self else k
-    n_queries = queries.count()
-    query_blocks = max(1, -(-n_queries // block_rows))
 
-    visit_schema = "query_id long, vector array<double>, cell int, block int, query_block int"
+    def visits_of(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) places: the cells that can hold one of the k nearest."""
+        dist = np.sqrt(np.maximum(2.0 - 2.0 * (np.stack(part["vector"].to_numpy()) @ centres[ids].T), 0.0))
+        reach = dist + radii
+        order = reach.argsort(axis=1)
+        enough = (counts[order].cumsum(axis=1) >= need).argmax(axis=1)
+        if counts.sum() < need:
+            enough[:] = len(ids) - 1
+        bound = np.take_along_axis(reach, np.take_along_axis(order, enough[:, None], 1), 1)
+        return np.nonzero(dist - radii <= bound + SLACK)
+
+    def block_of(part: pd.DataFrame) -> np.ndarray:
+        home = part["cell"].to_numpy()
+        return first_block[home] + _spread(part["query_id"].to_numpy(), block_count[home])
+
+    def visited_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = [np.zeros((0, 2), np.int64)]
+            for part in _slices(batch):
+                rows, cols = visits_of(part)
+                pairs.append(np.unique(np.column_stack([ids[cols], block_of(part)[rows]]), axis=0))
+            both = np.unique(np.concatenate(pairs), axis=0)
+            yield pd.DataFrame({"cell": both[:, 0].astype("int32"), "query_block": both[:, 1]})
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.stack(batch["vector"].to_numpy())
-            dist = np.sqrt(np.maximum(2.0 - 2.0 * (x @ centres[ids].T), 0.0))
-            reach = dist + radii
-            order = reach.argsort(axis=1)
-            enough = (counts[order].cumsum(axis=1) >= need).argmax(axis=1)
-            if counts.sum() < need:
-                enough[:] = len(ids) - 1
-            bound = np.take_along_axis(reach, np.take_along_axis(order, enough[:, None], 1), 1)
-            rows, cols = np.nonzero(dist - radii <= bound + SLACK)
-            repeat = blocks[cols]
-            pick = np.repeat(rows, repeat)
-            block = np.concatenate([np.arange(r) for r in repeat]) if len(repeat) else np.zeros(0, int)
-            yield pd.DataFrame(
-                {
-                    "query_id": batch["query_id"].to_numpy()[pick],
-                    "vector": batch["vector"].to_numpy()[pick],
-                    "cell": ids[np.repeat(cols, repeat)],
-                    "block": block.astype("int32"),
-                    "query_block": (batch["query_id"].to_numpy()[pick] % query_blocks).astype("int32"),
-                }
-            )
+            for part in _slices(batch):
+                rows, cols = visits_of(part)
+                repeat = blocks[cols]
+                pick = np.repeat(rows, repeat)
+                block = np.concatenate([np.arange(r) for r in repeat]) if len(repeat) else np.zeros(0, int)
+                yield pd.DataFrame(
+                    {
+                        "query_id": part["query_id"].to_numpy()[pick],
+                        "vector": part["vector"].to_numpy()[pick],
+                        "cell": ids[np.repeat(cols, repeat)],
+                        "block": block.astype("int32"),
+                        "query_block": block_of(part)[pick],
+                    }
+                )
 
-    visits = queries.select("query_id", "vector").mapInPandas(route, visit_schema)
-    per_cell = F.create_map(*[F.lit(int(x)) for pair in zip(ids, blocks) for x in pair])
-    members = placed.withColumn(
-        "block", F.pmod(F.xxhash64("base_id"), F.element_at(per_cell, F.col("cell"))).cast("int")
-    ).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    def in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            block = _spread(batch["base_id"].to_numpy(), blocks_of_cell[batch["cell"].to_numpy()])
+            yield batch.assign(block=block.astype("int32"))
+
+    visits = homes.mapInPandas(route, "query_id long, vector array<double>, cell int, block int, query_block long")
+    # at most cells x query blocks rows, before any vector is copied
+    met = homes.mapInPandas(visited_cells, "cell int, query_block long").groupBy("cell").agg(F.collect_set("query_block").alias("query_blocks"))
+    members = placed.drop("far").mapInPandas(in_blocks, "base_id long, vector array<double>, label int, cell int, block int")
+    members = members.join(met, "cell").withColumn("query_block", F.explode("query_blocks")).drop("query_blocks")
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = {"query_id": "int64", "base_id": "int64", "similarity": "float64", "label": "int32"}

@@ -152,6 +152,42 @@ def test_knn_blocks_against_brute_force(spark, block_rows):
         assert [s for _, s in got] == pytest.approx(sorted(sims[q])[::-1][:5], abs=1e-9)
 
 
+def test_query_blocks_keep_neighbours_together_and_split_crowds():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(100, 5))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    sizes = {c: int(rng.integers(0, 40)) for c in range(0, 100, 2)} | {7: 1000}
+    first, count = nb.query_blocks_of(centres, sizes, 50)
+    load = {}
+    for cell, n in sizes.items():
+        own = first[cell] + nb._spread(np.arange(n) * 977 + cell, np.full(n, count[cell]))
+        assert len(own) == 0 or (own >= first[cell]).all() and (own < first[cell] + count[cell]).all()
+        for b in own.tolist():
+            load[b] = load.get(b, 0) + 1
+    assert count[7] == 20 and count.sum() == 100 + 19
+    assert max(load.values()) < 100 and len(load) < 60  # about 50 queries a block, whatever the cell
+    shared = [c for c in range(100) if count[c] == 1]
+    coarse = (centres @ centres[:10].T).argmax(axis=1)
+    for block in set(first[shared].tolist()):  # cells of a block are neighbours in the order of coarse pivots
+        here = sorted({coarse[c] for c in shared if first[c] == block})
+        assert here == list(range(here[0], here[-1] + 1)) or len(set(coarse.tolist())) < 10
+
+
+def test_knn_of_clusters_and_an_empty_base(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(8, 16))
+    x = np.concatenate([c + 0.01 * rng.normal(size=(30, 16)) for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    base = spark.createDataFrame([(i, [float(v) for v in r], i % 2) for i, r in enumerate(x)], "base_id bigint, vector array<double>, label int")
+    queries = base.where("base_id % 3 = 0").select(F.col("base_id").alias("query_id"), "vector")
+    found = nb.nearest(queries, base, 4, block_rows=20).collect()
+    sims = x @ x.T
+    for q in range(0, len(x), 3):
+        got = [r["base_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["place"])]
+        assert got == sorted(range(len(x)), key=lambda i: (-sims[q, i], i))[:4]
+    assert nb.nearest(queries, base.where("false"), 4).collect() == []
+
+
 def test_quantiles_match_numpy(spark):
     from sieveline.operators.runstats import exact_quantiles, pct_rank_average
 
