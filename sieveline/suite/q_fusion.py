@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sieveline.operators import fusion as u, metrics as m, runstats as r
+from sieveline.suite.q_sampling import hash_sql
 from sieveline.suite.registry import SHARED, case
 from sieveline.suite.sqlparts import audet, bundle, curve, det, point
 
@@ -116,7 +117,23 @@ def _(t):
     return m.binary_metrics(scored.withColumn("part", F.lit("train")), ["part"])
 
 
-@case("q_U08_branch_dropout_rows")
+def _drawn(c):
+    """The draw of a method's score in a copy: the first 13 hex digits of its hash as a share of 2^52."""
+    return f"('0x' || substr({hash_sql(f"(CAST(id AS VARCHAR) || ':' || CAST(repeat AS VARCHAR) || ':{c}')", '7')}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+_LOST = lambda u: f"({u} < 0.4::DOUBLE AND NOT (greatest(ua, ub, uc) < 0.4::DOUBLE AND {u} = greatest(ua, ub, uc)))"
+
+
+@case(
+    "q_U08_branch_dropout_rows",
+    f"""SELECT repeat, count(*) AS n, count(*) FILTER (a = 0.5) AS alpha_masked, count(*) FILTER (b = 0.5) AS beta_masked, count(*) FILTER (c = 0.5) AS gamma_masked
+        FROM (SELECT repeat, CASE WHEN repeat > 0 AND {_LOST('ua')} THEN 0.5 ELSE s1 END AS a, CASE WHEN repeat > 0 AND {_LOST('ub')} THEN 0.5 ELSE s2 END AS b,
+                     CASE WHEN repeat > 0 AND {_LOST('uc')} THEN 0.5 ELSE s3 END AS c
+              FROM (SELECT *, {_drawn('alpha')} AS ua, {_drawn('beta')} AS ub, {_drawn('gamma')} AS uc
+                    FROM predictions_wide, (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS repeat) k) d) x
+        GROUP BY repeat""",
+)
 def _(t):
     rows = u.branch_dropout_rows(wide(t), "id", METHODS, 0.4, 2, 7)
     gone = lambda c: F.count_if(F.col(c) == 0.5).alias(f"{c}_masked")

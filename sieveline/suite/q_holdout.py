@@ -80,6 +80,18 @@ def _(t):
     )
 
 
+_SUMMED = ["default_accuracy", "source_threshold_accuracy", "oracle_accuracy", "roc_auc"]
+
+
+@case(
+    "q_E03_holdout_method_means",
+    f"""SELECT method, metric, count(*) AS n, r9(avg(value)) AS mean
+        FROM (SELECT method, unnest([{', '.join(repr(c) for c in _SUMMED)}]) AS metric, unnest([{', '.join(_SUMMED)}]) AS value FROM holdout_report) l GROUP BY ALL""",
+)
+def _(t):
+    return e.holdout_summary(e.holdout_report(slices(t), ["method"]), ["method"], _SUMMED, seed=7).drop("ci_low", "ci_high")
+
+
 # ---- candidates: methods as candidates, two domains by path hash --------------
 
 SHARED["domain_rows"] = """

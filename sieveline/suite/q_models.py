@@ -94,7 +94,11 @@ def _(t):
     return g.select_k(g.binned_mutual_information(long(t)), "mutual_information", 20)
 
 
-@case("q_G07_selected_names")
+@case(
+    "q_G07_selected_names",
+    """SELECT 'f' || CAST(feature AS VARCHAR) AS feature, 1 AS n_selected, 'anova' AS runs, CASE WHEN feature < 32 THEN 'base' ELSE 'extra' END AS kind
+       FROM anova ORDER BY f_value DESC, feature LIMIT 20""",
+)
 def _(t):
     rows = vectors(t)
     kept = g.anova_selector(rows, FEATURES, "y_true", 20)

@@ -433,6 +433,18 @@ def _(t):
     return r.bootstrap_mean_ci(runs(t), ["method"], ["accuracy", "roc_auc"], seed=17)
 
 
+def _stacked(*names):
+    return f"(SELECT method, seed, unnest([{', '.join(repr(n) for n in names)}]) AS metric, unnest([{', '.join(names)}]) AS value FROM runs)"
+
+
+@case(
+    "q_T01_bootstrap_means",
+    f"SELECT method, metric, count(*) AS n, r9(avg(value)) AS mean FROM {_stacked('accuracy', 'roc_auc')} l GROUP BY ALL",
+)
+def _(t):
+    return r.bootstrap_mean_ci(runs(t), ["method"], ["accuracy", "roc_auc"], seed=17).drop("ci_low", "ci_high")
+
+
 @case("q_T01_poisson_bootstrap_rows")
 def _(t):
     return r.poisson_bootstrap(t.predictions, ["method"], "id", "score", replicates=50)
@@ -443,11 +455,37 @@ def _(t):
     return r.summary_with_ci(runs(t), ["method"], ["accuracy", "roc_auc", "brier_score"], seed=5)
 
 
+@case(
+    "q_T02_summary_spread",
+    f"""SELECT method, metric, count(*) AS n, r9(avg(value)) AS mean, r9(coalesce(stddev_samp(value), 0)) AS std, r9(min(value)) AS min, r9(max(value)) AS max
+        FROM {_stacked('accuracy', 'roc_auc', 'brier_score')} l GROUP BY ALL""",
+)
+def _(t):
+    return r.summary_with_ci(runs(t), ["method"], ["accuracy", "roc_auc", "brier_score"], seed=5).drop("ci_low", "ci_high")
+
+
+SUPPORT = {"accuracy": "higher", "brier_score": "lower", "recall": "diagnostic"}
+
+
+@case(
+    "q_T03_paired_counts",
+    f"""WITH l AS {_stacked(*SUPPORT)},
+        d AS (SELECT metric, c.value AS c, b.value AS b, (c.value - b.value) * CASE WHEN metric = 'brier_score' THEN -1 ELSE 1 END AS gain
+              FROM (SELECT * FROM l WHERE method = 'beta') c JOIN (SELECT * FROM l WHERE method = 'alpha') b USING (metric, seed))
+        SELECT metric, CASE metric WHEN 'accuracy' THEN 'higher' WHEN 'brier_score' THEN 'lower' ELSE 'diagnostic' END AS direction, count(*) AS n_pairs,
+               r9(avg(c)) AS candidate_mean, r9(avg(b)) AS baseline_mean, r9(avg(c - b)) AS raw_delta_mean, r9(avg(gain)) AS favorable_delta_mean,
+               CASE WHEN metric <> 'recall' THEN count(*) FILTER (gain > 0) END AS candidate_wins,
+               CASE WHEN metric <> 'recall' THEN count(*) FILTER (gain < 0) END AS candidate_losses,
+               CASE WHEN metric <> 'recall' THEN count(*) FILTER (abs(gain) <= 1e-8) END AS ties
+        FROM d GROUP BY metric""",
+)
+def _(t):
+    return r.paired_support(runs(t), "method", "beta", "alpha", SUPPORT).drop("ci_low", "ci_high", "raw_ci_low", "raw_ci_high", "support_label")
+
+
 @case("q_T03_paired_support")
 def _(t):
-    return r.paired_support(
-        runs(t), "method", "beta", "alpha", {"accuracy": "higher", "brier_score": "lower", "recall": "diagnostic"}
-    )
+    return r.paired_support(runs(t), "method", "beta", "alpha", SUPPORT)
 
 
 @case(
