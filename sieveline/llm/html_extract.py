@@ -362,8 +362,11 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     What reaches the driver are counts per combination of shape values, at most
     12 x 4 x 2 x 4 x 3 x 2 rows.
     """
-    rows = pick(pages, id_col, html_col).toDF("id", "html")
-    rows = rows.orderBy(F.xxhash64("id"), "id", "html").limit(sample)
+    rows = pick(pages, id_col, html_col).toDF("id", "html").withColumn("h", F.xxhash64("html"))
+    # ids alone are ordered and meet in one task; their pages stay where they are
+    chosen = rows.select("id", "h").orderBy(F.xxhash64("id"), "id", "h").limit(sample).toDF("_id", "_h")
+    rows = rows.join(chosen, rows["id"].eqNullSafe(chosen["_id"]) & (rows["h"] == chosen["_h"]), "left_semi")
+    rows = rows.dropDuplicates(["id", "h"]).select("id", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_blocks(batches, "html"):
