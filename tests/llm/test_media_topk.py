@@ -1,4 +1,5 @@
 import hashlib
+import math
 import struct
 import zlib
 
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import media, topk
+from sieveline.llm import media, registered, topk
 
 
 def test_png_round_trip_and_determinism():
@@ -101,3 +102,42 @@ def test_top_k_is_exact(spark):
     few = usable.filter("vec_id in (0, 1, 2)")
     assert len(topk.top_k(few, F.col("vec_id") % 50 == 0, weight_col="w").collect()) == 2
     assert topk.top_k(usable.filter("vec_id < 0"), F.col("vec_id") % 50 == 0, weight_col="w").collect() == []
+
+
+def every_row(rows, k=5):
+    """Brute force in which each row is a query and a candidate of its own."""
+    weights = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    out = []
+    for at, (q, x) in enumerate(weights):
+        if q is not None and q % 50 == 0:
+            others = [(c, sum(a * b for a, b in zip(x, y))) for j, (c, y) in enumerate(weights) if j != at]
+            others.sort(key=lambda r: (-r[1], r[0] is None, r[0] or 0))
+            out += [(q, i + 1, c, s) for i, (c, s) in enumerate(others[:k])]
+    return sorted(out, key=str)
+
+
+def test_op7_counts_every_row_and_leaves_out_the_own_row_alone(spark, tmp_path):
+    rnd = np.random.default_rng(9)
+    rows = [(i, rnd.normal(size=4).astype(np.float32).tolist()) for i in range(-60, 160)]
+    rows += [rows[10]] * 2 + [rows[60]] * 3 + [(7, [9.0, 9.0, 9.0, 9.0])] * 7  # rows 60 and 10: ids 0 and -50
+    rows += [(100, rnd.normal(size=4).astype(np.float32).tolist()), (None, [8.0, -8.0, 8.0, 8.0]), (150, []), (33, [5.0])]
+    bad = [(200, None), (250, [1.0, None]), (4, [float("nan")] * 4), (5, [float("-inf")] * 4)]
+    kinds = "vec_id long, embedding array<float>, label int"
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(*r, 0) for r in rows + bad], kinds).write.parquet(path)
+    found = registered.QUERIES["op7_exact_top_k"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=str) == every_row(rows)
+
+
+def test_scores_beyond_a_long_are_ranked_exactly(spark):
+    big = float(1 << 32)
+    rows = [(0, [big, 1.0, big]), (1, [-big, 0.0, -big]), (2, [0.0, 3.0, 0.0]), (3, [big, 2.0, -big]), (50, [0.0, 1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    weighted = frame.select("vec_id", topk.weights(F.col("embedding")).alias("weights"))
+    found = topk.top_k(weighted, F.col("vec_id") % 50 == 0, k=3, each_row=True)
+    assert sorted(map(tuple, found.collect()), key=str) == every_row(rows, 3)
+    with pytest.raises(Exception, match="a score does not fit a long"):
+        topk.top_k(weighted, F.col("vec_id") == 0, k=4, each_row=True).collect()
+    huge = spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="a weight does not fit a long"):
+        huge.select(topk.weights(F.col("embedding"))).collect()
