@@ -139,7 +139,7 @@ SHARED["knn_audet"] = audet("knn_det", _K)
         FROM knn_runs JOIN knn_point USING ({_K}) JOIN knn_audet USING ({_K})""",
 )
 def _(t):
-    votes = neighbours.vote(knn10(t), [3, 10], [5.0, 20.0])
+    votes = cut_lineage(neighbours.vote(knn10(t), [3, 10], [5.0, 20.0]))  # read more than once; one search
     heads = t.embeddings.select(
         F.col("vec_id").alias("query_id"),
         (F.col("label") % 2).cast("int").alias("y_true"),
