@@ -17,7 +17,8 @@ counts that have not seen them; the model itself counts all labelled training te
 
 The evidence is a written table of any size. Texts are written once in packed
 blocks that list the contexts of their words and the letters after each. These
-meet the evidence in a join, and what it says is joined back to the block.
+meet the evidence in a join, and what it says travels back to the block, as
+numbers alone: texts and spellings stay where they were written.
 
 A null text is an empty one; texts without words have evidence 0 and get the
 curve's value there. A row with a null id is scored, and is not held out. Labels
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sieveline.llm.common import blocks, pick
-from sieveline.session import scratch_path
+from sieveline.session import scratch_path, shuffle_partitions
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -76,7 +77,10 @@ class Model:
 
 @dataclass
 class Stored:
-    """Texts in written blocks: `block`, `body` (packed rows), `needed` (contexts with letters), `ids`, `keys` (of the texts)."""
+    """Texts in written blocks: `block`, `body` (packed rows), `needed` (contexts with letters), `ids`, `keys` (of the texts).
+
+    The table is bucketed by `block`: what joins it travels to the texts, which stay where they lie.
+    """
 
     table: DataFrame
     fields: StructType
@@ -89,6 +93,16 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Written in buckets of a key, under a name of its own in the session's catalog."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    out = df.write.format("parquet").option("compression", "zstd").option("path", path)
+    out.bucketBy(shuffle_partitions(spark), key).saveAsTable(table)
+    return spark.table(table)
+
+
 def _packed(block: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -144,7 +158,7 @@ def stored(rows: DataFrame) -> Stored:
 
     keyed = rows.withColumn("key", F.xxhash64("text"))
     schema = f"block long, body binary, needed array<struct<context:string,letters:array<string>>>, ids array<{kind}>, keys array<long>"
-    return Stored(_written(keyed.mapInArrow(run, schema), "texts"), rows.schema)
+    return Stored(_bucketed(keyed.mapInArrow(run, schema), "texts", "block"), rows.schema)
 
 
 def fold(id_col: Column) -> Column:
@@ -265,8 +279,8 @@ def _heaviest(told: DataFrame, capacity: int) -> dict[str, float]:
     return dict(zip(kept.column("gram").to_pylist(), kept.column("evidence").to_pylist()))
 
 
-def said_of(needed: DataFrame, evidence: DataFrame) -> DataFrame:
-    """`block` and `said` (per known context: it, its letters, their evidence), from `block`, `context`, `letters`.
+def said_of(needed: DataFrame, evidence: DataFrame, told: tuple[str, ...] = ("context", "letters")) -> DataFrame:
+    """`block` and `said` (per known context: what is told of it, its letters' evidence), from `block`, `context`, `letters`.
 
     A letter not seen after a context that is known has the evidence of NEW there.
     """
@@ -275,20 +289,22 @@ def said_of(needed: DataFrame, evidence: DataFrame) -> DataFrame:
     known = known.agg(F.map_from_entries(F.collect_list(entry)).alias("known"))
     new = F.coalesce(F.try_element_at("known", F.lit(NEW)), F.lit(0.0))
     values = F.transform("letters", lambda x: F.coalesce(F.try_element_at("known", x), new))
-    met = needed.join(known, "context").select("block", "context", "letters", values.alias("values"))
-    return met.groupBy("block").agg(F.collect_list(F.struct("context", "letters", "values")).alias("said"))
+    met = needed.join(known, "context").select("block", *told, values.alias("values"))
+    return met.groupBy("block").agg(F.collect_list(F.struct(*told, "values")).alias("said"))
 
 
 class _WordScores(dict):
-    """Scores of the words of one block."""
+    """Scores of the words of one block, from its contexts with letters and what is said of them."""
 
-    def __init__(self, said):
+    def __init__(self, needed, said):
         super().__init__()
         self.evidence: dict[str, float] = {}
         if said is not None:
-            for at in range(0, len(said), 20_000):  # a part at a time, lest all of it lies twice in memory
-                part = said.slice(at, 20_000)
-                for context, letters, values in zip(*[part.field(c).to_pylist() for c in ("context", "letters", "values")]):
+            for start in range(0, len(said), 20_000):  # a part at a time, lest all of it lies twice in memory
+                part = said.slice(start, 20_000)
+                asked = needed.take(part.field("at"))
+                columns = asked.field("context"), asked.field("letters"), part.field("values")
+                for context, letters, values in zip(*[c.to_pylist() for c in columns]):
                     for letter, value in zip(letters, values):
                         self.evidence[context + letter] = value
 
@@ -319,13 +335,13 @@ def _measured(
     kept = [n for n in names if with_text or n != "text"]
     if isinstance(evidence, dict):
         evidence = blocked.sparkSession.createDataFrame(list(evidence.items()), "gram string, evidence double")
-    needed = blocked.select("block", F.explode("needed").alias("n")).select("block", "n.context", "n.letters")
-    said = said_of(needed, evidence)
+    needed = blocked.select("block", F.posexplode("needed").alias("at", "n")).select("block", "at", "n.context", "n.letters")
+    said = said_of(needed, evidence, ("at",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body, told in zip(batch.column("body"), batch.column("said")):
-                scores = _WordScores(told.values)
+            for body, needed, told in zip(*[batch.column(c) for c in ("body", "needed", "said")]):
+                scores = _WordScores(needed.values, told.values)
                 block = pa.ipc.open_stream(body.as_buffer()).read_next_batch()
                 found = [measure(t, scores) for t in block.column("text").to_pylist()]
                 columns = [[bend(curve, f) for f in found]] if curve else zip(*found)
@@ -336,7 +352,8 @@ def _measured(
     fields = StructType([f for f in texts.fields if f.name in kept])
     for name, kind in added.items():
         fields = fields.add(name, kind)
-    return blocked.select("block", "body").join(said, "block", "left").select("body", "said").mapInArrow(run, fields)
+    rows = blocked.select("block", "body", "needed").join(said, "block", "left").select("body", "needed", "said")
+    return rows.mapInArrow(run, fields)
 
 
 def bend(curve: tuple[float, ...], measures: tuple[float, ...]) -> float:

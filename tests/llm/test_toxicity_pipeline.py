@@ -168,3 +168,16 @@ def test_shared_passages_of_51_short_words_go(spark):
     docs = spark.createDataFrame([(i, f"{said(40)} {passage} {said(40)}") for i in range(3)], "doc_id long, text string")
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeats(spark, docs, "").collect()}
     assert passage in kept[0] and all(len(kept[i]) <= 2 * 160 for i in (1, 2))
+
+
+def test_stored_texts_are_joined_where_they_lie(spark, make_docs):
+    docs, labels = corpus(40)
+    texts = toxicity.store(make_docs(docs))
+    said = spark.createDataFrame([(b, 1) for (b,) in texts.table.select("block").collect()], "block long, x int").hint("merge")
+    joined = texts.table.select("block", "body").join(said, "block")
+    plan = joined._jdf.queryExecution().sparkPlan().toString() + joined._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(block") <= 1
+    known = toxicity._table(spark.createDataFrame([("^a", 6, 2)], "gram string, ordinary long, toxic long"), None)
+    rows = spark.createDataFrame([(1, 4, "^", ["a", "x"]), (1, 9, "^q", ["a"])], "block long, at int, context string, letters array<string>")
+    (row,) = toxicity.said_of(rows, known, ("at",)).collect()
+    assert [list(s.asDict()) for s in row["said"]] == [["at", "values"]] and row["said"][0]["at"] == 4
