@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from sieveline.llm.common import blocks, pick
+from sieveline.llm.common import blocks, kept_in_worker, pick
 
 VOCAB = "word_bpe_49k.json"
 KNOWN_WORDS = 400_000
@@ -281,7 +281,7 @@ class WordBpe:
 
 
 _OTHER_SCRIPT = regex.compile("[^\\x00-\u024f\u2010-\u2027\u20ac]")
-_LOADED: dict[str, WordBpe] = {}
+_LOADED: dict[str, WordBpe] = kept_in_worker()
 
 
 def word_bpe(vocab: str = VOCAB) -> WordBpe:

@@ -17,6 +17,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from sieveline.llm.bpe import byte_letters, vocab_path
+from sieveline.llm.common import kept_in_worker
 
 VOCAB = "byte_bpe_50k.json"
 REMEMBERED_BYTES = 160 << 20
@@ -82,7 +83,7 @@ class ByteBpe(dict):
         return self.plain(words[0]) + b"".join(map(self.__getitem__, words[1:]))
 
 
-_LOADED: dict[str, ByteBpe] = {}
+_LOADED: dict[str, ByteBpe] = kept_in_worker()
 
 
 def byte_bpe(vocab: str = VOCAB) -> ByteBpe:

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sieveline.llm.common import blocks, pick
+from sieveline.llm.common import blocks, make_room, pick
 from sieveline.session import scratch_path, shuffle_partitions
 
 ORDER = 6
@@ -136,12 +136,13 @@ def stored(rows: DataFrame) -> Stored:
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         number = TaskContext.get().partitionId() << 32
         for block in blocks(batches, "text", STORED_BYTES):
             number += 1
             words: set[str] = set()
-            for text in block.column("text").to_pylist():
-                words.update(words_of((text or "").lower()))
+            for text in block.column("text"):
+                words.update(words_of((text.as_py() or "").lower()))
             needed = _needed(words)
             words.clear()
             whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)

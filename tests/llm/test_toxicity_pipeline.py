@@ -181,3 +181,12 @@ def test_stored_texts_are_joined_where_they_lie(spark, make_docs):
     rows = spark.createDataFrame([(1, 4, "^", ["a", "x"]), (1, 9, "^q", ["a"])], "block long, at int, context string, letters array<string>")
     (row,) = toxicity.said_of(rows, known, ("at",)).collect()
     assert [list(s.asDict()) for s in row["said"]] == [["at", "values"]] and row["said"][0]["at"] == 4
+
+
+def test_a_reused_worker_gives_up_what_others_left():
+    from sieveline.llm import bpe, common
+
+    first = bpe.word_bpe()
+    assert bpe.word_bpe() is first
+    common.make_room()
+    assert bpe.word_bpe() is not first
