@@ -192,7 +192,8 @@ def mark_first(
 
     `quota` is an expression over `group_size`, or a table `(keys, quota)`. Bucket
     counts tell where the quota ends; only that one bucket per group is ranked, to
-    find its last row. All rows are then compared with that row and never moved.
+    find its last row. All rows are then compared with that row, which is looked up
+    per group and bucket: a group may hold most rows, a bucket never does.
     """
     keys = list(keys)
     rows = _order_buckets(df, order, tie, value)
@@ -212,16 +213,17 @@ def mark_first(
     cut = last.select(*keys, F.struct(order, "_tie_hash", tie).alias("_cut"))
     if keys:
         groups = _join_offsets(groups, cut, keys, "left")
+        spread = _join_offsets(offsets.select(*keys, "bucket"), groups, keys)
+        joined = _join_offsets(rows, spread, [*keys, "bucket"])
     else:
-        groups = groups.withColumn("_cut", cut.scalar())
-    placed = F.struct(F.col(order), F.sha2(F.col(tie).cast("string"), 256), F.col(tie))
+        joined = _join_offsets(rows, groups.withColumn("_cut", cut.scalar()), [])
+    placed = F.struct(order, "_tie_hash", tie)
     chosen = (
         F.when(F.col("_quota") <= 0, False)
         .when(F.col("_quota") >= F.col("group_size"), True)
         .otherwise(placed <= F.col("_cut"))
     )
-    joined = _join_offsets(df, groups, keys)
-    return joined.withColumn(name, chosen).drop("group_size", "_quota", "_cut")
+    return joined.withColumn(name, chosen).drop("group_size", "_quota", "_cut", "bucket", "_tie_hash")
 
 
 def take_first(

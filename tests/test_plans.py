@@ -223,3 +223,29 @@ def test_quantiles_match_numpy(spark):
     ranks = {r["id"]: r["p"] for r in pct_rank_average(df, [], "score", "p").collect()}
     for i, x in enumerate(v):
         assert ranks[i] == pytest.approx(((v < x).sum() + ((v == x).sum() + 1) / 2) / len(v))
+
+
+def test_rows_of_a_hot_group_are_marked_in_many_tasks(spark):
+    """Two labels: the look-up of a group's last row must not bring a label's rows into one task."""
+    held = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = spark.range(20_000).select("id", (F.col("id") % 2).alias("y"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+        out = ordered.mark_first(rows, ["y"], "h", "id", F.lit(500))
+        parts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 20_000 and max(parts) < 5_000
+        assert out.columns == ["id", "y", "h", "chosen"]
+        chosen = {r["id"] for r in out.where("chosen").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    firsts = sorted((r["h"], r["id"], r["y"]) for r in rows.collect())
+    assert chosen == {i for y in (0, 1) for _, i, _ in [f for f in firsts if f[2] == y][:500]}
