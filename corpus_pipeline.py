@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import ngram_join, packing, pii, suffix_dedup, toxicity
 from sieveline.llm.common import table
-from sieveline.session import scratch_path
+from sieveline.session import freed_shuffles, scratch_path
 
 REJECT = 0.5
 """Documents of this toxicity or more go."""
@@ -72,8 +72,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    with freed_shuffles(spark):
+        for name, stage in STAGES:
+            path = scratch_path(spark, name)
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

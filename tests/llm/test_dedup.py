@@ -194,3 +194,20 @@ def test_first_copy_stays(make_docs, monkeypatch, hot):
 def test_dedup_of_an_empty_table(make_docs):
     assert suffix_dedup.remove_all(make_docs([])).collect() == []
     assert suffix_dedup.keep_first(make_docs([])).collect() == []
+
+
+def test_a_block_in_a_kernel_stays_small():
+    import tracemalloc
+
+    texts = ["".join(random.Random(i).choices("abcdefgh ", k=1000)) for i in range(600)]
+    kernels = (
+        (lambda: suffix_dedup.stretches([t.encode() for t in texts]), suffix_dedup.BLOCK, 60),
+        (lambda: ngram_join.shingle_sets(texts), ngram_join.BLOCK, 30),
+    )
+    for kernel, block, most_mb in kernels:
+        kernel()  # powers are kept from here on
+        tracemalloc.start()
+        kernel()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak / 600_000 * block < most_mb * 1e6

@@ -190,3 +190,26 @@ def test_a_reused_worker_gives_up_what_others_left():
     assert bpe.word_bpe() is first
     common.make_room()
     assert bpe.word_bpe() is not first
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path, monkeypatch):
+    import glob
+    import time
+
+    left = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir', '/tmp')}/**/blockmgr-*/*/shuffle_*", recursive=True))
+    held = []
+
+    def stage(spark, docs, sf_dir):
+        held.append(docs.groupBy("text").count().orderBy("text"))  # keeps the driver from collecting it
+        return held[-1]
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("count", stage)])
+    spark.createDataFrame([(i, str(i % 7)) for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    setting, before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"), left()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 7
+    for _ in range(100):
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert not [f for f in left() - before if f.endswith(".data")][1:]  # the count just made may have one
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
