@@ -1,7 +1,8 @@
 """The corpus pipeline: from `documents` to packed training sequences, stage by stage.
 
 Every stage takes what its predecessor kept, written as Parquet and read again,
-and all but the last return the columns of `documents`. Columns named `n_chars`
+and all but the last return the columns of `documents`. What a stage wrote for
+itself goes when it is done, and what it read goes with it, unless given. Columns named `n_chars`
 are brought up to date where a stage changes texts.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import ngram_join, packing, pii, suffix_dedup, toxicity
 from sieveline.llm.common import table
-from sieveline.session import freed_shuffles, scratch_path
+from sieveline.session import delete_scratch, freed_shuffles, passing_scratch, scratch_path
 
 REJECT = 0.5
 """Documents of this toxicity or more go."""
@@ -72,9 +73,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     with freed_shuffles(spark):
         for name, stage in STAGES:
             path = scratch_path(spark, name)
-            stage(spark, docs, sf_dir).write.parquet(path)
+            with passing_scratch(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                delete_scratch(spark, before)  # no later stage reads it
+            before = path
     return docs

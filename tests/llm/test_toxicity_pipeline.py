@@ -213,3 +213,26 @@ def test_shuffle_files_go_with_their_query(spark, tmp_path, monkeypatch):
         time.sleep(0.1)
     assert not [f for f in left() - before if f.endswith(".data")][1:]  # the count just made may have one
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_a_stage_leaves_its_output_alone(spark, tmp_path, monkeypatch):
+    import os
+
+    from sieveline import session
+
+    folder = tmp_path / "shared"
+    folder.mkdir()
+    monkeypatch.setattr(session, "_shared_folder", lambda spark, name: str(folder))
+
+    def tidy(spark, docs, sf_dir):
+        table = toxicity._bucketed(docs, "texts", "doc_id")
+        return toxicity._written(table.filter("doc_id > 0"), "kept")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", tidy), ("second", tidy)])
+    spark.createDataFrame([(i, "a") for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tables = {t.name for t in spark.catalog.listTables()}
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in rows.collect()) == [1, 2, 3, 4]
+    assert [n.split("-")[0] for n in os.listdir(folder)] == ["second"]
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    assert spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 5
