@@ -94,6 +94,15 @@ class WordBpe:
             self.pieces[i] = piece
         self.letters = byte_letters()
         self.library = Tokenizer.from_str(source)
+        self._grow(spec)
+        self.split = regex.compile(SPLIT).findall
+        self.cut = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
+        self.space = regex.compile(f"[{SPACE}]+")
+        self.known = Recent(KNOWN_WORDS)  # of parts between white space
+        self.spelt = Recent(KNOWN_WORDS)  # of words
+
+    def _grow(self, spec: dict) -> None:
+        """Merge trees of the pieces, and the pieces that their own merges build."""
         self.rank: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         for at, (left, right) in enumerate(spec["model"]["merges"]):
@@ -112,11 +121,6 @@ class WordBpe:
             else:
                 self.inner[piece] = i
         self.longest = max(map(len, [*self.inner, *self.final]))
-        self.split = regex.compile(SPLIT).findall
-        self.cut = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
-        self.space = regex.compile(f"[{SPACE}]+")
-        self.known = Recent(KNOWN_WORDS)  # of parts between white space
-        self.spelt = Recent(KNOWN_WORDS)  # of words
 
     def spine(self, token: int) -> tuple[list, list]:
         """(token, rank at which it is absorbed) down the left edge and down the right edge of its merge tree."""
@@ -239,11 +243,20 @@ class WordBpe:
         fresh: set[str] = set()
         for parts in texts:
             fresh.update(parts)
-        split = {part: self._spelled(part) for part in self.known.missing(fresh)}
-        words = {w for spelled in split.values() for w in spelled if isinstance(w, str)}
+        alone: dict[str, str] = {}  # parts that are one word of plain letters
+        split: dict[str, list[str | int]] = {}
+        for part in self.known.missing(fresh):
+            if part.isascii() and part.isalpha():
+                alone[part] = part.lower()
+            else:
+                split[part] = self._spelled(part)
+        words = set(alone.values())
+        for spelled in split.values():
+            words.update([w for w in spelled if isinstance(w, str)])
         fresh_words = self.encode_words(self.spelt.missing(words))
         of, known = self.spelt.now, self.known.now
         of.update(fresh_words)
+        known.update({part: of[word] for part, word in alone.items()})
         for part, spelled in split.items():
             if len(spelled) == 1 and isinstance(spelled[0], str):
                 known[part] = of[spelled[0]]
@@ -280,8 +293,20 @@ class WordBpe:
         return " ".join([pieces[i] for i in np.frombuffer(ids, "<i4").tolist()])
 
 
+class LibraryBpe(WordBpe):
+    """The same ids without the trie: distinct words go through the library's own model."""
+
+    def _grow(self, spec: dict) -> None:
+        pass
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        tokenize = self.library.model.tokenize
+        return {word: array("i", [t.id for t in tokenize(word)]).tobytes() for word in words}
+
+
 _OTHER_SCRIPT = regex.compile("[^\\x00-\u024f\u2010-\u2027\u20ac]")
 _LOADED: dict[str, WordBpe] = kept_in_worker()
+_LIBRARY: dict[str, LibraryBpe] = kept_in_worker()
 
 
 def word_bpe(vocab: str = VOCAB) -> WordBpe:
@@ -291,6 +316,13 @@ def word_bpe(vocab: str = VOCAB) -> WordBpe:
     return _LOADED[vocab]
 
 
+def library_bpe(vocab: str = VOCAB) -> LibraryBpe:
+    """The vocabulary with the library's model, loaded once per worker."""
+    if vocab not in _LIBRARY:
+        _LIBRARY[vocab] = LibraryBpe(vocab_path(vocab))
+    return _LIBRARY[vocab]
+
+
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB) -> DataFrame:
     """`id_col`, `ids` and `decoded` of every row's whole text."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.bpe import VOCAB, word_bpe
+from sieveline.llm.bpe import VOCAB, library_bpe
 from sieveline.llm.common import blocks, pick, with_fields
 from sieveline.session import cut_lineage
 
@@ -46,7 +46,7 @@ def cut(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(vocab)
+        bpe = library_bpe(vocab)
         last = np.int32(closing).tobytes()
         part = 0
         for block in blocks(batches, "text"):

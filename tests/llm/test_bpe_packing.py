@@ -118,3 +118,23 @@ def test_sequences_are_the_padded_windows(make_docs, library):
     rows = packing.sequences(placed, window=16, padding=0).collect()
     a, b = (library.encode(t, add_special_tokens=False).ids + [1] for t in ("one two three", "four five"))
     assert [r["ids"] for r in rows] == [a + b + [0] * (16 - len(a) - len(b))]
+
+
+def test_packing_leaves_words_to_the_library():
+    import random
+    import time
+
+    from sieveline.llm.bpe import library_bpe, word_bpe
+
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choices("abcdefghijklmnoprstuvwz", k=rnd.randint(2, 14))) for _ in range(2000)) for _ in range(15)]
+    odd = ["", "It's 1,234.5 <|endoftext|>x", "Émile\x1cNaïve ﬁ", "日本語 \u0645\u0631", "a" * 3000, "\U0001f600 ok\u3000end", "don\u2019t"]
+    fast, trie, library = library_bpe(), word_bpe(), library_bpe().library
+    for text, ids in zip(odd + texts[:2], fast.encode(odd + texts[:2])):
+        assert np.frombuffer(ids, "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
+    spent = []
+    for bpe in (fast, trie):
+        start = time.process_time()
+        found = bpe.encode(texts)
+        spent.append(time.process_time() - start)
+    assert found == fast.encode(texts) and spent[0] < 0.85 * spent[1]
