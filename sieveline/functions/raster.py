@@ -1,4 +1,4 @@
-"""Picture statistics as Column expressions over flat pixel arrays (row by row, width x height known)."""
+"""Array statistics as Column expressions."""
 
 from __future__ import annotations
 
@@ -6,36 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _index(size: int) -> Column:
-    return F.sequence(F.lit(0), F.lit(size - 1))
-
-
 def let(value: Column, body) -> Column:
     """body(value) with the value worked out once, however often and wherever the body uses it."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _reflect(v: Column, size: int) -> Column:
-    return F.when(v < 0, -v).when(v > size - 1, 2 * (size - 1) - v).otherwise(v)
-
-
-def _row(i: Column, w: int) -> Column:
-    return F.floor(i / w).cast("int")
-
-
-def _column(i: Column, w: int) -> Column:
-    return F.pmod(i, F.lit(w)).cast("int")
-
-
-def each(size: int, value) -> Column:
-    """Plane whose pixel i is value(i)."""
-    return F.transform(_index(size), value)
-
-
-def zipped(a: Column, b: Column, f) -> Column:
-    return F.zip_with(a, b, f)
-
-
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -44,10 +19,6 @@ def mean(a: Column) -> Column:
     return let(a, lambda v: total(v) / F.size(v))
 
 
-def absolute(a: Column) -> Column:
-    return F.transform(a, lambda x: F.abs(x))
-
-
 def std(a: Column) -> Column:
     """Population deviation from sums and squares around the first value."""
 
@@ -63,266 +34,3 @@ def std(a: Column) -> Column:
         )
 
     return let(a, body)
-
-
-def skew(a: Column, centre: Column, spread: Column) -> Column:
-    """Third standardised moment given the mean and deviation; 0 for a flat plane."""
-    cubes = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - centre) * (x - centre) * (x - centre))
-    return F.when(spread < 1e-8, 0.0).otherwise(cubes / F.size(a) / (spread * spread * spread))
-
-
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation; 0 when a side is flat."""
-    return let(a, lambda x: let(b, lambda y: _correlation(x, y)))
-
-
-def _correlation(a: Column, b: Column) -> Column:
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("x", "y", "xx", "yy", "xy")])
-    fx, fy = F.get(a, 0), F.get(b, 0)
-
-    def add(acc, p):
-        dx, dy = p["x"] - fx, p["y"] - fy
-        return F.struct(
-            (acc["x"] + dx).alias("x"),
-            (acc["y"] + dy).alias("y"),
-            (acc["xx"] + dx * dx).alias("xx"),
-            (acc["yy"] + dy * dy).alias("yy"),
-            (acc["xy"] + dx * dy).alias("xy"),
-        )
-
-    def finish(acc):
-        n = F.size(a)
-        vx = acc["xx"] / n - (acc["x"] / n) * (acc["x"] / n)
-        vy = acc["yy"] / n - (acc["y"] / n) * (acc["y"] / n)
-        cov = acc["xy"] / n - (acc["x"] / n) * (acc["y"] / n)
-        flat = (vx < 1e-16) | (vy < 1e-16)
-        return F.when(flat, 0.0).otherwise(cov / F.sqrt(vx * vy))
-
-    return F.aggregate(pairs, zero, add, finish)
-
-
-def quantile(ordered: Column, p: float) -> Column:
-    """Linear-interpolated quantile of a sorted array."""
-
-    def body(v):
-        at = F.lit(float(p)) * (F.size(v) - 1)
-        low = F.floor(at).cast("int")
-        a, b = F.get(v, low), F.get(v, F.ceil(at).cast("int"))
-        return a + (b - a) * (at - low)
-
-    return let(ordered, body)
-
-
-def _entropy_of(counts: Column, n: Column) -> Column:
-    return -F.aggregate(
-        counts,
-        F.lit(0.0),
-        lambda s, c: s + F.when(c > 0, (c / n) * F.log2(c / n)).otherwise(0.0),
-    )
-
-
-def _below(ordered: Column, limit: Column) -> Column:
-    """How many values of a sorted array are smaller than `limit`, by bisection."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(17))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: at
-        + F.when((at + step <= F.size(ordered)) & (F.get(ordered, at + step - 1) < limit), step).otherwise(0),
-    )
-
-
-def histogram(ordered: Column, bins: int, low: Column, high: Column) -> Column:
-    """Counts of a sorted array in equal bins; the last bin holds its upper edge."""
-    edge = lambda b: low + (high - low) * b / float(bins)
-    upto = lambda b: F.when(b >= bins, F.size(ordered)).otherwise(_below(ordered, edge(b)))
-    return F.transform(_index(bins), lambda b: upto(b + 1) - F.when(b == 0, 0).otherwise(_below(ordered, edge(b))))
-
-
-def entropy(ordered: Column, bins: int) -> Column:
-    """Entropy in bits of the histogram between the smallest and largest value; 0 for a flat plane."""
-
-    def body(v):
-        low, high = F.get(v, 0), F.element_at(v, -1)
-        counts = histogram(v, bins, low, high)
-        return F.when(high - low < 1e-8, 0.0).otherwise(_entropy_of(counts, F.size(v)))
-
-    return let(ordered, body)
-
-
-def entropy_between(ordered: Column, bins: int, low: float, high: float) -> Column:
-    return let(ordered, lambda v: _entropy_of(histogram(v, bins, F.lit(low), F.lit(high)), F.size(v)))
-
-
-def weighted_entropy(values: Column, weights: Column, bins: int, low: float, high: float) -> Column:
-    """Entropy of a weighted histogram over [low, high]."""
-    place = lambda v: F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1))
-    pairs = F.zip_with(values, weights, lambda v, w: F.struct(place(v).alias("b"), w.alias("w")))
-    mass = let(
-        pairs,
-        lambda ps: F.transform(
-            _index(bins), lambda b: F.aggregate(ps, F.lit(0.0), lambda s, p: s + F.when(p["b"] == b, p["w"]).otherwise(0.0))
-        ),
-    )
-    whole = F.greatest(total(weights), F.lit(1e-8))
-    return let(mass, lambda ms: let(whole, lambda n: _entropy_of(ms, n)))
-
-
-# ---- stencils -----------------------------------------------------------------
-
-
-def gradient_x(a: Column, w: int, h: int) -> Column:
-    """Central differences, one-sided at the edges."""
-    return let(a, lambda v: _gradient_x(v, w, h))
-
-
-def _gradient_x(a: Column, w: int, h: int) -> Column:
-
-    def at(i):
-        x = _column(i, w)
-        right, left = F.least(x + 1, F.lit(w - 1)), F.greatest(x - 1, F.lit(0))
-        return (F.get(a, i - x + right) - F.get(a, i - x + left)) / (right - left)
-
-    return each(w * h, at)
-
-
-def gradient_y(a: Column, w: int, h: int) -> Column:
-    return let(a, lambda v: _gradient_y(v, w, h))
-
-
-def _gradient_y(a: Column, w: int, h: int) -> Column:
-    def at(i):
-        y, x = _row(i, w), _column(i, w)
-        down, up = F.least(y + 1, F.lit(h - 1)), F.greatest(y - 1, F.lit(0))
-        return (F.get(a, down * w + x) - F.get(a, up * w + x)) / (down - up)
-
-    return each(w * h, at)
-
-
-def laplacian(a: Column, w: int, h: int, wrap: bool = False) -> Column:
-    """Four neighbours minus four times the centre; edges reflect, or wrap around."""
-    return let(a, lambda v: _laplacian(v, w, h, wrap))
-
-
-def _laplacian(a: Column, w: int, h: int, wrap: bool) -> Column:
-    fix = (lambda v, n: F.pmod(v + n, F.lit(n)).cast("int")) if wrap else _reflect
-
-    def at(i):
-        y, x = _row(i, w), _column(i, w)
-        across = F.get(a, y * w + fix(x - 1, w)) + F.get(a, y * w + fix(x + 1, w))
-        along = F.get(a, fix(y - 1, h) * w + x) + F.get(a, fix(y + 1, h) * w + x)
-        return across + along - 4.0 * F.get(a, i)
-
-    return each(w * h, at)
-
-
-def blur_rows(a: Column, w: int, h: int, radius: int) -> Column:
-    """Mean over 2r+1 pixels of a row, edges reflected."""
-    return let(a, lambda v: _blur_rows(v, w, h, radius))
-
-
-def _blur_rows(a: Column, w: int, h: int, radius: int) -> Column:
-
-    def at(i):
-        x = _column(i, w)
-        terms = [F.get(a, i - x + _reflect(x + d, w)) for d in range(-radius, radius + 1)]
-        return sum(terms[1:], terms[0]) / float(2 * radius + 1)
-
-    return each(w * h, at)
-
-
-def blur_columns(a: Column, w: int, h: int, radius: int) -> Column:
-    return let(a, lambda v: _blur_columns(v, w, h, radius))
-
-
-def _blur_columns(a: Column, w: int, h: int, radius: int) -> Column:
-    def at(i):
-        y, x = _row(i, w), _column(i, w)
-        terms = [F.get(a, _reflect(y + d, h) * w + x) for d in range(-radius, radius + 1)]
-        return sum(terms[1:], terms[0]) / float(2 * radius + 1)
-
-    return each(w * h, at)
-
-
-def shifted_pairs(a: Column, w: int, h: int, dx: int, dy: int) -> tuple[Column, Column]:
-    """The plane without its last columns/rows and the same plane without its first ones."""
-    keep = F.filter(_index(w * h), lambda i: (_column(i, w) < w - dx) & (_row(i, w) < h - dy))
-    pick = lambda step: let(a, lambda v: F.transform(keep, lambda i: F.get(v, i + step)))
-    return pick(0), pick(dy * w + dx)
-
-
-def boundary_ratio(a: Column, w: int, h: int, axis: int) -> Column:
-    """Mean step across 8-pixel block borders over the mean step elsewhere; 0 for small pictures."""
-    return let(a, lambda v: _boundary_ratio(v, w, h, axis))
-
-
-def _boundary_ratio(a: Column, w: int, h: int, axis: int) -> Column:
-    length = (w if axis == 1 else h) - 1
-    if length < 9:
-        return F.lit(0.0)
-    place = (lambda i: _column(i, w)) if axis == 1 else (lambda i: _row(i, w))
-    step = 1 if axis == 1 else w
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("b", "nb", "o", "no")])
-
-    def add(acc, i):
-        inside = place(i) < length
-        border = inside & (F.pmod(place(i) + 1, F.lit(8)) == 0)
-        other = inside & ~border
-        d = F.abs(F.get(a, i + step) - F.get(a, i))
-        one = lambda c, v: F.when(c, v).otherwise(0.0)
-        return F.struct(
-            (acc["b"] + one(border, d)).alias("b"),
-            (acc["nb"] + one(border, 1.0)).alias("nb"),
-            (acc["o"] + one(other, d)).alias("o"),
-            (acc["no"] + one(other, 1.0)).alias("no"),
-        )
-
-    return F.aggregate(
-        _index(w * h), zero, add, lambda s: (s["b"] / s["nb"]) / F.greatest(s["o"] / s["no"], F.lit(1e-8))
-    )
-
-
-def tiles(a: Column, w: int, h: int, size: int) -> Column:
-    """Array of tiles (arrays) of `size`; cut tiles of at least 4 pixels a side stay."""
-    return let(a, lambda v: _tiles(v, w, h, size))
-
-
-def _tiles(a: Column, w: int, h: int, size: int) -> Column:
-    boxes = [
-        (y, x, min(size, h - y), min(size, w - x))
-        for y in range(0, h, size)
-        for x in range(0, w, size)
-        if min(size, h - y) >= 4 and min(size, w - x) >= 4
-    ]
-    corners = F.array(
-        *[F.struct(F.lit(y * w + x).alias("at"), F.lit(th).alias("h"), F.lit(tw).alias("w")) for y, x, th, tw in boxes]
-    )
-    return F.transform(
-        corners,
-        lambda t: F.transform(
-            F.sequence(F.lit(0), t["h"] * t["w"] - 1),
-            lambda k: F.get(a, (t["at"] + F.floor(k / t["w"]) * w + F.pmod(k, t["w"])).cast("int")),
-        ),
-    )
-
-
-def phase_means(a: Column, w: int, h: int) -> Column:
-    """Mean per position inside the 8x8 block grid, for the positions the picture has."""
-    return let(a, lambda v: _phase_means(v, w, h))
-
-
-def _phase_means(a: Column, w: int, h: int) -> Column:
-    starts = F.array(*[F.lit(y * w + x) for y in range(min(8, h)) for x in range(min(8, w))])
-
-    def one(start):
-        y0, x0 = F.floor(start / w).cast("int"), F.pmod(start, F.lit(w)).cast("int")
-        rows = F.floor((h - 1 - y0) / 8).cast("int") + 1
-        cols = F.floor((w - 1 - x0) / 8).cast("int") + 1
-        values = F.transform(
-            F.sequence(F.lit(0), rows * cols - 1),
-            lambda k: F.get(a, (start + F.floor(k / cols).cast("int") * 8 * w + F.pmod(k, cols) * 8).cast("int")),
-        )
-        return mean(values)
-
-    return F.transform(starts, one)
