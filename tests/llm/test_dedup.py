@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from sieveline.llm import ngram_join, suffix_dedup
+from sieveline.llm import ngram_join, rolling, suffix_dedup
 
 
 def words(rnd, n):
@@ -211,3 +211,15 @@ def test_a_block_in_a_kernel_stays_small():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak / 600_000 * block < most_mb * 1e6
+
+
+def test_blocks_of_many_texts_reuse_the_powers():
+    """A block of 2^20 bytes and the white space between its texts makes no powers anew; neighbours in a block stay apart."""
+    longer, shorter = (rolling.powers(ngram_join.BLOCK + k) for k in (900, 500))
+    assert np.shares_memory(longer, shorter)
+    texts = ["a b c d e f", "a b c d e f", "", "a b c d e a b c d e a", None, "a b c d e f", "a"]
+    together, alone = ngram_join.shingle_sets(texts), [ngram_join.shingle_sets([t])[0] for t in texts]
+    assert [len(s) for s in together] == [2, 2, 0, 5, 0, 2, 1]
+    for one, other in zip(together, alone):
+        np.testing.assert_array_equal(one, other)
+        np.testing.assert_array_equal(one, np.unique(one))
