@@ -223,3 +223,17 @@ def test_blocks_of_many_texts_reuse_the_powers():
     for one, other in zip(together, alone):
         np.testing.assert_array_equal(one, other)
         np.testing.assert_array_equal(one, np.unique(one))
+
+
+def test_tables_between_steps_are_written_small_and_go_with_the_stage(spark, make_docs, tmp_path, monkeypatch):
+    from sieveline import session
+
+    monkeypatch.setattr(session, "_shared_folder", lambda spark, name: str(tmp_path))
+    passage = "".join(random.Random(5).choices("abcdefgh ", k=900))
+    docs = make_docs([(1, "x" + passage), (2, "y" + passage), (3, "z")])
+    with session.passing_scratch(spark):
+        kept = {r["doc_id"]: r["text"] for r in suffix_dedup.keep_first(docs).collect()}
+        kinds = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert kept == {1: "x" + passage, 2: "y", 3: "z"}
+    assert {"anchors", "stretches", "kinds", "wanted"} <= kinds
+    assert not list(tmp_path.iterdir())
